@@ -24,7 +24,7 @@ from tickloom.functions.exprs import ColumnLike, col
 LADDER_CHUNKS = 64
 
 
-def _join_summary(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_null_safe(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on the keys where null keys meet each other, as they do in a window."""
     renamed = summary.select(
         *[F.col(key).alias(f"__k{i}") for i, key in enumerate(keys)],
@@ -49,7 +49,7 @@ def previous_row(
     over_chunks = Window.partitionBy(*keys).orderBy(chunk)
     carried = tails.select(*keys, chunk, F.lag("__tail").over(over_chunks).alias("__carry"))
     within = Window.partitionBy(*keys, chunk).orderBy(*order)
-    joined = _join_summary(df, carried, [*keys, chunk])
+    joined = join_null_safe(df, carried, [*keys, chunk])
     previous = joined.withColumn("__prev", F.coalesce(F.lag(packed).over(within), F.col("__carry")))
     return previous.withColumns({name: F.col(f"__prev.{name}") for name in values}).drop(
         "__prev", "__carry"
@@ -70,7 +70,7 @@ def next_row(
     over_chunks = Window.partitionBy(*keys).orderBy(chunk)
     carried = heads.select(*keys, chunk, F.lead("__head").over(over_chunks).alias("__carry"))
     within = Window.partitionBy(*keys, chunk).orderBy(*order)
-    joined = _join_summary(df, carried, [*keys, chunk])
+    joined = join_null_safe(df, carried, [*keys, chunk])
     following = joined.withColumn("__next", F.coalesce(F.lead(packed).over(within), F.col("__carry")))
     return following.withColumns({name: F.col(f"__next.{name}") for name in values}).drop(
         "__next", "__carry"
@@ -103,7 +103,7 @@ def running_totals(
         .orderBy(*[direction(name) for name in order])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = _join_summary(df, offsets, [*keys, chunk])
+    joined = join_null_safe(df, offsets, [*keys, chunk])
     return joined.withColumns(
         {
             name: F.sum(col(value)).over(within) + F.coalesce(F.col(f"__off_{name}"), F.lit(0))
@@ -129,7 +129,7 @@ def running_max(
     earlier_rows = (
         Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = _join_summary(df, offsets, [*keys, chunk])
+    joined = join_null_safe(df, offsets, [*keys, chunk])
     # greatest() skips nulls, so a chunk without predecessors is fine on either side
     return joined.withColumn(name, F.greatest(F.max(col(value)).over(earlier_rows), F.col("__off"))).drop(
         "__off"
@@ -144,17 +144,22 @@ def row_index(
     return indexed.withColumn(name, F.col(name) - 1)
 
 
-def value_chunks(df: DataFrame, value: str, chunks: int = LADDER_CHUNKS) -> Column:
-    """Range number of `value`, with range edges taken from an approximate-quantile sketch.
+def with_value_chunk(
+    df: DataFrame, source: DataFrame, value: str, name: str = "__chunk", chunks: int = LADDER_CHUNKS
+) -> DataFrame:
+    """Add the range number of `value`, ranges being equally filled by the `source` rows.
 
-    The sketch has a fixed size and is combined map-side; the edges reach the
-    rows as one scalar array, so nothing that grows with the data is collected.
+    The edges come from an approximate-quantile sketch of fixed size, combined
+    map-side, and reach the rows as one scalar array: nothing that grows with the
+    data is collected or broadcast.
     """
     shares = [i / chunks for i in range(1, chunks)]
-    edges = df.agg(
+    edges = source.agg(
         F.array_sort(F.array_distinct(F.percentile_approx(F.col(value), shares, 1000))).alias("edges")
     ).scalar()
-    return F.coalesce(F.size(F.filter(edges, lambda edge: edge < F.col(value))), F.lit(0))
+    ranged = df.withColumn("__edges", edges)
+    below = F.size(F.filter("__edges", lambda edge: edge < F.col(value)))
+    return ranged.withColumn(name, F.coalesce(below, F.lit(0))).drop("__edges")
 
 
 def value_ladder(
@@ -174,7 +179,7 @@ def value_ladder(
     steps = present.groupBy(*keys, value).agg(
         *[F.sum(col(weight)).alias(name) for name, weight in weights.items()]
     )
-    chunked = steps.withColumn("__chunk", value_chunks(present, value, chunks))
+    chunked = with_value_chunk(steps, present, value, "__chunk", chunks)
     return running_totals(
         chunked,
         list(keys),
@@ -202,7 +207,7 @@ def exact_quantiles(
     ladder = value_ladder(number, value, {"n": F.lit(1).cast("bigint")}, keys, chunks=chunks)
     sizes = number.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"))
     if keys:
-        sized = _join_summary(ladder, sizes, list(keys))
+        sized = join_null_safe(ladder, sizes, list(keys))
     else:
         sized = ladder.withColumn("__total", sizes.scalar())
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
@@ -220,3 +225,69 @@ def exact_quantiles(
         weight = F.max(position - low)
         aggregates.append((low_value + (high_value - low_value) * weight).alias(name))
     return sized.groupBy(*keys).agg(*aggregates)
+
+
+def last_known(
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: str,
+    order: Sequence[str],
+    value: str,
+    inclusive: bool = True,
+) -> DataFrame:
+    """Replace `value` by the latest non-null one up to (or before) each row of the key."""
+    position = F.struct(*[F.col(name) for name in order])
+    present = F.col(value).isNotNull()
+    tails = df.groupBy(*keys, chunk).agg(
+        F.max_by(F.when(present, F.col(value)), F.when(present, position)).alias("__tail")
+    )
+    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(*keys, chunk, F.last("__tail", ignorenulls=True).over(earlier).alias("__carry"))
+    within = (
+        Window.partitionBy(*keys, chunk)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    )
+    joined = join_null_safe(df, carried, [*keys, chunk])
+    return joined.withColumn(
+        value, F.coalesce(F.last(value, ignorenulls=True).over(within), F.col("__carry"))
+    ).drop("__carry")
+
+
+def asof_backward(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_time: ColumnLike,
+    right_time: ColumnLike,
+    values: Mapping[str, ColumnLike],
+    chunk_width: int,
+    allow_exact: bool = True,
+    right_tie: ColumnLike | None = None,
+) -> DataFrame:
+    """Left rows with the `values` of the latest right row at or before their time.
+
+    Times are numbers (epoch microseconds). Both sides are interleaved and the
+    right values carried forward, so the cost is one sort whatever the distance to
+    the match. Unmatched left rows keep nulls; right ties resolve to the largest
+    `right_tie`.
+    """
+    tie = F.lit(0).cast("bigint") if right_tie is None else col(right_tie).cast("bigint")
+    packed = F.struct(*[col(value).alias(name) for name, value in values.items()])
+    right_side, left_side = (0, 1) if allow_exact else (1, 0)
+    book = right.select(
+        *keys, col(right_time).cast("bigint").alias("__t"), F.lit(right_side).alias("__side"),
+        tie.alias("__tie"), packed.alias("__value"),
+    )
+    probe = left.select(
+        *keys, col(left_time).cast("bigint").alias("__t"), F.lit(left_side).alias("__side"),
+        F.lit(0).cast("bigint").alias("__tie"),
+        F.struct(*[F.col(name) for name in left.columns]).alias("__row"),
+    )
+    both = probe.unionByName(book, allowMissingColumns=True).withColumn(
+        "__chunk", F.floor(F.col("__t") / F.lit(chunk_width))
+    )
+    matched = last_known(both, keys, "__chunk", ["__t", "__side", "__tie"], "__value")
+    return matched.where(F.col("__row").isNotNull()).select(
+        "__row.*", *[F.col(f"__value.{name}").alias(name) for name in values]
+    )

@@ -107,11 +107,11 @@ _COLUMNS = {"core": _core_columns, "multi_window": _multi_columns, "microstructu
 
 
 def core_v1(window: int = 60) -> FeatureSet:
-    return FeatureSet("core_v1", "1", "core", (window,), ("coinbase_ticker",))
+    return FeatureSet("core_v1", "1", "core", (window,), ("ticker",))
 
 
 def multi_window_v1(windows: Sequence[int] = (5, 15, 30, 60, 120, 300)) -> FeatureSet:
-    return FeatureSet("multi_window_v1", "2", "multi_window", tuple(windows), ("coinbase_ticker",))
+    return FeatureSet("multi_window_v1", "2", "multi_window", tuple(windows), ("ticker",))
 
 
 def microstructure_v1(
@@ -126,7 +126,7 @@ def microstructure_v1(
 ) -> FeatureSet:
     return FeatureSet(
         "microstructure_v1", "3", "microstructure", tuple(windows),
-        ("coinbase_ticker", "coinbase_level2"),
+        ("ticker", "level2"),
         required_columns=BASE_COLUMNS + DEPTH_COLUMNS,
         options={
             "imbalance": tuple(imbalance), "spread_change": tuple(spread_change),
