@@ -11,7 +11,7 @@ from tickloom.session import local  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local(4, 4)
+    session = local(4, 2)
     if session.conf.get("spark.checkpoint.dir", None) is None:
         session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     yield session

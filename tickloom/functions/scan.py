@@ -40,12 +40,11 @@ def previous_row(
     chunk: str,
     order: Sequence[str],
     values: Mapping[str, ColumnLike],
-    carry_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add the `values` of the preceding row of the same key, of whatever age."""
     packed = F.struct(*[col(value).alias(name) for name, value in values.items()])
     position = F.struct(*[F.col(name) for name in order])
-    tails = (carry_from or df).groupBy(*keys, chunk).agg(F.max_by(packed, position).alias("__tail"))
+    tails = df.groupBy(*keys, chunk).agg(F.max_by(packed, position).alias("__tail"))
     over_chunks = Window.partitionBy(*keys).orderBy(chunk)
     carried = tails.select(*keys, chunk, F.lag("__tail").over(over_chunks).alias("__carry"))
     within = Window.partitionBy(*keys, chunk).orderBy(*order)
@@ -84,10 +83,15 @@ def running_totals(
     order: Sequence[str],
     totals: Mapping[str, ColumnLike],
     descending: bool = False,
+    totals_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums; `descending` scans the order from its end."""
+    """Add inclusive running sums; `descending` scans the order from its end.
+
+    `totals_from` may name a cheaper frame with the same rows for the chunk sums.
+    """
     direction = (lambda name: F.col(name).desc()) if descending else (lambda name: F.col(name).asc())
-    parts = df.groupBy(*keys, chunk).agg(
+    source = df if totals_from is None else totals_from
+    parts = source.groupBy(*keys, chunk).agg(
         *[F.sum(col(value)).alias(f"__sum_{name}") for name, value in totals.items()]
     )
     before = (

@@ -1,12 +1,13 @@
 """Second-level order-book states from full-book anchors and level changes.
 
 An anchor replaces the whole book, so everything between two anchors is an
-independent run. Runs are found with as-of joins and folded in parallel, one
-group per (unit, anchor); the fold is the only Python here, because the best
-price after each change depends on all earlier changes of the run. Filling the
-seconds, cutting at gaps and numbering continuity segments stay in Spark.
+independent run, folded in parallel with one group per (unit, anchor). The fold is
+the only Python here, because the best price after each change depends on all
+earlier changes of the run. Placing events in runs, cutting at gaps, numbering
+continuity segments and filling the seconds stay in Spark.
 
-A *unit* is one product and UTC day; units do not influence each other.
+A *unit* is one product and UTC day; units do not influence each other, and a
+product that dominates the data is simply more units.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scan
 from tickloom.functions.exprs import MICROS, ts_micros
-from tickloom.operators.intervals import flag_inside, interval_union
+from tickloom.operators.intervals import continuity_islands
 
 UNIT = ("product_id", "source_date")
 CHUNK_US = 3_600 * MICROS
@@ -32,7 +33,7 @@ LEVELS = "array<struct<side:string,price:decimal(18,8),quantity:decimal(18,8)>>"
 _FOLD_SCHEMA = (
     "product_id string, source_date string, at_us bigint, sequence_start bigint, sequence_end bigint, "
     "best_bid decimal(18,8), bid_size decimal(18,8), best_ask decimal(18,8), ask_size decimal(18,8), "
-    "run_us bigint, incident string"
+    "run_us bigint, segment_id bigint, start_us bigint, final_us bigint, incident string"
 )
 
 
@@ -170,12 +171,13 @@ def _fold_run(pdf: pd.DataFrame) -> pd.DataFrame:
     first = ordered.iloc[0]
     return pd.DataFrame(
         [
-            (first.product_id, first.source_date, at, *s[:6], first.run_us, s[6])
+            (first.product_id, first.source_date, at, *s[:6], first.run_us, first.segment_id,
+             first.start_us, first.final_us, s[6])
             for at, s in states.items()
         ],
         columns=[
             "product_id", "source_date", "at_us", "sequence_start", "sequence_end", "best_bid", "bid_size",
-            "best_ask", "ask_size", "run_us", "incident",
+            "best_ask", "ask_size", "run_us", "segment_id", "start_us", "final_us", "incident",
         ],
     )
 
@@ -184,115 +186,134 @@ def _whole_seconds(at: Column) -> Column:
     return F.ceil(at / F.lit(MICROS)) * F.lit(MICROS)
 
 
-def _replay_parts(
-    anchors: DataFrame, deltas: DataFrame, metadata: DataFrame, days: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+_ANCHOR, _DELTA, _GAP = 0, 1, -1
+
+
+def _timeline(anchors: DataFrame, deltas: DataFrame, metadata: DataFrame, days: DataFrame) -> DataFrame:
+    """All events of each unit on one timeline, placed in runs and segments.
+
+    One shuffle on the unit, which is at most one product-day; every column below
+    is a running aggregate over the same sort.
+    """
     unit = list(UNIT)
+    entries = lambda book, side: F.transform(
+        F.map_entries(book),
+        lambda e: F.struct(F.lit(side).alias("side"), e["key"].alias("price"), e["value"].alias("quantity")),
+    )
+    no_book = [
+        F.lit(None).cast("decimal(18,8)").alias("best_bid"), F.lit(None).cast("decimal(18,8)").alias("best_ask"),
+        F.lit(None).cast(LEVELS).alias("levels"),
+    ]
+    anchor_rows = anchors.select(
+        *unit, ts_micros("anchor_second").alias("at_us"), F.lit(_ANCHOR).alias("kind"),
+        F.col("source_sequence_num").alias("sequence_start"), F.col("source_sequence_num").alias("sequence_end"),
+        "best_bid", "best_ask",
+        F.concat(entries("bid_book", "bid"), entries("ask_book", "offer")).cast(LEVELS).alias("levels"),
+        F.lit(None).cast("bigint").alias("until_us"),
+    )
+    delta_rows = deltas.select(
+        *unit, ts_micros("changed_second").alias("at_us"), F.lit(_DELTA).alias("kind"),
+        F.col("source_sequence_num_start").alias("sequence_start"),
+        F.col("source_sequence_num_end").alias("sequence_end"),
+        "best_bid", "best_ask", F.col("changes").cast(LEVELS).alias("levels"),
+        F.lit(None).cast("bigint").alias("until_us"),
+    )
+    nothing = F.lit(None).cast("bigint")
+    gap_rows = metadata.where(unusable_window()).select(
+        *unit, ts_micros("window_start").alias("at_us"), F.lit(_GAP).alias("kind"),
+        nothing.alias("sequence_start"), nothing.alias("sequence_end"), *no_book,
+        ts_micros("window_end").alias("until_us"),
+    )
     span = days.select(
         *unit, ts_micros("day_start").alias("start_us"), ts_micros("day_end").alias("final_us")
     )
-    timed = anchors.withColumn("at_us", ts_micros("anchor_second")).join(span, unit)
-    opening = (
-        timed.where(F.col("at_us") <= F.col("start_us")).groupBy(*unit).agg(F.max("at_us").alias("open_us"))
+    # a unit without any event still has to report its missing anchor
+    bounds = span.select(
+        *unit, F.col("start_us").alias("at_us"), F.lit(_GAP).alias("kind"), nothing.alias("sequence_start"),
+        nothing.alias("sequence_end"), *no_book, nothing.alias("until_us"),
     )
-    spans = span.join(opening, unit, "left")  # open_us is null without a usable anchor
-    usable = spans.where(F.col("open_us").isNotNull())
-    windows = metadata.where(unusable_window()).join(usable, unit)
-    gaps = (
-        windows.select(
-            *unit,
-            F.greatest(ts_micros("window_start"), "open_us").alias("start"),
-            F.least(ts_micros("window_end"), F.col("final_us") + MICROS).alias("end"),
-        )
-        .withColumns({"start": _whole_seconds(F.col("start")), "end": _whole_seconds(F.col("end"))})
-        .where(F.col("start") < F.col("end"))
+    rows = anchor_rows.unionByName(delta_rows).unionByName(gap_rows).unionByName(bounds).join(span, unit)
+
+    whole = Window.partitionBy(*unit)
+    is_anchor, is_delta, is_gap = (F.col("kind") == k for k in (_ANCHOR, _DELTA, _GAP))
+    rows = rows.withColumns(
+        {
+            "open_us": F.max(F.when(is_anchor & (F.col("at_us") <= F.col("start_us")), F.col("at_us"))).over(whole),
+            "regressed": is_gap & (F.col("until_us") < F.col("at_us")),
+        }
     )
-    regressed = windows.where(F.col("window_end") < F.col("window_start")).select(
-        *unit, ts_micros("window_start").alias("at_us"), F.lit("gap_window_regressed").alias("incident")
+    open_us, final_us = F.col("open_us"), F.col("final_us")
+    # gaps act on whole seconds between the opening anchor and the end of the day
+    rows = rows.withColumns(
+        {
+            "at_us": F.when(
+                is_gap & F.col("until_us").isNotNull() & ~F.col("regressed"),
+                _whole_seconds(F.greatest("at_us", "open_us")),
+            ).otherwise(F.col("at_us")),
+            "until_us": F.when(
+                F.col("until_us").isNotNull(), _whole_seconds(F.least(F.col("until_us"), final_us + MICROS))
+            ),
+        }
     )
-    missing = spans.where(F.col("open_us").isNull()).select(
-        *unit, F.col("start_us").alias("at_us"), F.lit("missing_anchor").alias("incident")
+    missing = open_us.isNull() & is_gap & F.col("until_us").isNull()
+    rows = rows.withColumn(
+        "incident",
+        F.when(missing, F.lit("missing_anchor")).when(F.col("regressed"), F.lit("gap_window_regressed")),
     )
-    merged = interval_union(gaps, unit)
-
-    entries = lambda book, side: F.transform(
-        F.map_entries(book),
-        lambda e: F.struct(F.lit(side).alias("side"), e["key"].alias("price"), e["value"].alias("quantity")),
+    useful = F.col("incident").isNotNull() | (
+        (is_anchor & (F.col("at_us") >= open_us) & (F.col("at_us") <= final_us))
+        | (is_delta & (F.col("at_us") > open_us) & (F.col("at_us") <= final_us))
+        | (is_gap & (F.col("until_us") > F.col("at_us")))
     )
-    anchor_events = (
-        timed.drop("start_us", "final_us")
-        .join(usable, unit)
-        .where((F.col("at_us") >= F.col("open_us")) & (F.col("at_us") <= F.col("final_us")))
-        .groupBy(*unit, "at_us")
-        .agg(
-            F.max_by(
-                F.struct(
-                    F.col("source_sequence_num").alias("sequence_start"),
-                    F.col("source_sequence_num").alias("sequence_end"),
-                    "best_bid", "best_ask",
-                    F.concat(entries("bid_book", "bid"), entries("ask_book", "offer")).cast(LEVELS).alias("levels"),
-                ),
-                F.col("source_sequence_num"),
-            ).alias("row")
-        )
-        .select(*unit, "at_us", F.lit(0).alias("kind"), "row.*")
+    rows = rows.where(F.coalesce(useful, F.lit(False)))
+    in_order = Window.partitionBy(*unit).orderBy("at_us", "kind", "sequence_start", "sequence_end")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    real_gap = is_gap & F.col("incident").isNull()
+    rows = rows.withColumns(
+        {
+            "gap_us": F.max(F.when(real_gap, F.col("at_us"))).over(so_far),
+            "covered_us": F.max(F.when(real_gap, F.col("until_us"))).over(so_far),
+            # of several anchors in one second the highest sequence counts
+            "next_kind": F.lead("kind").over(in_order),
+            "next_at": F.lead("at_us").over(in_order),
+        }
     )
-    delta_events = (
-        deltas.withColumn("at_us", ts_micros("changed_second"))
-        .join(usable, unit)
-        .where((F.col("at_us") > F.col("open_us")) & (F.col("at_us") <= F.col("final_us")))
-        .select(
-            *unit, "at_us", F.lit(1).alias("kind"),
-            F.col("source_sequence_num_start").alias("sequence_start"),
-            F.col("source_sequence_num_end").alias("sequence_end"),
-            "best_bid", "best_ask", F.col("changes").cast(LEVELS).alias("levels"),
-        )
+    outside = F.col("covered_us").isNull() | (F.col("covered_us") <= F.col("at_us"))
+    superseded = F.coalesce((F.col("next_kind") == _ANCHOR) & (F.col("next_at") == F.col("at_us")), F.lit(False))
+    rows = rows.withColumn("placed", is_anchor & outside & ~superseded)
+    anchor_at = F.when(F.col("placed"), F.col("at_us"))
+    rows = rows.withColumns(
+        {"run_us": F.max(anchor_at).over(so_far), "previous_run_us": F.max(anchor_at).over(earlier)}
     )
-    clear = lambda df: flag_inside(df, merged, unit, "at_us").where(~F.col("inside")).drop("inside")
-    good_anchors = clear(anchor_events)
-    good_deltas = clear(delta_events)
-
-    # the run of a change is the latest anchor, unless a gap lies in between
-    runs = scan.asof_backward(
-        good_deltas, good_anchors, unit, "at_us", "at_us", {"run_us": F.col("at_us")}, CHUNK_US
+    opens = F.col("placed") & F.col("gap_us").isNotNull() & (
+        F.col("previous_run_us").isNull() | (F.col("gap_us") > F.col("previous_run_us"))
     )
-    runs = scan.asof_backward(
-        runs, merged, unit, "at_us", "start", {"gap_us": F.col("start")}, CHUNK_US
-    ).where(F.col("run_us").isNotNull() & (F.col("gap_us").isNull() | (F.col("gap_us") < F.col("run_us"))))
-    events = good_anchors.withColumn("run_us", F.col("at_us")).unionByName(runs.drop("gap_us"))
-
-    # a new segment opens at the first anchor after a gap
-    chunked = scan.asof_backward(
-        good_anchors.select(*unit, "at_us"), merged, unit, "at_us", "start",
-        {"gap_us": F.col("start")}, CHUNK_US,
+    rows = rows.withColumn("segment_id", F.sum(F.when(opens, 1).otherwise(0)).over(so_far).cast("bigint"))
+    applies = is_delta & outside & F.col("run_us").isNotNull() & (
+        F.col("gap_us").isNull() | (F.col("gap_us") < F.col("run_us"))
     )
-    by_time = Window.partitionBy(*unit).orderBy("at_us")
-    segments = (
-        chunked.withColumn("before", F.lag("at_us").over(by_time))
-        .withColumn(
-            "opens",
-            F.when(
-                F.col("gap_us").isNotNull()
-                & (F.col("before").isNull() | (F.col("gap_us") > F.col("before"))),
-                1,
-            ).otherwise(0),
-        )
-        .withColumn(
-            "segment_id",
-            F.sum("opens").over(by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        )
-        .select(*unit, F.col("at_us").alias("run_us"), "segment_id")
+    return rows.where(F.col("placed") | applies | is_gap).select(
+        *unit, "at_us", "kind", "sequence_start", "sequence_end", "best_bid", "best_ask", "levels", "run_us",
+        "segment_id", "incident", "start_us", "final_us",
+    )
+
+
+def _fold(timeline: DataFrame) -> DataFrame:
+    """States after every second that changed a book; incidents carry a code and no book."""
+    events = timeline.where(F.col("kind") != _GAP)
+    folded = events.drop("incident").groupBy(*UNIT, "run_us").applyInPandas(_fold_run, _FOLD_SCHEMA)
+    early = timeline.where(F.col("incident").isNotNull()).select(
+        *UNIT, "at_us", "incident", "start_us", "final_us", F.lit(0).cast("bigint").alias("segment_id")
     )
-    return events, segments, merged, regressed.unionByName(missing)
+    return folded.unionByName(early, allowMissingColumns=True)
 
 
 def replay_events(
     anchors: DataFrame, deltas: DataFrame, metadata: DataFrame, days: DataFrame
 ) -> DataFrame:
     """State after each second that changed the book, with its segment; incidents carry a code."""
-    events, segments, _, early = _replay_parts(anchors, deltas, metadata, days)
-    folded = events.groupBy(*UNIT, "run_us").applyInPandas(_fold_run, _FOLD_SCHEMA)
-    return folded.join(segments, [*UNIT, "run_us"], "left").unionByName(early, allowMissingColumns=True)
+    return _fold(_timeline(anchors, deltas, metadata, days))
 
 
 def replay_incidents(
@@ -321,46 +342,40 @@ def replay_book(
     job, otherwise the unit ends at its first incident.
     """
     unit = list(UNIT)
-    events, segments, merged, early = _replay_parts(anchors, deltas, metadata, days)
-    folded = events.groupBy(*unit, "run_us").applyInPandas(_fold_run, _FOLD_SCHEMA)
-    states = folded.join(segments, [*unit, "run_us"], "left").unionByName(early, allowMissingColumns=True)
+    timeline = _timeline(anchors, deltas, metadata, days)
+    marks = timeline.where((F.col("kind") == _GAP) & F.col("incident").isNull()).select(
+        *unit, "at_us", F.lit(True).alias("is_gap")
+    )
+    states = _fold(timeline).unionByName(marks, allowMissingColumns=True)
+    in_order = Window.partitionBy(*unit).orderBy("at_us", F.col("incident").isNotNull().desc())
+    failed = F.concat_ws(" ", F.lit("replay incident"), "incident", *unit)
+    at = F.col("at_us")
     if strict:
-        failed = F.concat_ws(" ", F.lit("replay incident"), "incident", *unit)
-        states = states.where(
-            F.when(F.col("incident").isNull(), F.lit(True)).otherwise(F.raise_error(failed).cast("boolean"))
-        )
-    chunked = states.withColumn("__chunk", F.floor(F.col("at_us") / F.lit(CHUNK_US)))
-    timed = scan.next_row(chunked, unit, "__chunk", ["at_us"], {"next_us": F.col("at_us")}).drop("__chunk")
-    if not strict:
-        stop = (
-            states.where(F.col("incident").isNotNull()).groupBy(*unit).agg(F.min("at_us").alias("stop_us"))
-        )
-        timed = timed.join(stop, unit, "left").where(
-            F.col("stop_us").isNull() | (F.col("at_us") < F.col("stop_us"))
-        )
-    span = days.select(
-        *unit, ts_micros("day_start").alias("start_us"), ts_micros("day_end").alias("final_us")
+        at = F.when(F.col("incident").isNull(), at).otherwise(F.raise_error(failed).cast("bigint"))
+    timed = states.withColumns(
+        {
+            "next_us": F.lead("at_us").over(in_order),
+            "stop_us": F.min(F.when(F.col("incident").isNotNull(), F.col("at_us"))).over(
+                Window.partitionBy(*unit)
+            ),
+            "at_us": at,
+        }
     )
-    # next gap after the state: as-of on mirrored time
-    mirrored = scan.asof_backward(
-        timed, merged, unit, -F.col("at_us"), -F.col("start"), {"gap_us": F.col("start")}, CHUNK_US
-    ).join(span, unit)
-    until = F.least("next_us", "gap_us", F.col("final_us") + MICROS)
+    if not strict:
+        timed = timed.where(F.col("stop_us").isNull() | (F.col("at_us") < F.col("stop_us")))
+    until = F.least("next_us", F.col("final_us") + MICROS)
     since = F.greatest("at_us", "start_us")
-    filled = mirrored.where(since < until).withColumn(
+    filled = timed.where(F.col("is_gap").isNull() & (since < until)).withColumn(
         "observed_us", F.explode(F.sequence(since, until - MICROS, F.lit(MICROS).cast("bigint")))
     )
     return filled.select(
         "product_id", "source_date", F.timestamp_micros("observed_us").alias("observed_through"),
-        "sequence_start", "sequence_end", "best_bid", "bid_size", "best_ask", "ask_size",
-        F.col("segment_id").cast("bigint").alias("segment_id"),
+        "sequence_start", "sequence_end", "best_bid", "bid_size", "best_ask", "ask_size", "segment_id",
     )
 
 
 def state_intervals(states: DataFrame, keys: Sequence[str] = UNIT) -> DataFrame:
     """Continuous observation intervals of each segment."""
-    from tickloom.operators.intervals import continuity_islands
-
     return continuity_islands(
         states.select(*keys, "segment_id", ts_micros("observed_through").alias("ts_us")), [*keys, "segment_id"]
     )

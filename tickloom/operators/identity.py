@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scan
 from tickloom.functions.exprs import log_return
+from tickloom.plans.lineage import stage
 
 #: What makes two ticks the same delivery. The 24 h volume is not part of it.
 DEDUPE_KEY = ("product_id", "ts_us", "price", "best_bid", "best_ask")
@@ -53,10 +54,35 @@ def with_epoch(
 ) -> DataFrame:
     """Add `stream_epoch`: how often event time has gone backwards so far, per product."""
     chunked = ticks.withColumn("__chunk", arrival_chunk(arrival, chunk_rows))
-    seen = scan.previous_row(chunked, keys, "__chunk", [arrival], {"__before": F.col(ts)})
-    step = F.coalesce((F.col(ts) < F.col("__before")).cast("int"), F.lit(0))
-    return scan.running_totals(seen, keys, "__chunk", [arrival], {"stream_epoch": step}).drop(
-        "__chunk", "__before"
+    within = Window.partitionBy(*keys, "__chunk").orderBy(arrival)
+    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = lambda before: F.coalesce((F.col(ts) < before).cast("bigint"), F.lit(0))
+
+    # chunk summary: regressions inside it, and its first and last event time
+    narrow = chunked.select(*keys, "__chunk", arrival, ts).withColumn("__step", step(F.lag(ts).over(within)))
+    parts = narrow.groupBy(*keys, "__chunk").agg(
+        F.sum("__step").alias("__inside"),
+        F.min_by(ts, arrival).alias("__head"),
+        F.max_by(ts, arrival).alias("__tail"),
+    )
+    chunks = Window.partitionBy(*keys).orderBy("__chunk")
+    entered = parts.withColumn(
+        "__entry", F.coalesce((F.col("__head") < F.lag("__tail").over(chunks)).cast("bigint"), F.lit(0))
+    )
+    offsets = entered.select(
+        *keys, "__chunk",
+        (
+            F.sum(F.col("__entry") + F.col("__inside")).over(
+                chunks.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            )
+            - F.col("__inside")
+        ).alias("__offset"),
+    )
+    located = scan.join_null_safe(chunked, offsets, [*keys, "__chunk"]).withColumn(
+        "__step", step(F.lag(ts).over(within))
+    )
+    return located.withColumn("stream_epoch", F.sum("__step").over(running) + F.col("__offset")).drop(
+        "__chunk", "__step", "__offset"
     )
 
 
@@ -73,7 +99,7 @@ def with_identity(
     every epoch.
     """
     in_epochs = with_epoch(ticks, arrival, ts, chunk_rows)
-    unique = drop_redelivered(in_epochs, ["product_id", "stream_epoch"], arrival)
+    unique = stage(drop_redelivered(in_epochs, ["product_id", "stream_epoch"], arrival))
     chunked = unique.withColumn("__chunk", arrival_chunk(arrival, chunk_rows))
     numbered = scan.row_index(chunked, ["product_id", "stream_epoch"], "__chunk", [arrival], "seq")
     epoch = F.col("stream_epoch").cast("string")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scan
 from tickloom.functions.exprs import MICROS, ColumnLike, col
+from tickloom.plans.lineage import stage
 
 DAY_US = 86_400 * MICROS
 CHUNK_US = 3_600 * MICROS
@@ -27,7 +28,7 @@ def interval_union(
     df: DataFrame, keys: Sequence[str] = (), start: str = "start", end: str = "end", chunk_us: int = CHUNK_US
 ) -> DataFrame:
     """Disjoint intervals covering the same time; overlapping or touching ones are merged."""
-    rows = (
+    rows = stage(
         df.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"))
         # intervals with equal starts collapse map-side to the longest
         .groupBy(*keys, "__s")
@@ -36,11 +37,16 @@ def interval_union(
     )
     reach = scan.running_max(rows, keys, "__chunk", ["__s"], "__reach", "__e")
     opens = F.when(F.col("__reach").isNull() | (F.col("__s") > F.col("__reach")), 1).otherwise(0)
-    islands = scan.running_totals(reach, keys, "__chunk", ["__s"], {"__island": opens})
-    return (
-        islands.groupBy(*keys, "__island")
-        .agg(F.min("__s").alias(start), F.max("__e").alias(end))
-        .drop("__island")
+    # an island ends where the next one finds the reach of everything before it
+    firsts = reach.withColumn("__opens", opens).where(F.col("__opens") == 1)
+    ends = rows.groupBy(*keys).agg(F.max("__e").alias("__final"))
+    islands = scan.next_row(firsts, keys, "__chunk", ["__s"], {"__end": F.col("__reach")})
+    if keys:
+        islands = scan.join_null_safe(islands, ends, list(keys))
+    else:
+        islands = islands.withColumn("__final", ends.scalar())
+    return stage(
+        islands.select(*keys, F.col("__s").alias(start), F.coalesce("__end", "__final").alias(end))
     )
 
 
@@ -56,10 +62,13 @@ def interval_subtract(
 
     def edges(df: DataFrame, name: str) -> DataFrame:
         other = "__cut" if name == "__base" else "__base"
-        step = lambda at, by: df.select(
-            *keys, F.col(at).alias("__t"), F.lit(by).alias(name), F.lit(0).alias(other)
+        both = F.array(
+            F.struct(F.col(start).alias("__t"), F.lit(1).alias(name)),
+            F.struct(F.col(end).alias("__t"), F.lit(-1).alias(name)),
+        )
+        return df.select(*keys, F.explode(both).alias("__edge")).select(
+            *keys, "__edge.*", F.lit(0).alias(other)
         )
-        return step(start, 1).unionByName(step(end, -1))
 
     merged_base = interval_union(base, keys, start, end, chunk_us)
     merged_cuts = interval_union(cuts, keys, start, end, chunk_us)
@@ -70,10 +79,11 @@ def interval_subtract(
         .agg(F.sum("__base").alias("__base"), F.sum("__cut").alias("__cut"))
         .withColumn("__chunk", _chunk("__t", chunk_us))
     )
-    swept = scan.running_totals(
-        moves, keys, "__chunk", ["__t"], {"__in": F.col("__base"), "__out": F.col("__cut")}
+    moves = stage(moves)
+    closed = scan.next_row(moves, keys, "__chunk", ["__t"], {"__until": F.col("__t")})
+    closed = scan.running_totals(
+        closed, keys, "__chunk", ["__t"], {"__in": F.col("__base"), "__out": F.col("__cut")}, totals_from=moves
     )
-    closed = scan.next_row(swept, keys, "__chunk", ["__t"], {"__until": F.col("__t")})
     return closed.where((F.col("__in") > 0) & (F.col("__out") == 0) & F.col("__until").isNotNull()).select(
         *keys, F.col("__t").alias(start), F.col("__until").alias(end)
     )
@@ -144,7 +154,7 @@ def continuity_islands(
 ) -> DataFrame:
     """Runs of instants exactly one step apart, as `[first, last + step)`."""
     rows = df.select(*keys, F.col(at).alias("__t")).distinct().withColumn("__chunk", _chunk("__t", chunk_us))
-    seen = scan.previous_row(rows, keys, "__chunk", ["__t"], {"__before": F.col("__t")})
+    seen = stage(scan.previous_row(rows, keys, "__chunk", ["__t"], {"__before": F.col("__t")}))
     opens = F.when(F.col("__before").isNull() | (F.col("__t") != F.col("__before") + step_us), 1).otherwise(0)
     runs = scan.running_totals(seen, keys, "__chunk", ["__t"], {"__island": opens})
     return (
@@ -172,9 +182,11 @@ def true_bands(
     rows = df.withColumn("__chunk", _chunk(at, chunk_us)).withColumn(
         "__on", F.coalesce(F.col(flag), F.lit(False))
     )
-    seen = scan.previous_row(
-        rows.select(*keys, *dict.fromkeys([at, *order]), "__chunk", "__on"),
-        keys, "__chunk", order, {"__before": F.col(at), "__was": F.col("__on")},
+    seen = stage(
+        scan.previous_row(
+            rows.select(*keys, *dict.fromkeys([at, *order]), "__chunk", "__on"),
+            keys, "__chunk", order, {"__before": F.col(at), "__was": F.col("__on")},
+        )
     )
     gaps = seen.where(F.col(at) > F.col("__before")).select(
         *keys, (F.col(at) - F.col("__before")).alias("__gap")
