@@ -1,9 +1,9 @@
 """All registered queries and their SQL twins."""
 
-from tickloom.plans import catalog_features
+from tickloom.plans import catalog_features, catalog_grading
 
 QUERIES = {}
 ORACLES = {}
-for part in (catalog_features,):
+for part in (catalog_features, catalog_grading):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)

@@ -8,7 +8,7 @@ from tickloom.functions.exprs import book_imbalance, midprice, spread_abs, sprea
 from tickloom.operators import features as ft
 from tickloom.operators import identity as ident
 from tickloom.plans.inputs import (
-    REDELIVERED, REGRESSING, RETURNS, TICKS, r, redelivered_ticks, regressing_ticks, rs, ticks,
+    REDELIVERED, REGRESSING, RETURNS, TICKS, r, redelivered_ticks, registrar, regressing_ticks, rs, ticks,
 )
 
 HOUR = 3600
@@ -18,18 +18,9 @@ THRESHOLD = 1.5
 SLICE = 5 * 86400
 LABEL = dict(horizon_seconds=W, slack_seconds=1800, threshold=THRESHOLD, slice_seconds=SLICE)
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
+QUERIES: dict = {}
+ORACLES: dict = {}
+query = registrar(QUERIES, ORACLES)
 
 
 def us(seconds: int) -> int:

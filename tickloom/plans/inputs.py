@@ -16,6 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def registrar(queries: dict, oracles: dict):
+    """Decorator factory: register a query and, where SQL can express it, its SQL twin."""
+
+    def query(name: str, sql: str | None = None):
+        def register(fn):
+            queries[name] = fn
+            if sql is not None:
+                oracles[name] = sql
+            return fn
+
+        return register
+
+    return query
+
+
 def _nudge(digits: int) -> str:
     """Moves exact decimal ties (means of short decimals) off the rounding boundary."""
     return f"{0.1234567 * 10.0 ** -digits:.10e}"
