@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import scan
 from tickloom.functions.exprs import MICROS, ts_micros
 from tickloom.operators.intervals import continuity_islands
+from tickloom.plans.lineage import stage
 
 UNIT = ("product_id", "source_date")
 CHUNK_US = 3_600 * MICROS
@@ -313,7 +314,7 @@ def replay_events(
     anchors: DataFrame, deltas: DataFrame, metadata: DataFrame, days: DataFrame
 ) -> DataFrame:
     """State after each second that changed the book, with its segment; incidents carry a code."""
-    return _fold(_timeline(anchors, deltas, metadata, days))
+    return _fold(stage(_timeline(anchors, deltas, metadata, days)))
 
 
 def replay_incidents(
@@ -342,7 +343,7 @@ def replay_book(
     job, otherwise the unit ends at its first incident.
     """
     unit = list(UNIT)
-    timeline = _timeline(anchors, deltas, metadata, days)
+    timeline = stage(_timeline(anchors, deltas, metadata, days))
     marks = timeline.where((F.col("kind") == _GAP) & F.col("incident").isNull()).select(
         *unit, "at_us", F.lit(True).alias("is_gap")
     )

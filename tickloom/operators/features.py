@@ -276,13 +276,15 @@ def rolling_features(
     slice_seconds: float = SLICE_SECONDS,
     drain_tail: bool = False,
     labelled_only: bool = False,
+    closed_by: bool = False,
 ) -> DataFrame:
     """Feature row per tick, and with `label` the realised volatility that follows it.
 
     `keys` delimit independent streams: product, plus epoch for a live capture, or
     segment and source date for history. Ticks must not go back in time within a
     stream (see `identity.with_epoch`). Needs `ts_us` and `arrival`; `log_return`
-    is added from the preceding tick when it is not there yet.
+    is added from the preceding tick when it is not there yet. With `closed_by` the
+    arrival of the tick that completed the label is added.
     """
     require_columns(ticks, spec.required_columns, f"feature set {spec.feature_set_id} unavailable")
     require_columns(ticks, keys, "feature stream keys")
@@ -449,7 +451,7 @@ def rolling_features(
     window = {w: _Window(F.col(f"__w{w}"), w) for w in starts}
 
     if label:
-        rows = _with_label(rows, wins, horizon, micros(slack_seconds), drain_tail)
+        rows = _with_label(rows, wins, horizon, micros(slack_seconds), drain_tail, arrival)
     features = {
         "core": _core_features, "multi_window": _multi_features, "microstructure": _micro_features
     }[spec.kind](spec, window)
@@ -464,6 +466,8 @@ def rolling_features(
             F.col("__future_vol").alias(name),
             (F.col("__future_vol") > F.lit(threshold)).cast("int").alias("vol_spike"),
         ]
+        if closed_by:
+            label_columns.append(F.col("__last.closer.here.arrival").alias("closed_by"))
     return kept.select(
         *payload,
         *derived,
@@ -603,7 +607,9 @@ def _micro_features(spec: FeatureSet, window: dict[int, _Window]) -> dict[str, C
     return out
 
 
-def _with_label(rows: DataFrame, wins, horizon: int, slack: int, drain_tail: bool) -> DataFrame:
+def _with_label(
+    rows: DataFrame, wins, horizon: int, slack: int, drain_tail: bool, arrival: str
+) -> DataFrame:
     """Add `__future_vol`: deviation of the returns over the horizon after each tick.
 
     The tick that completes the horizon closes the window. It has also pruned the
@@ -612,13 +618,14 @@ def _with_label(rows: DataFrame, wins, horizon: int, slack: int, drain_tail: boo
     """
     here = F.struct(
         F.col("__rn").alias("rn"), F.col("ts_us").alias("ts"), F.col("__s1").alias("s1"),
-        F.col("__s2").alias("s2"), F.col("__dsum").alias("d"),
+        F.col("__s2").alias("s2"), F.col("__dsum").alias("d"), F.col(arrival).alias("arrival"),
     )
     opening = lambda mark, ts: F.struct(
         (F.coalesce(mark["rn"], F.lit(0)) + 1).alias("rn"), ts.alias("ts"),
         F.coalesce(mark["s1_first"], F.lit(0.0)).alias("s1"),
         F.coalesce(mark["s2_first"], F.lit(0.0)).alias("s2"),
         F.coalesce(mark["d_first"], F.lit(0)).cast("bigint").alias("d"),
+        F.col(arrival).alias("arrival"),
     )
     kept = F.col("__kept")
     kept_ts = F.when(kept.isNull(), F.col("__ts_top")).otherwise(kept["ts_first"])

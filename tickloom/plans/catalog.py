@@ -1,9 +1,9 @@
 """All registered queries and their SQL twins."""
 
-from tickloom.plans import catalog_features, catalog_grading
+from tickloom.plans import catalog_features, catalog_grading, catalog_history
 
 QUERIES = {}
 ORACLES = {}
-for part in (catalog_features, catalog_grading):
+for part in (catalog_features, catalog_grading, catalog_history):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)
