@@ -419,7 +419,7 @@ def combine_reports(reports: DataFrame, minimum_seconds: int = MINIMUM_SECONDS)
     short = F.when(
         F.col("qualified_seconds") < minimum_seconds, F.array(F.lit("qualified_seconds_below_minimum"))
     ).otherwise(F.array().cast("array<string>"))
-    failures = F.array_sort(F.array_union(F.coalesce(inherited, F.array().cast("array<string>")), short))
+    failures = F.sort_array(F.array_union(F.coalesce(inherited, F.array().cast("array<string>")), short))
     return total.withColumn("failures", failures).withColumn(
         "status", F.when(F.size("failures") == 0, "PASS").otherwise("FAIL")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import MICROS, is_finite, reasons
+from tickloom.plans.lineage import stage
 
 MAX_BRIER_RATIO = 1.05
 MIN_FOLDS_WON = 4
@@ -167,10 +168,11 @@ def derive_evidence(
     from tickloom.operators import metrics
 
     one = lambda df, name: df.select(name).scalar()
-    candidate = metrics.metric_bundle(holdout, threshold, "candidate_score")
-    baseline = metrics.metric_bundle(holdout, threshold, "baseline_score")
-    interval = metrics.paired_block_bootstrap(
-        holdout, block_minutes=block_minutes, resamples=resamples, seed=seed
+    # one-row tables; written, so that their own scalar subqueries do not nest
+    candidate = stage(metrics.metric_bundle(holdout, threshold, "candidate_score"))
+    baseline = stage(metrics.metric_bundle(holdout, threshold, "baseline_score"))
+    interval = stage(
+        metrics.paired_block_bootstrap(holdout, block_minutes=block_minutes, resamples=resamples, seed=seed)
     )
     row = coverage_evidence(corpus, coverage_columns).withColumns(
         {

@@ -213,10 +213,10 @@ def inventory_sets(spark, sf):
 
 @query(
     "raw_manifest",
-    """SELECT count(DISTINCT event_type) AS kinds, sum(CAST(value AS BIGINT))::BIGINT AS rows, 30 * 86400 - 1000 AS missing_seconds FROM events""",
+    """SELECT count(DISTINCT event_type) AS kinds, sum(CAST(floor(value) AS BIGINT))::BIGINT AS rows, 30 * 86400 - 1000 AS missing_seconds FROM events""",
 )
 def raw_manifest(spark, sf):
-    parts = table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.round("value").cast("bigint").alias("rows"))
+    parts = table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.floor("value").alias("rows"))
     row = mf.raw_manifest(parts, 1000, 30)
     return row.select(
         F.size("kinds").cast("bigint").alias("kinds"),
