@@ -210,6 +210,11 @@ def metric_bundle(
     with_events: bool = True,
 ) -> DataFrame:
     """All row-level and alert-level metrics of one scored frame, one row per key."""
+    if not keys:
+        whole = metric_bundle(
+            df.withColumn("__all", F.lit(1)), threshold, score, label, ts, ["__all"], cooldown_seconds, order, with_events
+        )
+        return whole.drop("__all")
     y = F.col(label).cast("double")
     eps = float(np.finfo(float).eps)
     p = F.least(F.greatest(F.col(score), F.lit(eps)), F.lit(1.0 - eps))
@@ -234,13 +239,7 @@ def metric_bundle(
             )
         )
     for part in parts:
-        if keys:
-            rows = scan.join_null_safe(rows, part, list(keys))
-        else:
-            values = [name for name in part.columns]
-            packed = part.select(F.struct(*values).alias("v")).scalar()
-            rows = rows.withColumn("__v", packed)
-            rows = rows.withColumns({name: F.col(f"__v.{name}") for name in values}).drop("__v")
+        rows = scan.join_null_safe(rows, part, list(keys))
     rows = rows.withColumn("pr_auc_lift", F.try_divide("pr_auc", "prevalence"))
     if with_events:
         rows = rows.withColumn("alerts_per_hour", F.col("alerts") / F.col("__hours")).drop("alerts")
@@ -272,6 +271,11 @@ def event_metrics(
     """
     if cooldown_seconds < 0:
         raise ValueError("cooldown_seconds must be non-negative")
+    if not keys:
+        whole = event_metrics(
+            df.withColumn("__all", F.lit(1)), threshold, cooldown_seconds, score, label, ts, ["__all"], order, chunk_seconds
+        )
+        return whole.drop("__all")
     cooldown = micros(cooldown_seconds)
     positives = df.groupBy(*keys).agg(F.sum(F.col(label).cast("bigint")).alias("positives"))
     candidates = df.where(F.col(score) >= threshold)
@@ -284,7 +288,7 @@ def event_metrics(
         key_fields = ", ".join(
             f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys
         )
-        prefix = f"{key_fields}, " if keys else ""
+        prefix = f"{key_fields}, "
         names = [f.name for f in df.schema.fields if f.name in keys]
         # a position breaks equal timestamps the way the series lists its rows
         rows = candidates.select(
@@ -347,13 +351,7 @@ def event_metrics(
         alerts = tables.groupBy(*names).applyInPandas(
             chain, f"{prefix}alerts bigint, true_positive_alerts bigint"
         )
-    if keys:
-        joined = scan.join_null_safe(positives, alerts, list(keys))
-    else:
-        packed = alerts.select(F.struct("alerts", "true_positive_alerts").alias("v")).scalar()
-        joined = positives.withColumn("__v", packed).withColumns(
-            {"alerts": F.col("__v.alerts"), "true_positive_alerts": F.col("__v.true_positive_alerts")}
-        ).drop("__v")
+    joined = scan.join_null_safe(positives, alerts, list(keys))
     zero = F.lit(0).cast("bigint")
     joined = joined.withColumns(
         {
