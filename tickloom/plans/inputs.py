@@ -33,7 +33,7 @@ def registrar(queries: dict, oracles: dict):
 
 def _nudge(digits: int) -> str:
     """Moves exact decimal ties (means of short decimals) off the rounding boundary."""
-    return f"{0.1234567 * 10.0 ** -digits:.10e}"
+    return f"{0.1379428 * 10.0 ** -digits:.10e}"
 
 
 def r(value: Column | str, digits: int = 6) -> Column:
@@ -53,23 +53,24 @@ def rs(expression: str, digits: int = 6) -> str:
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     user, event = F.col("user_id"), F.col("event_id")
+    price = F.col("value") + 0.01  # some values are 0, prices are not
     return events.select(
         F.col("event_type").alias("product_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         ts_micros("ts").alias("ts_us"),
         event.alias("arrival"),
-        F.col("value").alias("price"),
-        (F.col("value") * (1 - F.lit(0.001) * (1 + user % 5))).alias("best_bid"),
-        (F.col("value") * (1 + F.lit(0.001) * (1 + event % 5))).alias("best_ask"),
+        price.alias("price"),
+        (price * (1 - F.lit(0.001) * (1 + user % 5))).alias("best_bid"),
+        (price * (1 + F.lit(0.001) * (1 + event % 5))).alias("best_ask"),
         (1 + user % 10).cast("double").alias("bid_size"),
         (1 + event % 10).cast("double").alias("ask_size"),
     )
 
 
 TICKS = """ticks AS (
-  SELECT event_type AS product_id, ts, epoch_us(ts) AS ts_us, event_id AS arrival, value AS price,
-         value * (1 - 0.001::DOUBLE * (1 + user_id % 5)) AS best_bid,
-         value * (1 + 0.001::DOUBLE * (1 + event_id % 5)) AS best_ask,
+  SELECT event_type AS product_id, ts, epoch_us(ts) AS ts_us, event_id AS arrival, value + 0.01::DOUBLE AS price,
+         (value + 0.01::DOUBLE) * (1 - 0.001::DOUBLE * (1 + user_id % 5)) AS best_bid,
+         (value + 0.01::DOUBLE) * (1 + 0.001::DOUBLE * (1 + event_id % 5)) AS best_ask,
          CAST(1 + user_id % 10 AS DOUBLE) AS bid_size, CAST(1 + event_id % 10 AS DOUBLE) AS ask_size
   FROM events)"""
 
