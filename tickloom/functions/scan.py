@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import ColumnLike, col
 
-#: Number of value ranges a distributed ladder is cut into.
-LADDER_CHUNKS = 64
+#: A ladder is cut into as many value ranges as the session has shuffle partitions, within these limits.
+MIN_LADDER_CHUNKS = 16
+MAX_LADDER_CHUNKS = 4096
 
 
 def join_null_safe(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -148,21 +149,44 @@ def row_index(
     return indexed.withColumn(name, F.col(name) - 1)
 
 
+def ladder_chunks(df: DataFrame) -> int:
+    """As many value ranges as the session shuffles into, within sensible limits."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(MIN_LADDER_CHUNKS, min(partitions, MAX_LADDER_CHUNKS))
+
+
+def edges_below(edges: Column, value: Column, most: int) -> Column:
+    """How many of at most `most` sorted edges are smaller than the value, by bisection."""
+    state = F.struct(F.lit(0).alias("low"), F.size(edges).alias("high"))
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["low"] + span["high"]) / F.lit(2)).cast("int")
+        open_ = span["low"] < span["high"]
+        right = open_ & (F.get(edges, middle) < value)
+        return F.struct(
+            F.when(right, middle + 1).otherwise(span["low"]).alias("low"),
+            F.when(open_ & ~right, middle).otherwise(span["high"]).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(0), F.lit(most.bit_length()))
+    return F.aggregate(steps, state, halve, lambda span: span["low"])
+
+
 def with_value_chunk(
-    df: DataFrame, source: DataFrame, value: str, name: str = "__chunk", chunks: int = LADDER_CHUNKS
+    df: DataFrame, source: DataFrame, value: str, name: str = "__chunk", chunks: int | None = None
 ) -> DataFrame:
     """Add the range number of `value`, ranges being equally filled by the `source` rows.
 
-    The edges come from an approximate-quantile sketch of fixed size, combined
+    The edges come from an approximate-quantile sketch of bounded size, combined
     map-side, and reach the rows as one scalar array: nothing that grows with the
     data is collected or broadcast.
     """
+    chunks = chunks or ladder_chunks(df)
     shares = [i / chunks for i in range(1, chunks)]
-    edges = source.agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(F.col(value), shares, 1000))).alias("edges")
-    ).scalar()
+    sketch = F.percentile_approx(F.col(value), shares, max(1000, 10 * chunks))
+    edges = source.agg(F.array_sort(F.array_distinct(sketch)).alias("edges")).scalar()
     ranged = df.withColumn("__edges", edges)
-    below = F.size(F.filter("__edges", lambda edge: edge < F.col(value)))
+    below = edges_below(F.col("__edges"), F.col(value), chunks)
     return ranged.withColumn(name, F.coalesce(below, F.lit(0))).drop("__edges")
 
 
@@ -172,7 +196,7 @@ def value_ladder(
     weights: Mapping[str, ColumnLike],
     keys: Sequence[str] = (),
     descending: bool = False,
-    chunks: int = LADDER_CHUNKS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """One row per distinct (keys, value) with weight sums and `cum_*` running totals.
 
@@ -200,7 +224,7 @@ def exact_quantiles(
     shares: Mapping[str, float],
     keys: Sequence[str] = (),
     nearest_rank: bool = False,
-    chunks: int = LADDER_CHUNKS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per key from the distributed ladder; no task holds all values.
 

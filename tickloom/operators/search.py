@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions import scan
 from tickloom.functions.exprs import MICROS, is_finite, reasons
 from tickloom.plans.lineage import stage
 
@@ -65,10 +66,9 @@ def stage_gates(trials: DataFrame, order: str = "trial_order", min_trials: int =
         F.count_if(F.col("outcome") == "failed").alias("failures"),
     )
     scored = trials.where((F.col("outcome") == "finished") & F.col("aggregate_pr_auc").isNotNull())
-    by_order = Window.partitionBy("stage").orderBy(order)
-    placed = scored.withColumns(
-        {"i": F.row_number().over(by_order) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("stage"))}
-    )
+    chunked = scored.withColumn("__chunk", F.floor(F.col(order) / F.lit(100_000)))
+    sizes = scored.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    placed = scan.row_index(chunked, ["stage"], "__chunk", [order], "i").join(sizes, "stage")
     early = F.col("i") < F.floor(F.col("n") / F.lit(2))
     halves = placed.groupBy("stage").agg(
         F.max("n").alias("scored"),

@@ -8,7 +8,7 @@ from tickloom.functions.exprs import event_time
 from tickloom.operators import grading as gr
 from tickloom.operators import metrics as mt
 from tickloom.operators import timeline as tl
-from tickloom.plans.inputs import GRADED, SCORED, ladder_sql, outcomes, predictions, r, registrar, rs, scored
+from tickloom.plans.inputs import GRADED, SCORED, ladder_sql, outcomes, predictions, r, registrar, rs, scored, text
 from tickloom.plans.lineage import stage
 
 QUERIES: dict = {}
@@ -97,8 +97,8 @@ def unknown_lineage(spark, sf):
 
 @query(
     "grade_split",
-    f"""WITH {GRADED} SELECT stream_id, count(*) AS n_joined, count_if(grade = 'graded') AS n_graded,
-        count_if(grade = 'late') AS n_scored_late, count_if(grade = 'unmatched') AS n_predictions_unmatched,
+    f"""WITH {GRADED} SELECT stream_id, count(*) AS n_joined, count(*) FILTER (WHERE grade = 'graded') AS n_graded,
+        count(*) FILTER (WHERE grade = 'late') AS n_scored_late, count(*) FILTER (WHERE grade = 'unmatched') AS n_predictions_unmatched,
         {rs("median(CASE WHEN grade = 'graded' THEN epoch_us(written_at) - epoch_us(api_ts) END) / 1e6")} AS median_lead_seconds
         FROM j GROUP BY stream_id""",
 )
@@ -109,8 +109,8 @@ def grade_split(spark, sf):
 
 def confusion_sql(source: str, alert: str, actual: str, keys: str = "") -> str:
     return f"""conf AS (
-  SELECT {keys}count_if({alert} AND {actual}) AS tp, count_if({alert} AND NOT {actual}) AS fp,
-         count_if(NOT ({alert}) AND {actual}) AS fn, count_if(NOT ({alert}) AND NOT {actual}) AS tn, count(*) AS n
+  SELECT {keys}count(*) FILTER (WHERE {alert} AND {actual}) AS tp, count(*) FILTER (WHERE {alert} AND NOT {actual}) AS fp,
+         count(*) FILTER (WHERE NOT ({alert}) AND {actual}) AS fn, count(*) FILTER (WHERE NOT ({alert}) AND NOT {actual}) AS tn, count(*) AS n
   FROM {source} {'GROUP BY ' + keys.rstrip(', ') if keys else ''}),
 rates AS (
   SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE END AS prec,
@@ -149,13 +149,13 @@ def avg_precision(spark, sf):
 
 @query(
     "per_day_ap",
-    f"""WITH {ladder_sql('day')} SELECT day, {rs('sum(tp) / sum(tp + fp)::DOUBLE')} AS prevalence,
+    f"""WITH {ladder_sql('day')} SELECT CAST(day AS VARCHAR) AS day, {rs('sum(tp) / sum(tp + fp)::DOUBLE')} AS prevalence,
         {rs('CASE WHEN sum(tp) > 0 AND sum(fp) > 0 THEN sum(tp * ctp / (ctp + cfp)::DOUBLE) / sum(tp) END')} AS pr_auc
-        FROM steps GROUP BY day""",
+        FROM steps GROUP BY steps.day""",
 )
 def per_day_ap(spark, sf):
     out = mt.grouped_prevalence(scored(spark, sf), ["day"])
-    return out.select("day", r("prevalence").alias("prevalence"), r("pr_auc").alias("pr_auc"))
+    return out.select(text("day"), r("prevalence").alias("prevalence"), r("pr_auc").alias("pr_auc"))
 
 
 @query(
@@ -198,14 +198,14 @@ step_{mode} AS (SELECT *, sum(p) OVER w AS cp, sum(q) OVER w AS cq FROM lad_{mod
 ap_{mode} AS (SELECT {key}, sum(p * cp / (cp + cq)::DOUBLE) / sum(p) AS ap FROM step_{mode} GROUP BY ALL),
 conf_{mode} AS (
   SELECT {key}, tau, tau_source, count(*) AS n, sum(y)::BIGINT AS n_positives,
-         count_if(score >= tau AND y = 1) AS tp, count_if(score >= tau AND y = 0) AS fp,
-         count_if(score < tau AND y = 1) AS fn, count_if(score < tau AND y = 0) AS tn
+         count(*) FILTER (WHERE score >= tau AND y = 1) AS tp, count(*) FILTER (WHERE score >= tau AND y = 0) AS fp,
+         count(*) FILTER (WHERE score < tau AND y = 1) AS fn, count(*) FILTER (WHERE score < tau AND y = 0) AS tn
   FROM rows_{mode} GROUP BY ALL),
 base_{mode} AS (
   SELECT 'baseline' AS model_variant, NULL::VARCHAR AS model_version, NULL::VARCHAR AS run_id, NULL::DOUBLE AS tau,
          NULL::VARCHAR AS tau_source, count(*) AS n, sum({label})::BIGINT AS n_positives,
-         count_if(coalesce(vol_60s, 0) > {BASE} AND {label} = 1) AS tp, count_if(coalesce(vol_60s, 0) > {BASE} AND {label} = 0) AS fp,
-         count_if(coalesce(vol_60s, 0) <= {BASE} AND {label} = 1) AS fn, count_if(coalesce(vol_60s, 0) <= {BASE} AND {label} = 0) AS tn
+         count(*) FILTER (WHERE coalesce(vol_60s, 0) > {BASE} AND {label} = 1) AS tp, count(*) FILTER (WHERE coalesce(vol_60s, 0) > {BASE} AND {label} = 0) AS fp,
+         count(*) FILTER (WHERE coalesce(vol_60s, 0) <= {BASE} AND {label} = 1) AS fn, count(*) FILTER (WHERE coalesce(vol_60s, 0) <= {BASE} AND {label} = 0) AS tn
   FROM g),
 all_{mode} AS (
   SELECT c.*, CASE WHEN n_positives >= 10 THEN ap END AS pr_auc FROM conf_{mode} c
@@ -303,9 +303,9 @@ SELECT seg.stream_id, oldest <= c AS complete, epoch_us(c) AS from_us, epoch_us(
   (SELECT count(*) FROM o, seg, cut WHERE o.stream_id IS NOT DISTINCT FROM seg.stream_id AND o.feature_ts >= cut.c
      AND NOT EXISTS (SELECT 1 FROM p WHERE p.feature_id = o.feature_id)) AS n_outcomes_unmatched,
   (SELECT count(*) FROM p, cut WHERE p.stream_id IS NULL AND p.feature_ts >= cut.c) AS n_unknown_lineage,
-  (SELECT count(*) FROM w) AS n_joined, (SELECT count_if(grade = 'graded') FROM w) AS n_graded,
-  (SELECT count_if(grade = 'late') FROM w) AS n_scored_late,
-  (SELECT count_if(grade = 'unmatched') FROM w) AS n_predictions_unmatched
+  (SELECT count(*) FROM w) AS n_joined, (SELECT count(*) FILTER (WHERE grade = 'graded') FROM w) AS n_graded,
+  (SELECT count(*) FILTER (WHERE grade = 'late') FROM w) AS n_scored_late,
+  (SELECT count(*) FILTER (WHERE grade = 'unmatched') FROM w) AS n_predictions_unmatched
 FROM seg, cut""",
 )
 def performance_snapshot(spark, sf):
@@ -380,9 +380,9 @@ def timeline_classes(spark, sf):
 b AS (SELECT *, CAST(floor((epoch_us(feature_ts) - epoch_us(TIMESTAMP '2024-01-01')) / 21600000000) AS BIGINT) AS bucket FROM c)
 SELECT bucket, arg_max(market_price, feature_ts) AS market_price, max(score) AS score,
        max(CASE WHEN score = ms AND feature_ts = mt THEN tau END) AS tau,
-       count_if(class = 'correct_call') AS correct_call, count_if(class = 'false_alarm') AS false_alarm,
-       count_if(class = 'missed_spike') AS missed_spike, count_if(class = 'correct_quiet') AS correct_quiet,
-       count_if(class = 'pending') AS pending, count_if(class = 'unavailable') AS unavailable
+       count(*) FILTER (WHERE class = 'correct_call') AS correct_call, count(*) FILTER (WHERE class = 'false_alarm') AS false_alarm,
+       count(*) FILTER (WHERE class = 'missed_spike') AS missed_spike, count(*) FILTER (WHERE class = 'correct_quiet') AS correct_quiet,
+       count(*) FILTER (WHERE class = 'pending') AS pending, count(*) FILTER (WHERE class = 'unavailable') AS unavailable
 FROM (SELECT *, min(CASE WHEN score = ms THEN feature_ts END) OVER (PARTITION BY bucket) AS mt
       FROM (SELECT *, max(score) OVER (PARTITION BY bucket) AS ms FROM b))
 GROUP BY bucket""",
@@ -449,7 +449,7 @@ bins AS (SELECT count(*) AS n, abs(avg(score) - avg(label)) AS off FROM s
          GROUP BY {' + '.join(f'CAST(score > {i * 0.1!r} AS INT)' for i in range(1, 10))}),
 base AS (SELECT avg(label) AS prev, avg((score - label) * (score - label)) AS brier,
          avg(-(label * ln(greatest({EPS}, least(score, 1 - {EPS}))) + (1 - label) * ln(1 - greatest({EPS}, least(score, 1 - {EPS}))))) AS ll,
-         count_if(score >= 0.7 AND label = 1) AS tp, count_if(score >= 0.7) AS al, sum(label) AS pos, count(*) AS n FROM s)
+         count(*) FILTER (WHERE score >= 0.7 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.7) AS al, sum(label) AS pos, count(*) AS n FROM s)
 SELECT n, {rs('prev')} AS prevalence, {rs('ap')} AS pr_auc, {rs('ap / prev')} AS pr_auc_lift, {rs('auc')} AS roc_auc,
        {rs('ll')} AS log_loss, {rs('brier')} AS brier, {rs('(SELECT sum(bins.n * off) / sum(bins.n) FROM bins)')} AS ece,
        {rs('tp / al::DOUBLE')} AS precision, {rs('tp / pos::DOUBLE')} AS recall,
@@ -535,7 +535,7 @@ def folded(spark, sf):
 
 @query(
     "fold_metrics",
-    f"""WITH {FOLDS} SELECT {rs('avg(pr_auc)')} AS aggregate_pr_auc, count_if(pr_auc > prevalence) AS development_folds_won,
+    f"""WITH {FOLDS} SELECT {rs('avg(pr_auc)')} AS aggregate_pr_auc, count(*) FILTER (WHERE pr_auc > prevalence) AS development_folds_won,
         {rs('sum(c) / sum(b)::DOUBLE')} AS development_brier_ratio FROM per JOIN err USING (fold)""",
 )
 def fold_metrics(spark, sf):
@@ -548,7 +548,7 @@ def fold_metrics(spark, sf):
 
 @query(
     "paired_folds",
-    f"""WITH {FOLDS} SELECT count_if(coalesce(CASE WHEN fold <> 1 THEN pr_auc END, '-inf'::DOUBLE)
+    f"""WITH {FOLDS} SELECT count(*) FILTER (WHERE coalesce(CASE WHEN fold <> 1 THEN pr_auc END, '-inf'::DOUBLE)
         > coalesce(CASE WHEN fold <> 2 THEN prevalence END, 'inf'::DOUBLE)) AS folds_won FROM per""",
 )
 def paired_folds(spark, sf):

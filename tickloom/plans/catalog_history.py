@@ -8,7 +8,7 @@ from tickloom.functions.exprs import MICROS, normalize_ts, ts_micros
 from tickloom.operators import asof, book, drift, intervals as iv, profile as pf, quality as ql, search as se, splits as sp
 from tickloom.plans import models as ml
 from tickloom.plans.inputs import (
-    INTERVALS, SCORED, TICKS, gaps, intervals, r, registrar, rs, scored, table, ticks,
+    INTERVALS, SCORED, TICKS, codes, gaps, intervals, r, registrar, rs, scored, table, text, ticks,
 )
 from tickloom.plans.lineage import stage
 from tickloom.sources import manifest as mf
@@ -142,11 +142,12 @@ def interval_subtract(spark, sf):
     "covered_by_day",
     f"""WITH {SUBTRACT},
 d AS (SELECT unnest(range(s // {DAY}, (e - 1) // {DAY} + 1)) AS dn, s, e FROM pieces)
-SELECT DATE '1970-01-01' + CAST(dn AS INT) AS day, sum((least(e, (dn + 1) * {DAY}) - greatest(s, dn * {DAY})) // 1000000)::BIGINT AS seconds
+SELECT CAST(CAST(DATE '1970-01-01' + CAST(dn AS INT) AS DATE) AS VARCHAR) AS day, sum((least(e, (dn + 1) * {DAY}) - greatest(s, dn * {DAY})) // 1000000)::BIGINT AS seconds
 FROM d GROUP BY dn""",
 )
 def covered_by_day(spark, sf):
-    return iv.split_by_day(pieces(spark, sf)).groupBy("day").agg(iv.covered_seconds().alias("seconds"))
+    out = iv.split_by_day(pieces(spark, sf)).groupBy("day").agg(iv.covered_seconds().alias("seconds"))
+    return out.withColumn("day", text("day"))
 
 
 @query(
@@ -324,9 +325,9 @@ def delta_state(spark, sf):
 
 @query(
     "contract_violations",
-    """SELECT event_id, list_filter([CASE WHEN event_id % 7 = 0 THEN 'sequence_regressed' END,
+    """SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 7 = 0 THEN 'sequence_regressed' END,
          CASE WHEN user_id % 9 = 0 THEN 'crossed_book' END, CASE WHEN value < 5 THEN 'negative_size' END,
-         CASE WHEN event_id % 11 = 0 THEN 'negative_segment' END], lambda x: x IS NOT NULL) AS violations
+         CASE WHEN event_id % 11 = 0 THEN 'negative_segment' END], lambda x: x IS NOT NULL), ',') AS violations
        FROM events WHERE event_id % 7 = 0 OR user_id % 9 = 0 OR value < 5 OR event_id % 11 = 0""",
 )
 def contract_violations(spark, sf):
@@ -338,7 +339,7 @@ def contract_violations(spark, sf):
         (F.col("value") - 5).alias("bid_size"), F.lit(1.0).alias("ask_size"),
         F.when(e % 11 == 0, -1).otherwise(0).alias("segment_id"),
     )
-    return ql.rejected(states, ql.book_violations()).select("event_id", "violations")
+    return ql.rejected(states, ql.book_violations()).select("event_id", codes("violations"))
 
 
 AUDIT_MIN = 20 * 86_400
@@ -385,11 +386,11 @@ pd AS (SELECT dn, ok.dn IS NOT NULL AS complete, CASE WHEN ok.dn IS NOT NULL THE
     "audit_days",
     f"""WITH {AUDIT_SQL},
 tr AS (SELECT epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP)) // {DAY} AS dn, count(*) AS c FROM events WHERE event_id % 3 <> 0 GROUP BY 1)
-SELECT DATE '1970-01-01' + CAST(dn AS INT) AS day, complete AS trade_pages_complete, secs::BIGINT AS valid_seconds,
+SELECT CAST(CAST(DATE '1970-01-01' + CAST(dn AS INT) AS DATE) AS VARCHAR) AS day, complete AS trade_pages_complete, secs::BIGINT AS valid_seconds,
        coalesce(c, 0) AS trade_count FROM pd LEFT JOIN tr USING (dn)""",
 )
 def audit_days(spark, sf):
-    return audit(spark, sf)[1].select("day", "trade_pages_complete", "valid_seconds", "trade_count")
+    return audit(spark, sf)[1].select(text("day"), "trade_pages_complete", "valid_seconds", "trade_count")
 
 
 @query(
@@ -410,28 +411,28 @@ codes AS (
     WHERE q.o < ge AND gs < q.t))
 SELECT 'FAIL' AS status, (SELECT sum(secs)::BIGINT FROM pd) AS qualified_seconds,
        (SELECT (max(e) - min(s)) // 1000000 FROM base) AS calendar_span_seconds,
-       (SELECT count(*) - count(DISTINCT id) FROM sold) AS duplicate_count, list_sort(list(c)) AS failures FROM codes""",
+       (SELECT count(*) - count(DISTINCT id) FROM sold) AS duplicate_count, array_to_string(list_sort(list(c)), ',') AS failures FROM codes""",
 )
 def quality_codes(spark, sf):
     report, _ = audit(spark, sf)
-    return report.select("status", "qualified_seconds", "calendar_span_seconds", "duplicate_count", "failures")
+    return report.select("status", "qualified_seconds", "calendar_span_seconds", "duplicate_count", codes("failures"))
 
 
 @query(
     "dataset_gate",
-    f"""WITH {SCORED} SELECT list_filter([CASE WHEN count(*) = 0 THEN 'empty' END,
-        CASE WHEN min(label) = max(label) THEN 'single_class' END], lambda x: x IS NOT NULL) AS problems FROM s""",
+    f"""WITH {SCORED} SELECT array_to_string(list_filter([CASE WHEN count(*) = 0 THEN 'empty' END,
+        CASE WHEN min(label) = max(label) THEN 'single_class' END], lambda x: x IS NOT NULL), ',') AS problems FROM s""",
 )
 def dataset_gate(spark, sf):
     rows = scored(spark, sf).withColumn("timestamp", F.timestamp_micros("ts_us"))
-    return ql.dataset_gate(rows, "label", ["score", "baseline_score"], order="event_id")
+    return ql.dataset_gate(rows, "label", ["score", "baseline_score"], order="event_id").select(codes("problems"))
 
 
 @query(
     "partition_rules",
-    """SELECT event_type AS product, CAST(ts AS DATE) AS date, count(*) AS rows,
-       list_filter([CASE WHEN min(user_id) <> max(user_id) THEN 'several_sources' END,
-                    CASE WHEN min(hour(ts)) <> max(hour(ts)) THEN 'several_hours' END], lambda x: x IS NOT NULL) AS problems
+    """SELECT event_type AS product, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS rows,
+       array_to_string(list_filter([CASE WHEN min(user_id) <> max(user_id) THEN 'several_sources' END,
+                    CASE WHEN min(hour(ts)) <> max(hour(ts)) THEN 'several_hours' END], lambda x: x IS NOT NULL), ',') AS problems
        FROM events GROUP BY ALL""",
 )
 def partition_rules(spark, sf):
@@ -439,39 +440,40 @@ def partition_rules(spark, sf):
         F.col("event_type").alias("product"), F.to_date("ts").alias("date"), F.col("event_type").alias("product_id"),
         F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("event_time"), "event_id",
     )
-    return ql.partition_problems(rows, ["event_id"], "event_time", ("product", "date"))
+    out = ql.partition_problems(rows, ["event_id"], "event_time", ("product", "date"))
+    return out.select("product", text("date"), "rows", codes("problems"))
 
 
 @query(
     "hourly_manifest",
     """WITH c AS (SELECT event_type AS kind, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INT) AS hour, count(*) AS n FROM events GROUP BY ALL),
 g AS (SELECT DISTINCT kind, date, CAST(h AS INT) AS hour FROM c, range(24) r(h))
-SELECT kind, date, hour, coalesce(n, 0) AS rows FROM g LEFT JOIN c USING (kind, date, hour)""",
+SELECT kind, CAST(date AS VARCHAR) AS date, hour, coalesce(n, 0) AS rows FROM g LEFT JOIN c USING (kind, date, hour)""",
 )
 def hourly_manifest(spark, sf):
     rows = table(spark, sf, "events").withColumn("kind", F.col("event_type"))
-    return tb.hourly_manifest(rows, "ts", ["kind"])
+    return tb.hourly_manifest(rows, "ts", ["kind"]).withColumn("date", text("date"))
 
 
 @query(
     "inventory_missing",
     """WITH w AS (SELECT CAST(d AS DATE) AS day, k AS kind FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-05', INTERVAL 1 DAY) r(d),
   (VALUES ('click'), ('error')) v(k))
-SELECT day, kind FROM w WHERE NOT EXISTS (SELECT 1 FROM events e WHERE CAST(e.ts AS DATE) = w.day AND e.event_type = w.kind AND value > 0)""",
+SELECT CAST(day AS VARCHAR) AS day, kind FROM w WHERE NOT EXISTS (SELECT 1 FROM events e WHERE CAST(e.ts AS DATE) = w.day AND e.event_type = w.kind AND value > 0)""",
 )
 def inventory_missing(spark, sf):
     listing = table(spark, sf, "events").select(
         F.to_date("ts").alias("day"), F.col("event_type").alias("kind"), F.col("value").alias("size")
     )
-    return ql.inventory_missing(listing, "2024-01-01", "2024-02-04", ("click", "error"))
+    return ql.inventory_missing(listing, "2024-01-01", "2024-02-04", ("click", "error")).withColumn("day", text("day"))
 
 
 @query(
     "sidecar_counts",
     """WITH d AS (SELECT event_type AS t, count(*) + max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS declared_rows FROM events GROUP BY ALL),
-a AS (SELECT event_type AS t, count(*) AS actual_rows, count_if(ts >= TIMESTAMP '2024-01-30') AS outside FROM events GROUP BY ALL)
-SELECT t AS "table", declared_rows, actual_rows, list_filter([CASE WHEN declared_rows <> actual_rows THEN 'row_count_mismatch' END,
-  CASE WHEN outside > 0 THEN 'outside_day' END], lambda x: x IS NOT NULL) AS problems
+a AS (SELECT event_type AS t, count(*) AS actual_rows, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-30') AS outside FROM events GROUP BY ALL)
+SELECT t AS "table", declared_rows, actual_rows, array_to_string(list_filter([CASE WHEN declared_rows <> actual_rows THEN 'row_count_mismatch' END,
+  CASE WHEN outside > 0 THEN 'outside_day' END], lambda x: x IS NOT NULL), ',') AS problems
 FROM d JOIN a USING (t) WHERE declared_rows <> actual_rows OR outside > 0""",
 )
 def sidecar_counts(spark, sf):
@@ -483,7 +485,7 @@ def sidecar_counts(spark, sf):
     out = mf.sidecar_problems(
         declared, rows, F.lit("2000-01-01").cast("timestamp"), F.lit("2024-01-30").cast("timestamp")
     )
-    return out.select("table", "declared_rows", "actual_rows", "problems")
+    return out.select("table", "declared_rows", "actual_rows", codes("problems"))
 
 
 @query(
@@ -532,26 +534,26 @@ def holed(spark, sf):
 
 @query(
     "non_finite",
-    """SELECT 'x' AS "column", count_if(event_id % 7 = 0) AS nulls,
-         count_if(event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0) AS non_finite FROM events
-       UNION ALL SELECT 'y', count_if(event_id % 5 = 0), count_if(event_id % 5 = 0) FROM events""",
+    """SELECT 'x' AS "column", count(*) FILTER (WHERE event_id % 7 = 0) AS nulls,
+         count(*) FILTER (WHERE event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0) AS non_finite FROM events
+       UNION ALL SELECT 'y', count(*) FILTER (WHERE event_id % 5 = 0), count(*) FILTER (WHERE event_id % 5 = 0) FROM events""",
 )
 def non_finite(spark, sf):
     return pf.non_finite(holed(spark, sf), ["x", "y"])
 
 
-@query("daily_prevalence", f"WITH {SCORED} SELECT day, {rs('avg(label)')} AS label FROM s GROUP BY day")
+@query("daily_prevalence", f"WITH {SCORED} SELECT CAST(day AS VARCHAR) AS day, {rs('avg(label)')} AS label FROM s GROUP BY s.day")
 def daily_prevalence(spark, sf):
-    return pf.daily_means(scored(spark, sf), ["label"]).select("day", r("label").alias("label"))
+    return pf.daily_means(scored(spark, sf), ["label"]).select(text("day"), r("label").alias("label"))
 
 
 @query(
     "daily_feature_means",
-    f"WITH {TICKS} SELECT CAST(ts AS DATE) AS day, {rs('avg(price)')} AS price, {rs('avg(bid_size)')} AS bid_size FROM ticks GROUP BY 1",
+    f"WITH {TICKS} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {rs('avg(price)')} AS price, {rs('avg(bid_size)')} AS bid_size FROM ticks GROUP BY 1",
 )
 def daily_feature_means(spark, sf):
     out = pf.daily_means(ticks(spark, sf), ["price", "bid_size"])
-    return out.select("day", r("price").alias("price"), r("bid_size").alias("bid_size"))
+    return out.select(text("day"), r("price").alias("price"), r("bid_size").alias("bid_size"))
 
 
 GAPS_SQL = f"""{TICKS}, g AS (SELECT product_id, ts_us, lag(ts_us) OVER (PARTITION BY product_id ORDER BY ts_us, arrival) AS prev,
@@ -571,7 +573,7 @@ def arrival_percentiles(spark, sf):
 
 @query(
     "gap_summary",
-    f"""WITH {GAPS_SQL} SELECT product_id, count_if(gap > 3600000000) AS count_over_threshold,
+    f"""WITH {GAPS_SQL} SELECT product_id, count(*) FILTER (WHERE gap > 3600000000) AS count_over_threshold,
         {rs('max(gap) / 1e6')} AS longest_gap_seconds, min(CASE WHEN gap = mg THEN prev END) AS longest_gap_start_us
         FROM (SELECT *, max(gap) OVER (PARTITION BY product_id) AS mg FROM g) GROUP BY product_id""",
 )
@@ -656,9 +658,9 @@ def class_counts(spark, sf):
     f"""WITH e AS (SELECT event_type AS variant, epoch_us(ts) AS t, value, user_id, event_id FROM events),
 w AS (SELECT *, unnest([t // 10800000000 * 10800000000, t // 10800000000 * 10800000000 - 10800000000]) AS ws FROM e)
 SELECT ws AS window_us, variant, {rs('count(*) / 21600.0::DOUBLE')} AS request_rate,
-       {rs('count_if(user_id % 20 = 0) / count(*)::DOUBLE')} AS error_ratio, quantile_disc(value, 0.5) AS latency_p50_ms,
+       {rs('count(*) FILTER (WHERE user_id % 20 = 0) / count(*)::DOUBLE')} AS error_ratio, quantile_disc(value, 0.5) AS latency_p50_ms,
        quantile_disc(value, 0.95) AS latency_p95_ms, max(event_id % 300) AS max_lag, {rs('avg(abs((value - 50) / 30))')} AS mean_abs_zscore,
-       quantile_disc(value, 0.95) <= 800 AND quantile_disc(value, 0.5) <= 100 AND 1 - count_if(user_id % 20 = 0) / count(*)::DOUBLE >= 0.9
+       quantile_disc(value, 0.95) <= 800 AND quantile_disc(value, 0.5) <= 100 AND 1 - count(*) FILTER (WHERE user_id % 20 = 0) / count(*)::DOUBLE >= 0.9
          AND max(event_id % 300) <= 200 AS slo_met
 FROM w GROUP BY ws, variant""",
 )
@@ -711,8 +713,8 @@ HALVES = """h AS (SELECT value, user_id::DOUBLE AS user_id, CAST(value > 60 AS I
     "drift_wasserstein",
     f"""WITH {HALVES},
 l AS (SELECT 'value' AS feature, value AS v, ref FROM h UNION ALL SELECT 'user_id', user_id, ref FROM h),
-t AS (SELECT feature, count_if(ref) AS nr, count_if(NOT ref) AS nc, stddev_pop(v) FILTER (ref) AS dev FROM l GROUP BY feature),
-s AS (SELECT feature, v, count_if(ref) AS r, count_if(NOT ref) AS c FROM l GROUP BY feature, v),
+t AS (SELECT feature, count(*) FILTER (WHERE ref) AS nr, count(*) FILTER (WHERE NOT ref) AS nc, stddev_pop(v) FILTER (ref) AS dev FROM l GROUP BY feature),
+s AS (SELECT feature, v, count(*) FILTER (WHERE ref) AS r, count(*) FILTER (WHERE NOT ref) AS c FROM l GROUP BY feature, v),
 w AS (SELECT *, sum(r) OVER p AS cr, sum(c) OVER p AS cc, lead(v) OVER (PARTITION BY feature ORDER BY v) - v AS step
   FROM s WINDOW p AS (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING))
 SELECT feature, {rs('sum(abs(cr / nr::DOUBLE - cc / nc::DOUBLE) * step)')} AS wasserstein,
@@ -727,7 +729,7 @@ def drift_wasserstein(spark, sf):
 @query(
     "drift_js",
     f"""WITH {HALVES},
-p AS (SELECT hit, count_if(ref) / (SELECT count_if(ref) FROM h)::DOUBLE AS p, count_if(NOT ref) / (SELECT count_if(NOT ref) FROM h)::DOUBLE AS q FROM h GROUP BY hit)
+p AS (SELECT hit, count(*) FILTER (WHERE ref) / (SELECT count(*) FILTER (WHERE ref) FROM h)::DOUBLE AS p, count(*) FILTER (WHERE NOT ref) / (SELECT count(*) FILTER (WHERE NOT ref) FROM h)::DOUBLE AS q FROM h GROUP BY hit)
 SELECT {rs('sqrt(greatest(sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2, 0))')} AS js_distance FROM p""",
 )
 def drift_js(spark, sf):
@@ -740,7 +742,7 @@ def drift_js(spark, sf):
 l AS (SELECT 'value' AS feature, value AS v, ref FROM h UNION ALL SELECT 'user_id', user_id, ref FROM h),
 t AS (SELECT feature, avg(v) FILTER (ref) AS m, stddev_pop(v) FILTER (ref) AS s FROM l GROUP BY feature),
 z AS (SELECT feature, abs((v - m) / CASE WHEN s = 0 THEN 1 ELSE s END) AS z FROM l JOIN t USING (feature) WHERE NOT ref)
-SELECT feature, count(*) AS n, {rs('avg(z)')} AS mean_abs_z, {rs('max(z)')} AS max_abs_z, count_if(z >= 1.5) AS skewed_rows FROM z GROUP BY feature""",
+SELECT feature, count(*) AS n, {rs('avg(z)')} AS mean_abs_z, {rs('max(z)')} AS max_abs_z, count(*) FILTER (WHERE z >= 1.5) AS skewed_rows FROM z GROUP BY feature""",
 )
 def skew(spark, sf):
     training, live = halves(spark, sf)
@@ -755,7 +757,7 @@ def skew(spark, sf):
     "temporal_splits",
     f"""WITH {SCORED},
 p AS (SELECT *, row_number() OVER (ORDER BY ts_us, event_id) - 1 AS pos, count(*) OVER () AS n, min(ts_us) OVER () AS t0 FROM s),
-c AS (SELECT max(n) AS n, max(n) - CAST(ceil(max(n) * 0.2) AS BIGINT) AS de, count_if(ts_us < t0 + 2 * 86400000000) AS fl FROM p),
+c AS (SELECT max(n) AS n, max(n) - CAST(ceil(max(n) * 0.2) AS BIGINT) AS de, count(*) FILTER (WHERE ts_us < t0 + 2 * 86400000000) AS fl FROM p),
 k AS (SELECT *, greatest(fl, de // 5) AS f0, (de - greatest(fl, de // 5)) // 4 AS ch FROM c),
 f AS (SELECT CAST(i AS INT) AS fold, f0 + i * ch AS vs, CASE WHEN i = 3 THEN de ELSE f0 + (i + 1) * ch END AS ve FROM k, range(4) r(i)),
 g AS (SELECT f.*, p.ts_us - 86400000000 AS cut FROM f JOIN p ON p.pos = f.vs)
@@ -824,7 +826,7 @@ def leaderboard(spark, sf):
     f"""WITH {TRIALS},
 s AS (SELECT stage, ap, row_number() OVER (PARTITION BY stage ORDER BY trial_id) - 1 AS i, count(*) OVER (PARTITION BY stage) AS n FROM t WHERE outcome = 'finished'),
 h AS (SELECT stage, max(n) AS scored, max(CASE WHEN i < n // 2 THEN ap END) AS eb, max(CASE WHEN i >= n // 2 THEN ap END) AS lb FROM s GROUP BY stage),
-f AS (SELECT stage, count(*) AS trials, count_if(outcome = 'failed') AS failures FROM t GROUP BY stage)
+f AS (SELECT stage, count(*) AS trials, count(*) FILTER (WHERE outcome = 'failed') AS failures FROM t GROUP BY stage)
 SELECT stage, trials, failures, failures / trials::DOUBLE > 0.2 AS too_many_failures, scored, eb AS earlier_best, lb AS later_best,
        scored >= 10 AND lb - eb <= 0.001 AS plateau FROM f JOIN h USING (stage)""",
 )
@@ -834,11 +836,11 @@ def stage_gates(spark, sf):
 
 @query(
     "contract_check",
-    f"""WITH {TRIALS} SELECT search_id, list_filter([CASE WHEN count(DISTINCT git) > 1 THEN 'git_sha' END], lambda x: x IS NOT NULL) AS conflicts
+    f"""WITH {TRIALS} SELECT search_id, array_to_string(list_filter([CASE WHEN count(DISTINCT git) > 1 THEN 'git_sha' END], lambda x: x IS NOT NULL), ',') AS conflicts
         FROM t GROUP BY search_id""",
 )
 def contract_check(spark, sf):
-    return se.contract_check(trials(spark, sf))
+    return se.contract_check(trials(spark, sf)).select("search_id", codes("conflicts"))
 
 
 @query(
@@ -852,12 +854,12 @@ def pending_trials(spark, sf):
 
 @query(
     "qualify",
-    """SELECT event_id, list_filter([CASE WHEN user_id % 40 < 30 THEN 'coverage_under_thirty_days' END,
+    """SELECT event_id, array_to_string(list_filter([CASE WHEN user_id % 40 < 30 THEN 'coverage_under_thirty_days' END,
          CASE WHEN event_id % 2 = 0 THEN 'quote_trade_coverage_missing' END, CASE WHEN event_id % 6 < 4 THEN 'fewer_than_four_folds_won' END,
          CASE WHEN value <= 20 THEN 'bootstrap_lower_not_positive' END, CASE WHEN value > 105 THEN 'brier_regression_over_five_percent' END,
          CASE WHEN user_id % 3 = 0 THEN 'event_f1_regressed' END, CASE WHEN user_id % 5 = 0 THEN 'final_pr_auc_not_improved' END,
          CASE WHEN value * 10 > 800 THEN 'p95_latency_over_800ms' END, CASE WHEN event_id % 7 = 0 THEN 'feature_set_not_deployable' END,
-         CASE WHEN event_id % 11 = 0 THEN 'feature_parity_failed' END], lambda x: x IS NOT NULL) AS reasons FROM events""",
+         CASE WHEN event_id % 11 = 0 THEN 'feature_parity_failed' END], lambda x: x IS NOT NULL), ',') AS reasons FROM events""",
 )
 def qualify(spark, sf):
     e, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
@@ -867,7 +869,7 @@ def qualify(spark, sf):
         F.when(u % 3 == 0, -0.1).otherwise(0.0).alias("event_f1_delta"), F.when(u % 5 == 0, 0.0).otherwise(0.1).alias("final_pr_auc_delta"),
         (v * 10).alias("p95_latency_ms"), (e % 7 != 0).alias("deployable"), (e % 11 != 0).alias("parity_passed"),
     )
-    return se.qualify(evidence).select("event_id", "reasons")
+    return se.qualify(evidence).select("event_id", codes("reasons"))
 
 
 # -- sources and scoring ------------------------------------------------------

@@ -10,7 +10,7 @@ from tickloom.operators import features as ft
 from tickloom.plans import pipelines
 from tickloom.plans.catalog_features import W, us
 from tickloom.plans.catalog_history import HALVES, SIDES, books, halves, trades
-from tickloom.plans.inputs import GRADED, ladder_sql, outcomes, predictions, r, registrar, rs, scored, table
+from tickloom.plans.inputs import GRADED, codes, ladder_sql, outcomes, predictions, r, registrar, rs, scored, table
 from tickloom.plans.lineage import stage
 from tickloom.schemas import OUTCOME, PREDICTION
 from tickloom.sources import manifest as mf
@@ -161,8 +161,8 @@ def model_rows(spark, sf):
 @query(
     "verify_manifest",
     """WITH e AS (SELECT event_id, sha256(CAST(event_id AS VARCHAR)) AS d FROM events)
-SELECT event_id, list_filter([CASE WHEN event_id % 6 = 0 THEN 'source_mismatch' END, CASE WHEN event_id % 5 = 0 THEN 'hour_out_of_range' END,
-  CASE WHEN event_id % 7 = 0 THEN 'digest_mismatch' END, CASE WHEN event_id % 4 = 0 THEN 'receipt_disagrees' END], lambda x: x IS NOT NULL) AS problems
+SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 6 = 0 THEN 'source_mismatch' END, CASE WHEN event_id % 5 = 0 THEN 'hour_out_of_range' END,
+  CASE WHEN event_id % 7 = 0 THEN 'digest_mismatch' END, CASE WHEN event_id % 4 = 0 THEN 'receipt_disagrees' END], lambda x: x IS NOT NULL), ',') AS problems
 FROM e""",
 )
 def verify_manifest(spark, sf):
@@ -180,7 +180,7 @@ def verify_manifest(spark, sf):
         "verified_receipt",
         F.struct((e % 4 != 0).alias("success"), F.col("remote_path").alias("remote_path"), F.col("sha256").alias("sha256")),
     )
-    return mf.verify_entries(entries, "P", {"trades": "feed"}).select("event_id", "problems")
+    return mf.verify_entries(entries, "P", {"trades": "feed"}).select("event_id", codes("problems"))
 
 
 @query(
@@ -190,16 +190,16 @@ b AS (SELECT kind, hour, lo FROM a WHERE hour <> 5),
 g AS (SELECT k AS kind, CAST(h AS INT) AS hour FROM (VALUES ('click'), ('error')) v(k), range(24) r(h)),
 j AS (SELECT coalesce(g.kind, a.kind) AS kind, coalesce(g.hour, a.hour) AS hour, g.kind IS NULL AS unexpected, a.kind IS NULL AS no_a,
         b.kind IS NULL AS no_b FROM g FULL JOIN a ON g.kind = a.kind AND g.hour = a.hour LEFT JOIN b ON b.kind = coalesce(g.kind, a.kind) AND b.hour = coalesce(g.hour, a.hour)),
-p AS (SELECT kind, hour, list_filter([CASE WHEN unexpected THEN 'unexpected_partition' END, CASE WHEN no_a THEN 'artifact_missing' END,
-        CASE WHEN no_b THEN 'receipt_missing' END], lambda x: x IS NOT NULL) AS problems FROM j)
-SELECT kind, hour, problems FROM p WHERE len(problems) > 0""",
+p AS (SELECT kind, hour, array_to_string(list_filter([CASE WHEN unexpected THEN 'unexpected_partition' END, CASE WHEN no_a THEN 'artifact_missing' END,
+        CASE WHEN no_b THEN 'receipt_missing' END], lambda x: x IS NOT NULL), ',') AS problems FROM j)
+SELECT kind, hour, problems FROM p WHERE problems <> ''""",
 )
 def receipt_reconcile(spark, sf):
     rows = table(spark, sf, "events").where("user_id < 3").groupBy(
         F.col("event_type").alias("kind"), F.hour("ts").alias("hour")
     ).agg(F.sha2(F.min("user_id").cast("string"), 256).alias("sha256"))
     receipts = rows.where("hour <> 5").withColumn("revision", F.substring(F.sha2(F.lit("r"), 256), 1, 40))
-    return mf.reconcile_receipts(rows, receipts, ("click", "error"))
+    return mf.reconcile_receipts(rows, receipts, ("click", "error")).withColumn("problems", codes("problems"))
 
 
 @query(
@@ -231,7 +231,7 @@ def raw_manifest(spark, sf):
     "combine_reports",
     """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS q, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY 1)
 SELECT sum(q)::BIGINT AS qualified_seconds, min(lo) AS sequence_min, max(hi) AS sequence_max,
-       list_sort(['qualified_seconds_below_minimum', 'crossed_bbo']) AS failures, 'FAIL' AS status FROM d""",
+       array_to_string(list_sort(['qualified_seconds_below_minimum', 'crossed_bbo']), ',') AS failures, 'FAIL' AS status FROM d""",
 )
 def combine_reports(spark, sf):
     daily = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(
@@ -241,7 +241,7 @@ def combine_reports(spark, sf):
         F.array(F.lit("crossed_bbo")).alias("failures"),
     )
     out = ql.combine_reports(daily, minimum_seconds=10**9)
-    return out.select("qualified_seconds", "sequence_min", "sequence_max", "failures", "status")
+    return out.select("qualified_seconds", "sequence_min", "sequence_max", codes("failures"), "status")
 
 
 @query(
@@ -279,15 +279,15 @@ def partition_evidence(spark, sf):
     "drift_report",
     f"""WITH {HALVES},
 l AS (SELECT 'value' AS feature, value AS v, ref FROM h UNION ALL SELECT 'user_id', user_id, ref FROM h),
-t AS (SELECT feature, count_if(ref) AS nr, count_if(NOT ref) AS nc, stddev_pop(v) FILTER (ref) AS dev FROM l GROUP BY feature),
-s AS (SELECT feature, v, count_if(ref) AS a, count_if(NOT ref) AS c FROM l GROUP BY feature, v),
+t AS (SELECT feature, count(*) FILTER (WHERE ref) AS nr, count(*) FILTER (WHERE NOT ref) AS nc, stddev_pop(v) FILTER (ref) AS dev FROM l GROUP BY feature),
+s AS (SELECT feature, v, count(*) FILTER (WHERE ref) AS a, count(*) FILTER (WHERE NOT ref) AS c FROM l GROUP BY feature, v),
 w AS (SELECT *, sum(a) OVER p AS cr, sum(c) OVER p AS cc, lead(v) OVER (PARTITION BY feature ORDER BY v) - v AS step
   FROM s WINDOW p AS (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING)),
 d AS (SELECT sum(abs(cr / nr::DOUBLE - cc / nc::DOUBLE) * step) / greatest(any_value(dev), 0.001) AS score FROM w JOIN t USING (feature) GROUP BY feature),
-p AS (SELECT hit, count_if(ref) / (SELECT count_if(ref) FROM h)::DOUBLE AS p, count_if(NOT ref) / (SELECT count_if(NOT ref) FROM h)::DOUBLE AS q FROM h GROUP BY hit),
+p AS (SELECT hit, count(*) FILTER (WHERE ref) / (SELECT count(*) FILTER (WHERE ref) FROM h)::DOUBLE AS p, count(*) FILTER (WHERE NOT ref) / (SELECT count(*) FILTER (WHERE NOT ref) FROM h)::DOUBLE AS q FROM h GROUP BY hit),
 a AS (SELECT score FROM d UNION ALL SELECT sqrt(greatest(sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2, 0)) FROM p)
-SELECT count_if(score >= 0.01) AS drifted_columns, count(*) AS columns, {rs('count_if(score >= 0.01) / count(*)::DOUBLE')} AS drift_share,
-       count_if(score >= 0.01) / count(*)::DOUBLE >= 0.5 AS dataset_drift FROM a""",
+SELECT count(*) FILTER (WHERE score >= 0.01) AS drifted_columns, count(*) AS columns, {rs('count(*) FILTER (WHERE score >= 0.01) / count(*)::DOUBLE')} AS drift_share,
+       count(*) FILTER (WHERE score >= 0.01) / count(*)::DOUBLE >= 0.5 AS dataset_drift FROM a""",
 )
 def drift_report(spark, sf):
     out = drift.drift_share(drift.drift_report(*halves(spark, sf), ["value", "user_id"], "hit", limit=0.01))
@@ -297,16 +297,16 @@ def drift_report(spark, sf):
 @query(
     "retrain_triggers",
     f"""WITH {ladder_sql()}, {HALVES},
-p AS (SELECT hit, count_if(ref) / (SELECT count_if(ref) FROM h)::DOUBLE AS p, count_if(NOT ref) / (SELECT count_if(NOT ref) FROM h)::DOUBLE AS q FROM h GROUP BY hit),
+p AS (SELECT hit, count(*) FILTER (WHERE ref) / (SELECT count(*) FILTER (WHERE ref) FROM h)::DOUBLE AS p, count(*) FILTER (WHERE NOT ref) / (SELECT count(*) FILTER (WHERE NOT ref) FROM h)::DOUBLE AS q FROM h GROUP BY hit),
 d AS (SELECT sqrt(greatest(sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2, 0)) AS js FROM p),
 a AS (SELECT sum(tp * ctp / (ctp + cfp)::DOUBLE) / sum(tp) AS ap FROM steps)
-SELECT list_filter([CASE WHEN js > 0.15 THEN 'target_drift' END, CASE WHEN ap < 0.9 THEN 'average_precision_below_floor' END], lambda x: x IS NOT NULL) AS reasons,
+SELECT array_to_string(list_filter([CASE WHEN js > 0.15 THEN 'target_drift' END, CASE WHEN ap < 0.9 THEN 'average_precision_below_floor' END], lambda x: x IS NOT NULL), ',') AS reasons,
        js > 0.15 OR ap < 0.9 AS retrain FROM d, a""",
 )
 def retrain_triggers(spark, sf):
     js = drift.jensen_shannon(*halves(spark, sf), "hit")
     out = mt.retrain_triggers(js, mt.average_precision(scored(spark, sf)), ap_floor=0.9)
-    return out.select("reasons", "retrain")
+    return out.select(codes("reasons"), "retrain")
 
 
 @query(
@@ -324,7 +324,7 @@ def high_correlations(spark, sf):
 
 @query(
     "neural_eligibility",
-    """SELECT list_filter([CASE WHEN count(*) < 100000 THEN 'too_few_labelled_rows' END, 'too_few_tree_trials', 'no_plateau'], lambda x: x IS NOT NULL) AS reasons FROM events""",
+    """SELECT array_to_string(list_filter([CASE WHEN count(*) < 100000 THEN 'too_few_labelled_rows' END, 'too_few_tree_trials', 'no_plateau'], lambda x: x IS NOT NULL), ',') AS reasons FROM events""",
 )
 def neural_eligibility(spark, sf):
     rows = scored(spark, sf)
@@ -334,7 +334,7 @@ def neural_eligibility(spark, sf):
     )
     positives = rows.groupBy((F.col("event_id") % 2).alias("fold")).agg(F.sum("label").alias("positives"))
     n = rows.agg(F.count(F.lit(1))).scalar()
-    return se.neural_eligibility(se.stage_gates(trials), positives, n, ["trees", "ablation"])
+    return se.neural_eligibility(se.stage_gates(trials), positives, n, ["trees", "ablation"]).select(codes("reasons"))
 
 
 @query("derive_evidence")
@@ -345,7 +345,7 @@ def derive_evidence(spark, sf):
         rows, rows, won, 0.6, {"p95_latency_ms": 5.0, "deployable": True, "parity_passed": True},
         ("candidate_score",), block_minutes=1440, resamples=50,
     )
-    return se.qualify(out).select("folds_won", "quote_trade_coverage", "passed", "reasons")
+    return se.qualify(out).select("folds_won", "quote_trade_coverage", "passed", codes("reasons"))
 
 
 @query(

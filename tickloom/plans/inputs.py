@@ -47,6 +47,16 @@ def rs(expression: str, digits: int = 6) -> str:
     return f"round(({expression}) + CAST('{_nudge(digits)}' AS DOUBLE), {digits})"
 
 
+def codes(name: str) -> Column:
+    """A list of codes as comma-separated text."""
+    return F.concat_ws(",", name).alias(name)
+
+
+def text(name: str) -> Column:
+    """A date as ISO text."""
+    return F.col(name).cast("string").alias(name)
+
+
 # -- ticks --------------------------------------------------------------------
 
 
