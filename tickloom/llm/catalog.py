@@ -31,3 +31,18 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.read_archives(spark, path)
     digest = F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.col("payload_digest"))
     return back.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+@query("op5_personal_data")
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import pii
+
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, model=pii.fit(docs)).drop("found")
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import secrets
+
+    return secrets.judge(table(spark, sf_dir, "documents"))
