@@ -46,3 +46,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm import secrets
 
     return secrets.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import ngram_join
+
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, threshold="0.85")

@@ -77,3 +77,25 @@ def components(edges: DataFrame) -> DataFrame:
         before = (state["n"], state["x"])
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).distinct()
+
+
+def thin_out(df: DataFrame, column: str, keys: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
+    """Rows of `df` whose `column` may be among `keys` (one column of that name): a bitmap of at most 8 MB, so a later
+    equi-join moves fewer rows. Some other rows pass too; none that has a key is lost. Null keys always pass."""
+    n = max(1, keys.count())
+    bits = min(most_bits, 1 << max(10, (16 * n - 1).bit_length()))
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    words = keys.select(place.alias("p")).groupBy((F.col("p") / 64).cast("long").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v")
+    )
+    found = words.toPandas()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[found["w"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64)
+    held = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def there(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((held.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return df.where(F.col(column).isNull() | there(place))
