@@ -53,3 +53,28 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm import ngram_join
 
     return ngram_join.join(table(spark, sf_dir, "documents"), k=4, threshold="0.85")
+
+
+@query("op8_benchmark_decontamination")
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import decontaminate
+
+    return decontaminate.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_quality_bayes")
+def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import quality
+
+    out = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "source", "lang", "p_doc", "p_site", "p_good", "keep")
+
+
+@query("op6_language_compression")
+def op6_language_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    out = language.classify(docs, language.learn(docs.where(~held_out)))
+    return out.withColumn("held_out", held_out)
