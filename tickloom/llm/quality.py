@@ -68,12 +68,15 @@ def statistics(column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, len(NAMES)))
 
 
-@F.arrow_udf("array<double>")
-def text_statistics(column: pa.Array) -> pa.Array:
+def _listed(column: pa.Array) -> pa.Array:
     x = statistics(column)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32()), pa.array(x.ravel()))
 
 
+def text_statistics(text: Column) -> Column:
+    return F.arrow_udf(_listed, "array<double>")(text)
+
+
 @dataclass
 class Model:
     """Logistic model on standardised statistics; `evidence` is its column form."""
