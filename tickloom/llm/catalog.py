@@ -78,3 +78,16 @@ def op6_language_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     out = language.classify(docs, language.learn(docs.where(~held_out)))
     return out.withColumn("held_out", held_out)
+
+
+@query("op4_piece_ids")
+def op4_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import pieces
+
+    vocabulary = pieces.Vocabulary.load()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = docs.withColumn("ids", pieces.encoded(spark, F.col("text"), vocabulary))
+    out = out.withColumn("back", pieces.decoded(spark, F.col("ids"), vocabulary))
+    return out.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("back").eqNullSafe(F.col("text")).alias("exact")
+    )
