@@ -91,3 +91,11 @@ def op4_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("back").eqNullSafe(F.col("text")).alias("exact")
     )
+
+
+@query("op9_main_text")
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import extract
+
+    pages = table(spark, sf_dir, "pages")
+    return extract.extract(pages, extract.fit(pages))
