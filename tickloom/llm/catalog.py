@@ -99,3 +99,10 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages")
     return extract.extract(pages, extract.fit(pages))
+
+
+@query("op1_prefix_forest")
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import forest
+
+    return forest.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)

@@ -33,7 +33,9 @@ from tickloom.llm.words import mix, shingle_sets, words
 from tickloom.plans.lineage import stage
 
 #: Common shingles that are ordered last, at most (8 bytes each in every task).
-COMMON = 1 << 18
+COMMON = 1 << 20
+#: Reported occurrences from which a shingle counts as common.
+LEAST_COMMON = 12
 #: Shingles that a task counts at once.
 COUNTED = 1 << 22
 
@@ -51,13 +53,13 @@ def _signature(found: np.ndarray) -> tuple[int, int]:
 def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Rows `d` with size and signature of each document, rows `s` with shingles that repeat: doc_id holds the value, n the count."""
     held: list[np.ndarray] = []
-    rows = size = 0
+    size = 0
 
     def counted():
         if not held:
             return None
         value, count = np.unique(np.concatenate(held), return_counts=True)
-        often = count >= max(3, rows // 1000)
+        often = count >= 2
         return _batch("s", value[often].view(np.int64), count[often], None, None) if often.any() else None
 
     for batch in batches:
@@ -66,12 +68,11 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             signs = np.array([_signature(s) for s in sets], np.int64).reshape(-1, 2)
             yield _batch("d", part.column(0), np.array([len(s) for s in sets]), signs[:, 0], signs[:, 1])
             held += sets
-            rows += len(sets)
             size += sum(map(len, sets))
             if size >= COUNTED:
                 if (out := counted()) is not None:
                     yield out
-                held, rows, size = [], 0, 0
+                held, size = [], 0
     if (out := counted()) is not None:
         yield out
 
@@ -219,7 +220,8 @@ def _same_set(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 def _common(signed: DataFrame) -> np.ndarray:
     """The most frequent shingles, COMMON at most, in order of value."""
-    sums = stage(signed.where("kind = 's'").groupBy(F.col("doc_id").alias("shingle")).agg(F.sum("n").alias("c")))
+    sums = signed.where("kind = 's'").groupBy(F.col("doc_id").alias("shingle")).agg(F.sum("n").alias("c"))
+    sums = stage(sums.where(F.col("c") >= LEAST_COMMON))
     n = sums.count()
     if not n:
         return np.zeros(0, np.uint64)
