@@ -2,7 +2,7 @@
 
 Test items are taken in blocks of at most BLOCK_ITEMS, whose n-grams go to every task; the corpus is read in place and
 its texts are never shuffled. A first pass counts in how many documents each n-gram of an item occurs (partial sums per
-task), and the rarest of every item become its seeds. A second pass finds seeds in the documents, cuts the window around
+task), and the rarest that occur at all become the item's seeds. A second pass finds seeds in the documents, cuts the window around
 each hit and aligns its words with the item. A copy counts if score / best possible score >= `threshold`, so
 insertions, deletions and replaced words are tolerated.
 
@@ -76,7 +76,8 @@ class Items:
             df = documents[np.searchsorted(self.seed, g)] if len(g) else np.zeros(0)
             n = max(LEAST_SEEDS, int(np.ceil(len(g) * SEED_SHARE)))
             out = g.copy()
-            out[np.argsort(df, kind="stable")[n:]] = 0
+            order = np.argsort(np.where(df > 0, df, np.inf), kind="stable")  # what no document holds finds nothing
+            out[order[n:]] = 0
             seeds.append(out)
         rare = Items(self.ids, self.value, self.seed, self.bounds, self.at)
         rare.index(seeds)
