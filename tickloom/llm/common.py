@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.plans.lineage import stage
+from tickloom.plans.lineage import stage, unstage
 
 #: Bytes of text that a task turns into arrays at once; a longer single text is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -24,6 +24,8 @@ def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.n
     """UTF-8 bytes and row offsets of a text column; null counts as empty. No copy is made of a plain column."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if column.null_count:
         column = column.fill_null("")
     wide = pa.types.is_large_string(column.type)
@@ -70,7 +72,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b"))
         )
-        edges = stage(small.where("a <> b").distinct())
+        old, edges = edges, stage(small.where("a <> b").distinct())
+        unstage(old)
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if before == (state["n"], state["x"]):
             break
@@ -79,9 +82,9 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).distinct()
 
 
-def thin_out(df: DataFrame, column: str, keys: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
-    """Rows of `df` whose `column` may be among `keys` (one column of that name): a bitmap of at most 8 MB, so a later
-    equi-join moves fewer rows. Some other rows pass too; none that has a key is lost. Null keys always pass."""
+def may_hold(df: DataFrame, column: str, keys: DataFrame, most_bits: int = 1 << 26) -> Column:
+    """Condition on `df`: `column` may be among `keys` (one column of that name). A bitmap of at most 8 MB, so a later
+    equi-join moves fewer rows: no row with a key fails it, some others pass, null always does."""
     n = max(1, keys.count())
     bits = min(most_bits, 1 << max(10, (16 * n - 1).bit_length()))
     place = F.pmod(F.xxhash64(column), F.lit(bits))
@@ -93,9 +96,8 @@ def thin_out(df: DataFrame, column: str, keys: DataFrame, most_bits: int = 1 <<
     bitmap[found["w"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64)
     held = df.sparkSession.sparkContext.broadcast(bitmap)
 
-    @F.arrow_udf("boolean")
     def there(places: pa.Array) -> pa.Array:
         at = places.to_numpy(zero_copy_only=False)
         return pa.array((held.value[at >> 6] >> (at & 63)) & 1 == 1)
 
-    return df.where(F.col(column).isNull() | there(place))
+    return F.col(column).isNull() | F.arrow_udf(there, "boolean")(place)

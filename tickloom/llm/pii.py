@@ -121,7 +121,7 @@ def examples(texts: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
                 if (kind == "card" and not row[5]) or (kind == "ip" and not row[6]) or (kind == "email" and not row[10]):
                     x.append(row)
                     y.append(0.0)
-    return np.array(x).reshape(len(y), -1), np.array(y)
+    return np.array(x).reshape(len(y), -1 if y else 0), np.array(y)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> tuple[Trees, float] | None:
