@@ -118,6 +118,22 @@ def test_long_dense_buffer_crosses_average_blocks(spark):
     compare(out, streams, lambda t, i: micro(t, i, WINDOWS, 600) if i % 37 == 0 else {}, None, 1e-9)
 
 
+@pytest.mark.parametrize("alphas", [(0.99, 0.001), (0.95, 0.01), (1.0, 0.5)])
+def test_averages_are_exact_for_any_alpha(spark, alphas):
+    streams, rows = make_ticks(4, 1500, ("A",), (0.05, 0.1, 0.3), jumps=False)
+    out = ft.rolling_features(spark.createDataFrame(rows, COLUMNS), ft.microstructure_v1(ewma_alphas=alphas), label=False)
+    got = {r["arrival"]: r for r in out.select("arrival", "ewma_vol_fast", "ewma_vol_slow").collect()}
+    ticks = [t for _, t in streams["A"]]
+    for i in range(0, len(ticks), 53):
+        kept = [t for t in ticks[: i + 1] if t["ts"] >= ticks[i]["ts"] - 600]
+        for name, alpha in zip(("ewma_vol_fast", "ewma_vol_slow"), alphas):
+            level = 0.0
+            for a, b in zip(kept, kept[1:]):
+                step = math.log(b["price"] / a["price"]) if a["price"] > 0 and b["price"] > 0 else 0.0
+                level = alpha * abs(step) + (1 - alpha) * level
+            assert close(got[i][name], level, 1e-10), (i, name, got[i][name], level)
+
+
 def test_features_do_not_see_the_future(spark):
     _, rows = make_ticks(6, 200, ("A",))
     changed = rows[:120] + [(*r[:3], r[3] * 2 + 1, *r[4:]) for r in rows[120:]]

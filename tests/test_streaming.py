@@ -1,4 +1,5 @@
 import json
+import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from test_features import make_ticks
 from tickloom import schemas
 from tickloom.operators import features as ft
 from tickloom.operators.identity import with_identity
+from tickloom.sources import tables
 from tickloom.sources import ticks as src
 from tickloom.streaming import joins, sinks
 from tickloom.streaming.features import FeatureStream
@@ -71,6 +73,7 @@ def test_read_model_keeps_the_first_write(spark):
     for i, rows in enumerate(([event, {"event_id": ""}], [{**event, "score": 0.9}, {**event, "event_id": "t:0:2"}])):
         with open(f"{source}/{i}.json", "w") as fh:
             fh.writelines(json.dumps({"value": json.dumps(r)}) + "\n" for r in rows)
+        os.utime(f"{source}/{i}.json", (1_000_000 + i, 1_000_000 + i))  # a file source goes by modification time
     log = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).json(source)
     good, _ = src.parse_predictions(log)
     query = sinks.to_read_model(good, f"{out}/t", schemas.PREDICTION, "event_id", f"{out}/c", trigger={"availableNow": True})
@@ -80,6 +83,14 @@ def test_read_model_keeps_the_first_write(spark):
     assert rows["t:0:1"]["feature_ts"] == "2026-01-01T00:00:00.000000+00:00"
 
 
+def test_first_write_in_log_order_within_a_batch(spark):
+    rows = [("k", 0, i, float(i)) for i in (7, 3, 5)] + [("q", 1, 2, 1.0), ("q", 0, 9, 2.0), (None, 0, 0, 0.0), ("old", 0, 1, 1.0)]
+    batch = spark.createDataFrame(rows, "event_id string, source_partition int, source_offset long, score double")
+    old = spark.createDataFrame([("old",)], "event_id string")
+    new = tables.insert_or_ignore(old, batch.repartition(3), "event_id", ("source_partition", "source_offset"))
+    assert {(r["event_id"], r["score"]) for r in new.collect()} == {("k", 3.0), ("q", 2.0)}
+
+
 def test_stream_join_dedupe_and_mirror(spark):
     p, o, out = folder(), folder(), folder()
     at = lambda s: f"2026-01-01T00:{s // 60:02d}:{s % 60:02d}Z"

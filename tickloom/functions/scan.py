@@ -177,6 +177,9 @@ def with_value_chunk(
 ) -> DataFrame:
     """Add the range number of `value`, ranges being equally filled by the `source` rows.
 
+    For a scan of distinct values `source` holds every value once: a value that most rows share must not draw the
+    edges to itself.
+
     The edges come from an approximate-quantile sketch of bounded size, combined
     map-side, and reach the rows as one scalar array: nothing that grows with the
     data is collected or broadcast.
@@ -207,7 +210,9 @@ def value_ladder(
     steps = present.groupBy(*keys, value).agg(
         *[F.sum(col(weight)).alias(name) for name, weight in weights.items()]
     )
-    chunked = with_value_chunk(steps, present, value, "__chunk", chunks)
+    # per key the same value is one step, so the steps themselves are what the ranges must share evenly; their
+    # exchange serves the sketch and the scan
+    chunked = with_value_chunk(steps, steps, value, "__chunk", chunks)
     return running_totals(
         chunked,
         list(keys),

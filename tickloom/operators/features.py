@@ -22,6 +22,7 @@ first instant and ends with the tick that completes the horizon.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -211,56 +212,43 @@ def _order(keys: Sequence[str], arrival: str):
     }
 
 
-EWMA_BLOCK = 256
+#: Scaled sums stay within exp(+-EWMA_RANGE), far inside double precision's range.
+EWMA_RANGE = 230.0
+
+
+def _ewma_block(alpha: float) -> int:
+    """Rows whose scaled sum cannot overflow; after two blocks a return's weight is below exp(-EWMA_RANGE)."""
+    beta = 1.0 - alpha
+    return max(1, min(int(EWMA_RANGE / -math.log(beta)), 1 << 30)) if beta > 0 else 1
 
 
 def _with_ewma(df: DataFrame, keys: Sequence[str], arrival: str, alphas: Sequence[float]) -> DataFrame:
-    """Exponential averages of |return| from block-local scaled sums.
+    """Exponential averages of |return| since the start of the slice's copy, for any alpha in (0, 1].
 
-    Within a block of rows the recurrence is a running sum of `|r| / beta^pos`;
-    the two preceding blocks are carried in. Anything older is weighted below
-    beta^512 and vanishes in double precision.
+    Within a block of rows the recurrence is a running sum of `|r| / beta^pos`; the blocks before are carried in. The
+    block length follows alpha, so no power overflows and nothing that counts is cut off.
     """
     wins = _order(keys, arrival)
-    blocked = df.withColumns(
-        {
-            "__pos": (F.col("__rn") - 1) % EWMA_BLOCK,
-            "__blk": F.floor((F.col("__rn") - 1) / F.lit(EWMA_BLOCK)),
-        }
-    )
-    in_block = (
-        Window.partitionBy(*keys, "__slice", "__blk")
-        .orderBy("ts_us", arrival)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = {}
+    out = df
     for i, alpha in enumerate(alphas):
-        beta = 1.0 - alpha
-        scaled = F.sum(F.abs("__r") * F.pow(F.lit(beta), -F.col("__pos"))).over(in_block)
-        local[f"__loc{i}"] = F.lit(alpha) * F.pow(F.lit(beta), F.col("__pos")) * scaled
-    out = blocked.withColumns(local)
-    ends = F.col("__pos") == EWMA_BLOCK - 1
-
-    def carried(name: str) -> Column:
-        return F.coalesce(
-            F.last(F.when(ends, F.col(name)), ignorenulls=True).over(wins["earlier"]), F.lit(0.0)
+        if not 0.0 < alpha <= 1.0:
+            raise ValueError(f"alpha {alpha} is not in (0, 1]")
+        size, beta = _ewma_block(alpha), 1.0 - alpha
+        pos, ends = (F.col("__rn") - 1) % size, F.col("__rn") % size == 0
+        in_block = (
+            Window.partitionBy(*keys, "__slice", "__blk").orderBy("ts_us", arrival).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
 
-    out = out.withColumns({f"__pre{i}": carried(f"__loc{i}") for i in range(len(alphas))})
-    out = out.withColumns(
-        {
-            f"__end{i}": F.col(f"__loc{i}") + F.lit((1.0 - a) ** EWMA_BLOCK) * F.col(f"__pre{i}")
-            for i, a in enumerate(alphas)
-        }
-    )
-    out = out.withColumns({f"__carry{i}": carried(f"__end{i}") for i in range(len(alphas))})
-    return out.withColumns(
-        {
-            f"__ewma{i}": F.col(f"__loc{i}")
-            + F.pow(F.lit(1.0 - a), F.col("__pos") + 1) * F.col(f"__carry{i}")
-            for i, a in enumerate(alphas)
-        }
-    )
+        def carried(name: str, ends=ends) -> Column:
+            last = F.last(F.when(ends, F.col(name)), ignorenulls=True).over(wins["earlier"])
+            return F.coalesce(last, F.lit(0.0))
+
+        power = lambda n, beta=beta: F.pow(F.lit(beta), n) if beta > 0 else (n == 0).cast("double")
+        scaled = F.sum(F.abs("__r") / power(pos)).over(in_block)
+        out = out.withColumn("__blk", F.floor((F.col("__rn") - 1) / F.lit(size))).withColumn("__loc", F.lit(alpha) * power(pos) * scaled)
+        out = out.withColumn("__pre", carried("__loc")).withColumn("__end", F.col("__loc") + F.lit(beta**size) * F.col("__pre"))
+        out = out.withColumn(f"__ewma{i}", F.col("__loc") + power(pos + 1) * carried("__end")).drop("__blk", "__loc", "__pre", "__end")
+    return out
 
 
 def rolling_features(

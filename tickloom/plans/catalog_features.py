@@ -230,6 +230,19 @@ def ewma_vol(spark, sf):
     return out.select("arrival", r("ewma_vol_fast").alias("fast"), r("ewma_vol_slow").alias("slow"))
 
 
+@query(
+    "ewma_alphas",
+    f"""WITH {RETURNS},
+m AS (SELECT *, list(ret) OVER f4 AS r4 FROM quotes WINDOW {back(4 * W, 'f4')})
+SELECT arrival, {rs('list_reduce([0.0::DOUBLE] || r4[2:], lambda a, x: 0.95::DOUBLE * abs(x) + 0.05::DOUBLE * a)')} AS fast,
+       {rs('list_reduce([0.0::DOUBLE] || r4[2:], lambda a, x: 0.01::DOUBLE * abs(x) + 0.99::DOUBLE * a)')} AS slow FROM m""",
+)
+def ewma_alphas(spark, sf):
+    spec = ft.microstructure_v1(**MICRO, ewma_alphas=(0.95, 0.01))
+    out = ft.rolling_features(ticks(spark, sf), spec, label=False, slice_seconds=SLICE, retention_seconds=RETENTION)
+    return out.select("arrival", r("ewma_vol_fast").alias("fast"), r("ewma_vol_slow").alias("slow"))
+
+
 @query(
     "segmented_features",
     f"""WITH {TICKS},

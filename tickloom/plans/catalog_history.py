@@ -924,12 +924,15 @@ def normalize_timestamps(spark, sf):
 
 @query(
     "insert_or_ignore",
-    "SELECT DISTINCT CAST(event_id % 4000 AS VARCHAR) AS event_id FROM events WHERE event_id % 4000 % 3 <> 0",
+    """SELECT CAST(event_id % 4000 AS VARCHAR) AS event_id, arg_min(value, event_id) AS value FROM events
+WHERE event_id % 4000 % 3 <> 0 GROUP BY 1""",
 )
 def insert_or_ignore(spark, sf):
-    batch = table(spark, sf, "events").select((F.col("event_id") % 4000).cast("string").alias("event_id"), "value")
+    batch = table(spark, sf, "events").select(
+        (F.col("event_id") % 4000).cast("string").alias("event_id"), "value", F.col("event_id").alias("source_offset")
+    )
     existing = batch.where("cast(event_id as bigint) % 3 = 0").select("event_id").distinct()
-    return tb.insert_or_ignore(existing, batch, "event_id").select("event_id")
+    return tb.insert_or_ignore(existing, batch, "event_id", ("source_offset",)).select("event_id", "value")
 
 
 @query(
@@ -941,24 +944,26 @@ def score_baseline(spark, sf):
 
 
 def vectors(spark, sf):
+    """Every component of every embedding as a column, and their names."""
     rows = table(spark, sf, "embeddings")
-    return rows.select(
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"x{i}" for i in range(width)]
+    out = rows.select(
         "vec_id", F.col("vec_id").alias("ts_us"), (F.col("label") % 2).cast("int").alias("y"),
-        *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)],
+        *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)],
     )
+    return out, names
 
 
 @query("score_ml")
 def score_ml(spark, sf):
-    rows = vectors(spark, sf)
-    scorer = ml.fit_candidate(rows, [f"x{i}" for i in range(8)], "logistic", {"max_iter": 20}, label="y")
-    return ml.score_ml(rows, scorer).select("vec_id", F.round("score", 3).alias("score"))
+    rows, names = vectors(spark, sf)
+    held_out = F.col("vec_id") % 5 == 0
+    scorer = ml.fit_candidate(rows.where(~held_out), names, "logistic", label="y")
+    return ml.score_ml(rows.where(held_out), scorer).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("walkforward")
 def walkforward(spark, sf):
-    out = ml.walkforward_evaluate(
-        vectors(spark, sf), [f"x{i}" for i in range(8)], "logistic", {"max_iter": 10}, label="y", folds=3,
-        embargo_seconds=1e-5,
-    )
-    return out["metrics"]
+    rows, names = vectors(spark, sf)
+    return ml.walkforward_evaluate(rows, names, "logistic", label="y", embargo_seconds=1e-5)["metrics"]

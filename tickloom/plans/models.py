@@ -43,21 +43,21 @@ def classifier(family: str, params: Mapping[str, object], seed: int, n_features:
     common = {"featuresCol": "features", "labelCol": "label"}
     if family in ("logistic", "sgd_logistic"):
         strength = 1.0 / (float(p.get("C", 1.0)) * max(n_rows, 1)) if family == "logistic" else float(p.get("alpha", 1e-4))
-        return LogisticRegression(maxIter=int(p.get("max_iter", 100)), regParam=strength, **common)
+        return LogisticRegression(maxIter=int(p.get("max_iter", 1000)), regParam=strength, **common)
     if family in ("random_forest", "extra_trees"):
         return RandomForestClassifier(
             numTrees=int(p.get("n_estimators", 300)), minInstancesPerNode=int(p.get("min_samples_leaf", 5)),
-            maxDepth=int(p.get("max_depth", 10)), seed=seed, **common,
+            maxDepth=int(p.get("max_depth", 30)), seed=seed, **common,
         )
     if family == "hist_gradient_boosting":
         return GBTClassifier(
-            maxIter=int(p.get("max_iter", 50)), stepSize=float(p.get("learning_rate", 0.05)),
+            maxIter=int(p.get("max_iter", 300)), stepSize=float(p.get("learning_rate", 0.05)),
             maxDepth=int(p.get("max_depth", 5)), minInstancesPerNode=int(p.get("min_samples_leaf", 5)), seed=seed, **common,
         )
     if family == "neural":
         width = int(p.get("hidden_width", 64))
         return MultilayerPerceptronClassifier(
-            layers=[n_features, width, 2], maxIter=int(p.get("max_iter", 100)), seed=seed, **common
+            layers=[n_features, width, 2], maxIter=int(p.get("max_iter", 300)), seed=seed, **common
         )
     raise ValueError(f"unknown model family {family!r}; expected one of {', '.join(FAMILIES)}")
 

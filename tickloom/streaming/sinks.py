@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,8 +29,8 @@ def to_log(df: DataFrame, kind: str, topic: str, servers: str, checkpoint: str)
     )
 
 
-def read_model_batch(path: str, schema: StructType, key: str, stamp: str | None = None):
-    """A batch handler that appends only keys the table does not hold yet; first write wins.
+def read_model_batch(path: str, schema: StructType, key: str, stamp: str | None = None, order: Sequence[str] = ()):
+    """A batch handler that appends only keys the table does not hold yet; the first write in log `order` wins.
 
     Each batch is its own folder, overwritten if the batch is repeated.
     """
@@ -38,7 +40,7 @@ def read_model_batch(path: str, schema: StructType, key: str, stamp: str | None
         if "batch" in existing.columns:
             existing = existing.where(F.col("batch") != batch_id)
         from_elsewhere = existing.where(~F.input_file_name().contains(f"/batch={batch_id}/"))
-        new = insert_or_ignore(from_elsewhere, batch, key, stamp)
+        new = insert_or_ignore(from_elsewhere, batch, key, order, stamp)
         new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return handle
@@ -46,10 +48,10 @@ def read_model_batch(path: str, schema: StructType, key: str, stamp: str | None
 
 def to_read_model(
     stream: DataFrame, path: str, schema: StructType, key: str, checkpoint: str, stamp: str | None = None,
-    trigger: dict | None = None,
+    trigger: dict | None = None, order: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Project a stream into a keyed table. A rebuild is a new checkpoint read from the start."""
-    writer = stream.writeStream.foreachBatch(read_model_batch(path, schema, key, stamp))
+    """Project a stream into a keyed table; `order` is the log position that decides between equal keys. A rebuild is a new checkpoint read from the start."""
+    writer = stream.writeStream.foreachBatch(read_model_batch(path, schema, key, stamp, order))
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
