@@ -73,12 +73,8 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they decode to it."""
     vocabulary = pieces.Vocabulary.load()
-    out = docs.withColumn("ids", pieces.encoded(spark, F.col("text"), vocabulary))
-    out = out.withColumn("back", pieces.decoded(spark, F.col("ids"), vocabulary))
-    return out.select(
-        "doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_ids"), "ids",
-        F.col("back").eqNullSafe(F.col("text")).alias("exact"),
-    )
+    out = docs.withColumn("p", pieces.encoded(spark, F.col("text"), vocabulary))
+    return out.select("doc_id", "lang", "source", "n_chars", F.size("p.ids").cast("long").alias("n_ids"), "p.ids", "p.exact")
 
 
 STAGES: list[tuple[str, Stage]] = [

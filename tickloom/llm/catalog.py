@@ -86,11 +86,8 @@ def op4_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary = pieces.Vocabulary.load()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = docs.withColumn("ids", pieces.encoded(spark, F.col("text"), vocabulary))
-    out = out.withColumn("back", pieces.decoded(spark, F.col("ids"), vocabulary))
-    return out.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("back").eqNullSafe(F.col("text")).alias("exact")
-    )
+    out = docs.withColumn("p", pieces.encoded(spark, F.col("text"), vocabulary))
+    return out.select("doc_id", "p.ids", F.size("p.ids").cast("long").alias("n_ids"), "p.exact")
 
 
 @query("op9_main_text")
