@@ -110,7 +110,7 @@ def test_asof_uses_last_fully_observed_second(spark):
     with pytest.raises(ValueError, match="duplicate trade_id"):
         asof.join_trades_to_books(trades.unionByName(trades), books)
     clash = books.unionByName(books.withColumn("segment_id", F.lit(7).cast("bigint")))
-    with pytest.raises(Exception, match="conflict"):
+    with pytest.raises(Exception, match="claim"):
         asof.infer_segments(trades.drop("segment_id"), clash).collect()
 
 

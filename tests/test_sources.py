@@ -96,5 +96,5 @@ def test_history_to_features_job(spark):
     outputs = pipelines.materialize_segmented_features(tb.read_history(spark, root, "trades"), tb.read_history(spark, root, "book_states"))
     written = {r["feature_set_id"]: r["rows"] for r in pipelines.write_feature_sets(outputs, folder()).collect()}
     assert written["core_v1"] == written["microstructure_v1"] == len(out)
-    with pytest.raises(ValueError, match="exactly"):
+    with pytest.raises(ValueError, match="want outputs"):
         pipelines.write_feature_sets({"core_v1": trades}, folder())

@@ -19,7 +19,9 @@ RESOLUTIONS = (
 
 def auto_resolution(range_seconds: float, max_points: int = MAX_POINTS) -> int:
     """Smallest readable bucket that keeps the range within `max_points`."""
-    return next((step for step in RESOLUTIONS if range_seconds / step <= max_points), RESOLUTIONS[-1])
+    day = RESOLUTIONS[-1]  # beyond the ladder: whole days
+    whole = -(-range_seconds // (max_points * day)) * day
+    return next((step for step in RESOLUTIONS if range_seconds / step <= max_points), int(whole))
 
 
 def row_class(anchor: Column, horizon_seconds: float = HORIZON_SECONDS) -> Column:
@@ -91,15 +93,18 @@ def timeline(
     end: Column,
     anchor: Column,
     range_seconds: float,
-    resolution_seconds: int | None = None,
+    resolution_seconds: int | str | None = None,
     horizon_seconds: float = HORIZON_SECONDS,
 ) -> tuple[DataFrame, bool, int | None]:
-    """Points of `[start, end)`: raw while they fit, bucketed otherwise or on request."""
+    """Points of `[start, end)`: raw without a resolution, else in buckets of so many seconds ("auto": by the range).
+
+    The caller decides; how many rows there are never changes the form.
+    """
     seen = event_time("feature_ts")
     classified = classify(joined.where((seen >= start) & (seen < end)), anchor, horizon_seconds)
-    if resolution_seconds is None and classified.limit(MAX_POINTS + 1).count() <= MAX_POINTS:
+    if resolution_seconds is None:
         return raw_points(classified), False, None
-    used = resolution_seconds or auto_resolution(max(range_seconds, 1.0))
+    used = auto_resolution(max(range_seconds, 1.0)) if resolution_seconds == "auto" else int(resolution_seconds)
     return bucket_points(classified, start, used), True, used
 
 

@@ -171,7 +171,7 @@ def walkforward_evaluate(
     """
     used = [c for c in columns if c != removed_feature]
     if not used:
-        raise ValueError("no usable development feature columns")
+        raise ValueError("every feature column was removed")
     members, plan = splits.make_temporal_splits(df, folds, holdout_fraction, embargo_seconds, label, ts, order)
     members = stage(members.where(F.col("role") != "holdout"))
     parts = []

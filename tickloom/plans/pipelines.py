@@ -50,7 +50,7 @@ def write_feature_sets(outputs: dict[str, DataFrame], root: str) -> DataFrame:
     """Write the feature sets once (existing ones are an error); their rows and content digests."""
     wanted = set(ft.FEATURE_SETS)
     if set(outputs) != wanted:
-        raise ValueError(f"feature outputs must contain exactly {sorted(wanted)}; got {sorted(outputs)}")
+        raise ValueError(f"want outputs for {sorted(wanted)}, not {sorted(outputs)}")
     written = None
     for name, df in outputs.items():
         path = f"{root}/features/feature_set={name}"
@@ -69,9 +69,9 @@ def materialize_history(spark: SparkSession, root: str, feature_set_id: str, day
     spec = ft.feature_set(feature_set_id)
     trades = tables.read_history(spark, root, "trades", days)
     states = tables.read_history(spark, root, "book_states", days)
-    holes = tables.incomplete_days(trades, states).limit(5).collect()
+    holes = tables.incomplete_days(trades, states).collect()
     if holes:
-        raise ValueError(f"raw manifest is incomplete for {sorted(r['day'] for r in holes)}")
+        raise ValueError(f"days without trades or book states: {sorted(r['day'] for r in holes)}")
     return materialize_segmented_features(trades, states, [spec], **options)[feature_set_id]
 
 
@@ -125,10 +125,10 @@ def export_quality(report: DataFrame, per_day: DataFrame, out: str) -> None:
     per_day.coalesce(1).write.mode("overwrite").json(f"{out}/quality_days")
     head = report.select(
         F.concat_ws(
-            "\n", F.concat(F.lit("# Historical Data Quality: "), F.col("status")), F.lit(""),
-            F.concat(F.lit("Qualified seconds: "), F.col("qualified_seconds").cast("string")),
-            F.concat(F.lit("Calendar span seconds: "), F.col("calendar_span_seconds").cast("string")), F.lit(""),
-            F.lit("## Failures"), F.concat_ws("\n", F.transform("failures", lambda c: F.concat(F.lit("- "), c))),
+            "\n", F.concat(F.lit("# Audit of the history: "), F.col("status")), F.lit(""),
+            F.concat(F.lit("Seconds that qualify: "), F.col("qualified_seconds").cast("string")),
+            F.concat(F.lit("Seconds from first to last day: "), F.col("calendar_span_seconds").cast("string")), F.lit(""),
+            F.lit("## Codes"), F.concat_ws("\n", F.transform("failures", lambda c: F.concat(F.lit("- "), c))),
         ).alias("value"),
         F.lit("0").alias("k"),
     )
