@@ -8,7 +8,7 @@ by bounded counting inside tasks: every task reports the shingles that repeat in
 most COMMON of them go to the tasks.
 
 Links are wanted only as far as they join components. Candidates are verified in rounds: first every group against one
-pivot of each prefix shingle, then what still lies in different components. Two units that verified links already
+pivot of each prefix shingle, then against other pivots, then all pairs that still lie in different components. Two units that verified links already
 connect are not compared again, so a large group of near copies costs one comparison a member, not one a pair, and
 no link between components is lost.
 
@@ -28,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import components, slices, thin_out
+from tickloom.llm.common import components, may_hold, slices
 from tickloom.llm.words import mix, shingle_sets, words
-from tickloom.plans.lineage import stage
+from tickloom.plans.lineage import stage, unstage
 
 #: Common shingles that are ordered last, at most (8 bytes each in every task).
-COMMON = 1 << 20
+COMMON = 1 << 19
 #: Reported occurrences from which a shingle counts as common.
-LEAST_COMMON = 12
+LEAST_COMMON = 4
 #: Shingles that a task counts at once.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
+#: Rounds in which every prefix shingle has another pivot.
+ROUNDS = 3
 
 UNITS = "kind string, doc_id long, n long, hi long, lo long"
 PREFIX = "hi long, lo long, n long, rare int, prefix array<long>"
@@ -150,6 +152,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
     often = often.select("shingle", "grp", "n", "at").join(counts, "shingle")
     postings = stage(one.where("c > 1").unionByName(often.where("c > 1")).drop("c"))
     belongs = stage(units.select("unit", "head", "n").join(named, ["head", "n"]).where("g > 1").select("unit", "grp"))
+    unstage(prefixes)
 
     num, den = share.numerator, share.denominator
     able = lambda a, b: (F.least(f"{a}.n", f"{b}.n") * den >= F.greatest(f"{a}.n", f"{b}.n") * num)
@@ -163,13 +166,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
         used = pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct()
         reps = stage(units.join(used, "unit").select("unit", "doc_id", "hi", "lo", "n"))
         # the least id of a unit leads to one of its texts; the signature tells it from other rows with the same id
-        near = thin_out(kept, "doc_id", reps.select("doc_id"))
+        near = kept.where(may_hold(kept, "doc_id", reps.select("doc_id")))
         found = near.join(reps, near.doc_id.eqNullSafe(reps.doc_id)).select("unit", "hi", "lo", "n", "text")
         checked = stage(found.mapInArrow(partial(_same_set, k=k), "unit long, text string").dropDuplicates(["unit"]))
         both = pairs.join(checked.select(F.col("unit").alias("a"), F.col("text").alias("left_text")), "a").join(
             checked.select(F.col("unit").alias("b"), F.col("text").alias("right_text")), "b"
         ).select("a", "b", "left_text", "right_text")
-        return stage(both.mapInArrow(partial(_linked, k=k, share=share), "a long, b long"))
+        out = stage(both.mapInArrow(partial(_linked, k=k, share=share), "a long, b long"))
+        unstage(reps, checked)
+        return out
 
     # members of one group against the group's first unit, groups against the pivot of each of their shingles
     inside = belongs.where("unit <> grp").select(F.col("grp").alias("a"), F.col("unit").alias("b"))
@@ -180,20 +185,43 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
     links = verified(tried)
     labels = stage(components(links)).withColumnRenamed("node", "unit")
 
+    many = stage(postings.select("grp").distinct().join(belongs, "grp", "left").select("grp", F.coalesce("unit", "grp").alias("unit")))
+
+    def still_open() -> DataFrame:
+        """Postings, by unit, of the shingles whose units lie in different components."""
+        placed = stage(many.join(labels, "unit", "left").select("grp", "unit", F.coalesce("component", "unit").alias("comp")))
+        spread = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        several = postings.join(spread, "grp").groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        several = several.where("low < high").select("shingle")
+        out = stage(postings.select("shingle", "grp", "n", "at").join(several, "shingle").join(placed, "grp"))
+        unstage(placed)
+        return out
+
+    # every shingle of a group of near copies has another pivot, so a member meets many: pairs stay linear in postings
+    for turn in range(1, ROUNDS):
+        left = still_open()
+        pivots = left.groupBy("shingle").agg(
+            F.min_by(F.struct("unit", "comp", "n", "at"), F.xxhash64("unit", "shingle", F.lit(turn))).alias("x")
+        )
+        met = left.select("shingle", F.struct("unit", "comp", "n", "at").alias("y")).join(pivots, "shingle")
+        met = met.where((F.col("x.comp") != F.col("y.comp")) & able("x", "y") & room("x", "y"))
+        pairs = _ordered(met.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b"))).distinct()
+        pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"))
+        unstage(left)
+        found = verified(pairs)
+        tried, links, old = stage(tried.unionByName(pairs)), stage(links.unionByName(found)), (tried, links, labels, pairs, found)
+        labels = stage(components(links)).withColumnRenamed("node", "unit")
+        unstage(*old)
+
     # what is left: unit pairs of a shared shingle that lie in different components and have not been compared
-    many = postings.select("grp").distinct().join(belongs, "grp", "left").select("grp", F.coalesce("unit", "grp").alias("unit"))
-    placed = stage(many.join(labels, "unit", "left").select("grp", "unit", F.coalesce("component", "unit").alias("comp")))
-    spread = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    several = postings.join(spread, "grp").groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    left = stage(
-        postings.select("shingle", "grp", "n", "at").join(several.where("low < high").select("shingle"), "shingle").join(placed, "grp")
-    )
+    left = still_open()
     rest = left.alias("x").join(left.alias("y"), "shingle").where(
         (F.col("x.unit") < F.col("y.unit")) & (F.col("x.comp") != F.col("y.comp")) & able("x", "y") & room("x", "y")
     )
     rest = rest.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b")).distinct()
     more = verified(stage(rest.join(tried, ["a", "b"], "left_anti")))
     labels = stage(components(links.unionByName(more))).withColumnRenamed("node", "unit")
+    unstage(postings, left, many, tried, belongs)
 
     named = units.join(labels, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -230,4 +258,5 @@ def _common(signed: DataFrame) -> np.ndarray:
         sums = sums.where(F.col("c") > edge)
         if sums.count() > COMMON:  # the sketch was too far off
             sums = sums.where(F.col("c") > 2 * edge)
-    return np.sort(np.array([r[0] for r in sums.select("shingle").limit(COMMON).collect()], np.int64).view(np.uint64))
+    held = sums.select("shingle").limit(COMMON).toArrow().column(0).to_numpy()
+    return np.sort(held.astype(np.int64).view(np.uint64))
