@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, ngram_join, pieces, pii, quality
-from tickloom.llm.common import may_hold, table
+from tickloom.llm.common import may_hold, small_batches, table
 from tickloom.plans import lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,6 +25,7 @@ def _tidy(step: Stage) -> Stage:
     """Remove what the stage before staged, and note what this one stages."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         lineage.remove(spark, _left_by_last)
         before = set(lineage.staged())
         out = step(spark, docs, sf_dir)

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import table
+from tickloom.llm.common import small_batches
+from tickloom.llm.common import table as whole_table
 from tickloom.plans.inputs import registrar
 from tickloom.plans.lineage import checkpoint_folder
 
@@ -16,6 +17,11 @@ ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return whole_table(spark, sf_dir, name)
+
+
 @query(
     "op3_warc_revisits",
     """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),

@@ -15,6 +15,17 @@ from tickloom.plans.lineage import stage, unstage
 SLICE_BYTES = 1 << 20
 
 
+#: Rows that pass between the JVM and Python at once: texts may be long, and both sides hold a batch.
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a batch of whole texts takes in an executor; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole given table."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -37,7 +37,7 @@ from tickloom.llm.words import mix
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids, and pairs whose verdicts (a power of two), a worker remembers.
-CACHED_WORDS, CACHED_PAIRS = 500_000, 1 << 20
+CACHED_WORDS, CACHED_PAIRS = 240_000, 1 << 19
 #: Longest word that is remembered, and how many places pass between looks for a meeting point.
 LONGEST_CACHED, STRIDE = 64, 32
 
