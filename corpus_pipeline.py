@@ -61,7 +61,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an exact or edited copy of a benchmark item go."""
-    held = decontaminate.blocks(docs, table(spark, sf_dir, "benchmark"))
+    held = decontaminate.blocks(table(spark, sf_dir, "benchmark"))
     return docs.where(~F.arrow_udf(decontaminate.contaminated(held), "boolean")(F.coalesce("text", F.lit(""))))
 
 

@@ -382,6 +382,19 @@ def test_decontamination_catches_edited_copies(spark, edge_docs, no_docs):
     assert {r["contaminated"] for r in decontaminate.score(edge_docs, bench.where("false")).collect()} == {False}
 
 
+def test_decontamination_finds_what_full_alignment_finds(spark):
+    item = [f"w{j}" for j in range(40)]
+    swapped = [w if j % 5 else f"z{j}" for j, w in enumerate(item)]
+    texts = [item, swapped, item[:12] + [f"y{j}" for j in range(28)] + item[12:], ["a"] * 30 + swapped + ["b"] * 30, item[:15], swapped[:20]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    number = {w: i for i, w in enumerate({w for t in texts for w in t})}
+    plain = {i: decontaminate.align(*(np.array([number[w] for w in t]) for t in (item, text)))[0] / 80 for i, text in enumerate(texts)}
+    got = {r["doc_id"]: r["score"] for r in decontaminate.score(docs, bench).collect()}
+    assert got == {i: s if s >= 0.5 else None for i, s in plain.items()}
+    assert [i for i, s in got.items() if s is None] == [4, 5]
+
+
 def test_decontamination_in_blocks_gives_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"q{i}x{j}" for j in range(20))) for i in range(40)]
     data = [(i, f"pre text {items[i % 40][1]} and {items[(i * 7) % 40][1]} post" if i % 2 else "nothing here at all") for i in range(80)]

@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Test items are taken in blocks of at most BLOCK_ITEMS, whose n-grams go to every task; the corpus is read in place and
-its texts are never shuffled. A first pass counts in how many documents each n-gram of an item occurs (partial sums per
-task), and the rarest that occur at all become the item's seeds. A second pass finds seeds in the documents, cuts the window around
-each hit and aligns its words with the item. A copy counts if score / best possible score >= `threshold`, so
-insertions, deletions and replaced words are tolerated.
+Test items are taken in blocks of at most BLOCK_ITEMS, whose n-grams go to every task; the corpus is read in place, once
+for each block, and its texts are never shuffled. Every n-gram of an item is a seed. Items that share a seed with a
+document and enough of whose words are in it are aligned with the window around each hit, which is as wide as a copy
+over the threshold can be. A copy counts if score / best possible score >= `threshold`, so insertions, deletions and
+replaced words are tolerated, as long as one n-gram of the item is intact.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Defined cases: null, empty and blank
 texts are clean; items without words match nothing; items shorter than an n-gram are sought as a whole; repeated rows
@@ -29,8 +29,6 @@ from tickloom.plans.lineage import stage
 #: Test items whose n-grams a task holds at once; more items are taken in further blocks.
 BLOCK_ITEMS = 20_000
 GRAM = 3
-#: Seeds of an item: its rarest n-grams, this share of them and at least so many.
-SEED_SHARE, LEAST_SEEDS = 0.5, 12
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 
@@ -40,48 +38,51 @@ _LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 
 @dataclass
 class Items:
-    """Words of a block of items, and their seeds: seed value -> the (item, place) pairs `at[bounds[i]:bounds[i + 1]]`."""
+    """Words of a block of items, and their seeds: seed value -> the (item, place) pairs `at[bounds[i]:bounds[i + 1]]`.
+
+    `word` has the distinct words of all items; those of item i are `word[own[first[i]:first[i + 1]]]`, in order.
+    """
 
     ids: list
     value: list[np.ndarray]
     seed: np.ndarray
     bounds: np.ndarray
     at: np.ndarray
+    word: np.ndarray
+    own: np.ndarray
+    first: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Items:
         rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
         found = words(pa.array([r[1] for r in rows], pa.string()), _LETTERS)
         value = [found.value[a:b] for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True)]
-        items = cls([r[0] for r in rows], value, *[np.zeros(0, np.int64)] * 3)
-        items.index([_grams(v) for v in value])
-        return items
-
-    def index(self, seeds: list[np.ndarray]) -> None:
-        """Seeds of each item by place; a place with value 0 is left out."""
-        every = np.concatenate([np.zeros(0, np.uint64), *seeds])
-        pairs = np.array([(i, p) for i, s in enumerate(seeds) for p in range(len(s))], np.int64).reshape(-1, 2)
-        used = every != 0
-        every, pairs = every[used], pairs[used]
+        every = np.concatenate([np.zeros(0, np.uint64), *[_grams(v) for v in value]])
+        pairs = np.array([(i, p) for i, v in enumerate(value) for p in range(len(_grams(v)))], np.int64).reshape(-1, 2)
         order = np.argsort(every, kind="stable")
-        self.seed, first = np.unique(every[order], return_index=True)
-        self.bounds = np.append(first, len(order))
-        self.at = pairs[order]
-
-    def keep_rare(self, documents: np.ndarray) -> Items:
-        """The same items with their rarest n-grams as seeds. `documents`: how many hold each value of `seed`."""
-        seeds = []
-        for v in self.value:
-            g = _grams(v)
-            df = documents[np.searchsorted(self.seed, g)] if len(g) else np.zeros(0)
-            n = max(LEAST_SEEDS, int(np.ceil(len(g) * SEED_SHARE)))
-            out = g.copy()
-            order = np.argsort(np.where(df > 0, df, np.inf), kind="stable")  # what no document holds finds nothing
-            out[order[n:]] = 0
-            seeds.append(out)
-        rare = Items(self.ids, self.value, self.seed, self.bounds, self.at)
-        rare.index(seeds)
-        return rare
+        seed, first = np.unique(every[order], return_index=True)
+        word, own = np.unique(found.value, return_inverse=True)
+        return cls([r[0] for r in rows], value, seed, np.append(first, len(order)), pairs[order], word, own, found.bounds)
+
+    def places(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (item, place) pairs of some seeds, and for each the position of its seed in `seeds`."""
+        flat, of = _ranges(self.bounds[seeds], self.bounds[seeds + 1])
+        return self.at[flat], of
+
+    def within(self, which: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """The share of each item's words that are among the words of a text. It bounds the score of any alignment."""
+        at = np.minimum(np.searchsorted(self.word, text), len(self.word) - 1)
+        held = np.zeros(len(self.word), bool)
+        held[at[self.word[at] == text]] = True
+        flat, of = _ranges(self.first[which], self.first[which + 1])
+        return np.bincount(of, held[self.own[flat]], len(which)) / (self.first[which + 1] - self.first[which])
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges start..end - 1 in a row, and the range of each."""
+    size = end - start
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size - start, size), of
 
 
 def _grams(value: np.ndarray) -> np.ndarray:
@@ -109,19 +110,6 @@ def _sizes(items: Items) -> list[int]:
     return sorted({min(GRAM, len(v)) for v in items.value if len(v)})
 
 
-def _count(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
-    items = items.value
-    total = np.zeros(len(items.seed), np.int64)
-    sizes = _sizes(items)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            row, _, seed = _hits(words(part.column(0), _LETTERS), items, sizes)
-            once = np.unique(row * max(1, len(items.seed)) + seed)
-            total += np.bincount(once % max(1, len(items.seed)), minlength=len(items.seed))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["seed", "n"])
-
-
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     """Best local alignment score of two word sequences, and the place in `window` after its end."""
     n = len(item)
@@ -140,6 +128,39 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Value, start and end of each run of equal values."""
+    start = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return x[start], start, np.append(start, len(x))[1:]
+
+
+def _copies(items: Items, text: np.ndarray, place: np.ndarray, seed: np.ndarray, threshold: float) -> list[tuple[float, int]]:
+    """(score, item) of the copies in one text, whose words at `place` begin the seeds `seed`."""
+    near = np.unique(items.places(np.unique(seed))[0][:, 0])
+    near = near[items.within(near, text) >= threshold]
+    if not len(near):
+        return []
+    pairs, of = items.places(seed)
+    kept = np.isin(pairs[:, 0], near)
+    item, diagonal = pairs[kept, 0], place[of[kept]] - pairs[kept, 1]
+    order = np.lexsort((diagonal, item))
+    item, diagonal = item[order], diagonal[order]
+    out = []
+    for i, a, b in zip(*(x.tolist() for x in _runs(item)), strict=True):
+        v = items.value[i]
+        # a copy with more words added is under the threshold even if no word of the item is lost
+        slack = int(len(v) * MATCH * (1 - threshold) / -GAP + 1e-9) + 1
+        cut = np.flatnonzero(np.diff(diagonal[a:b]) > slack) + a + 1
+        for low, high in zip([a, *cut.tolist()], [*cut.tolist(), b], strict=True):  # hits whose diagonals are close
+            window = text[max(0, int(diagonal[low]) - slack) : int(diagonal[high - 1]) + len(v) + slack]
+            # a word of the item that is not in the window cannot match, which bounds the score
+            if np.isin(v, window).mean() >= threshold:
+                score = align(v, window)[0] / (MATCH * len(v))
+                if score >= threshold:
+                    out.append((score, i))
+    return out
+
+
 def _matches(batches: Iterator[pa.RecordBatch], items, threshold: float) -> Iterator[pa.RecordBatch]:
     items = items.value
     sizes = _sizes(items)
@@ -147,25 +168,13 @@ def _matches(batches: Iterator[pa.RecordBatch], items, threshold: float) -> Iter
         for part in slices(batch, "text"):
             found = words(part.column(1), _LETTERS)
             row, place, seed = _hits(found, items, sizes)
-            spots = [(int(r), *items.at[k].tolist(), int(p)) for r, p, s in zip(row, place, seed, strict=True) for k in range(items.bounds[s], items.bounds[s + 1])]
+            order = np.argsort(row, kind="stable")
+            row, place, seed = row[order], place[order], seed[order]
             best: dict[int, list] = {}
-            spots.sort(key=lambda s: (s[0], s[1], s[3] - s[2]))
-            i = 0
-            while i < len(spots):  # runs of one row and item whose diagonals are close
-                r, item, q, p = spots[i]
-                v = items.value[item]
-                slack = len(v) // 2 + 2
-                low = high = p - q
-                while i < len(spots) and spots[i][:2] == (r, item) and spots[i][3] - spots[i][2] - high <= slack:
-                    high = spots[i][3] - spots[i][2]
-                    i += 1
-                window = found.value[max(found.bounds[r], low - slack) : min(found.bounds[r + 1], high + len(v) + slack)]
-                # a word of the item that is not in the window cannot match, which bounds the score
-                if np.isin(v, window).mean() >= threshold:
-                    score = align(v, window)[0] / (MATCH * len(v))
-                    if score >= threshold:
-                        best.setdefault(r, []).append((score, item))
-            top = [min(best[r], key=lambda x: (-x[0], x[1])) if r in best else None for r in range(part.num_rows)]
+            for r, a, b in zip(*(x.tolist() for x in _runs(row)), strict=True):
+                text = found.value[found.bounds[r] : found.bounds[r + 1]]
+                best[r] = _copies(items, text, place[a:b] - found.bounds[r], seed[a:b], threshold)
+            top = [min(best[r], key=lambda x: (-x[0], x[1])) if best.get(r) else None for r in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len({i for _, i in best.get(r, ())}) for r in range(part.num_rows)], pa.int64()),
                  pa.array([items.ids[t[1]] if t else None for t in top], pa.int64()), pa.array([t[0] if t else None for t in top], pa.float64())],
@@ -173,22 +182,13 @@ def _matches(batches: Iterator[pa.RecordBatch], items, threshold: float) -> Iter
             )
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> list:
-    """The benchmark's blocks with their rare seeds, as broadcast values of bounded size."""
-    spark = docs.sparkSession
+def blocks(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> list:
+    """The benchmark's blocks with their seeds, as broadcast values of bounded size."""
+    context = benchmark.sparkSession.sparkContext
     bench = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
     n = max(1, -(-bench.count() // BLOCK_ITEMS))
-    out = []
-    for b in range(n):
-        part = bench if n == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        items = Items.of([tuple(r) for r in part.collect()])
-        held = spark.sparkContext.broadcast(items)
-        counted = docs.select(F.col(text).alias("text")).mapInArrow(partial(_count, items=held), "seed long, n long")
-        sums = counted.groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
-        documents = np.zeros(len(items.seed), np.int64)
-        documents[sums["seed"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
-        out.append(spark.sparkContext.broadcast(items.keep_rare(documents)))
-    return out
+    parts = [bench if n == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n)]
+    return [context.broadcast(Items.of([tuple(r) for r in part.collect()])) for part in parts]
 
 
 def contaminated(held: list, threshold: float = THRESHOLD):
@@ -208,7 +208,7 @@ def contaminated(held: list, threshold: float = THRESHOLD):
 
 def score(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, contaminated, the best matching item and its score, number of items matched."""
-    held = blocks(docs, benchmark, text)
+    held = blocks(benchmark)
     kept = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     schema = "key long, n_items long, item_id long, score double"
     if len(held) == 1:
