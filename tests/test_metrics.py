@@ -105,6 +105,21 @@ def test_alert_cooldown(scored, cooldown, chunk):
     assert both["a"]["alerts"] == greedy([r for r in rows if r[5] == "a"], 0.4, cooldown)[0]
 
 
+@pytest.mark.parametrize("name", ["block_bootstrap", "derive_evidence"])
+def test_bootstrap_queries_draw_all_resamples(spark, sf_dir, monkeypatch, name):
+    from tickloom.plans import catalog
+
+    drawn = []
+
+    def counted(*args):
+        drawn.append(args[6])
+        return spark.range(args[6]).select((F.col("id") / 1e6).alias("delta"))
+
+    monkeypatch.setattr(m, "bootstrap_deltas", counted)
+    assert len(catalog.QUERIES[name](spark, sf_dir).collect()) == 1
+    assert drawn == [2000]
+
+
 def test_bootstrap_equals_direct_resampling(scored):
     rows, df = scored
     blocks = {}

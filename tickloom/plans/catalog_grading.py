@@ -513,7 +513,7 @@ def best_f1(spark, sf):
 @query("block_bootstrap")
 def block_bootstrap(spark, sf):
     out = mt.paired_block_bootstrap(
-        stage(scored(spark, sf)), "score", "baseline_score", block_minutes=360, resamples=200, chunks=8
+        stage(scored(spark, sf)), "score", "baseline_score", block_minutes=360, chunks=8
     )
     return out.select(*[r(n).alias(n) for n in ("lower", "estimate", "upper")])
 

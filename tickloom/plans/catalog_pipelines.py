@@ -345,7 +345,7 @@ def derive_evidence(spark, sf):
     won = spark.range(1).select(F.lit(4).alias("folds_won"))
     out = se.derive_evidence(
         rows, rows, won, 0.6, {"p95_latency_ms": 5.0, "deployable": True, "parity_passed": True},
-        ("candidate_score",), block_minutes=1440, resamples=50,
+        ("candidate_score",), block_minutes=1440,
     )
     return se.qualify(out).select("folds_won", "quote_trade_coverage", "passed", codes("reasons"))
 
