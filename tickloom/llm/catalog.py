@@ -109,3 +109,11 @@ def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm import forest
 
     return forest.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op11_url_filter")
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import url_filter, url_labels
+
+    labelled = spark.createDataFrame(url_labels.labelled(), "url string, label int")
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.fit(labelled))
