@@ -17,6 +17,30 @@ ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 
 
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Product quantisation by plain comparison with every entry, one pair of common tables a round."""
+    nearest = """SELECT p.id, p.label, p.part, p.c, min({{'d': list_sum(list_transform(list_zip(p.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': b.e}}) AS m
+  FROM p JOIN b{0} b USING (part) GROUP BY ALL"""
+    steps = [f"""k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT id, label, CAST(i AS INT) AS part, list_slice(v, i * len(v) // {parts} + 1, (i + 1) * len(v) // {parts}) AS c FROM k, range({parts}) r(i)),
+b0 AS MATERIALIZED (SELECT part, id - 1 AS e, c FROM p WHERE id <= {entries})"""]
+    for i in range(rounds):
+        steps.append(f"""a{i} AS MATERIALIZED ({nearest.format(i)}),
+u{i} AS (SELECT part, m.e AS e, unnest(c) AS x, generate_subscripts(c, 1) AS pos FROM a{i}),
+s{i} AS (SELECT part, e, pos, sum(x) AS s, count(*) AS n FROM u{i} GROUP BY ALL),
+f{i} AS (SELECT part, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS c FROM s{i} GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(f.c, b.c) AS c FROM b{i} b LEFT JOIN f{i} f USING (part, e))""")
+    return f"""WITH {', '.join(steps)},
+a AS MATERIALIZED ({nearest.format(rounds)}),
+coded AS (SELECT id, label, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a GROUP BY ALL)
+SELECT k.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY coded.label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN k USING (id)"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return whole_table(spark, sf_dir, name)
@@ -117,3 +141,10 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     labelled = spark.createDataFrame(url_labels.labelled(), "url string, label int")
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.fit(labelled))
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import codes
+
+    return codes.compress(table(spark, sf_dir, "embeddings"))
