@@ -148,3 +148,32 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm import codes
 
     return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op13_source_divergence",
+    r"""WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+t AS MATERIALIZED (SELECT id, lang, source, unnest(words) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS whole FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(whole) AS total FROM kept GROUP BY ALL),
+n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS MATERIALIZED (SELECT lang, source, (SELECT coalesce(sum(n), 0) FROM n WHERE n.lang = d.lang AND n.source = d.source) AS total FROM d GROUP BY ALL),
+c AS MATERIALIZED (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + CAST(1000000000::HUGEINT * (coalesce(n, 0) + 5) // (g.total + 5 * v) AS BIGINT) AS p,
+         1 + CAST(1000000000::HUGEINT * (whole + 5) // (v.total + 5 * v) AS BIGINT) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM c a JOIN c b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM c WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50""",
+)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import divergence
+
+    return divergence.audit(table(spark, sf_dir, "documents"))
