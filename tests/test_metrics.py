@@ -126,10 +126,9 @@ def test_bootstrap_equals_direct_resampling(scored):
     for r in rows:
         blocks.setdefault(r[1] // (1800 * S), []).append(r)
     blocks = [blocks[k] for k in sorted(blocks)]
-    rng = np.random.default_rng(7)
     deltas = []
-    for _ in range(25):
-        sample = [r for i in rng.integers(0, len(blocks), size=len(blocks)) for r in blocks[i]]
+    for resample in range(25):
+        sample = [r for i in m.block_draws(resample, len(blocks), 7) for r in blocks[i]]
         y = [r[4] for r in sample]
         deltas.append((plain_ap([r[2] for r in sample], y) or 0) - (plain_ap([r[3] for r in sample], y) or 0))
     got = m.bootstrap_deltas(df, "score", "base", "label", "ts_us", 30, 25, 7, chunks=5).orderBy("resample").collect()
@@ -138,3 +137,33 @@ def test_bootstrap_equals_direct_resampling(scored):
     assert abs(ci["lower"] - np.percentile(deltas, 2.5)) < 1e-12
     assert abs(ci["estimate"] - np.mean(deltas)) < 1e-12
     assert math.isclose(ci["upper"], np.percentile(deltas, 97.5), rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("cooldown", [60, 1800, 3600])
+def test_alerts_of_one_series_in_ten_thousand_chunks(spark, cooldown):
+    rng = random.Random(cooldown)
+    rows = [(rng.randrange(10_000 * 3600) * S, rng.choice([0.4, 0.6, 0.9]), int(rng.random() < 0.3)) for _ in range(60_000)]
+    rows += [(hour * 3600 * S, 0.9, 1) for hour in range(0, 10_000, 3)]
+    df = spark.createDataFrame(rows, "ts_us long, score double, label int").repartition(4)
+    alerts = hits = 0
+    muted = None
+    for ts, score, label in sorted(rows):
+        if score >= 0.5 and (muted is None or ts >= muted):
+            alerts, hits, muted = alerts + 1, hits + label, ts + cooldown * S
+    out = m.event_metrics(df, 0.5, cooldown).first()
+    assert (out["alerts"], out["true_positive_alerts"]) == (alerts, hits)
+
+
+def test_draws_are_even_and_repeatable():
+    drawn = np.concatenate([m.block_draws(r, 50, 42) for r in range(2000)])
+    counts = np.bincount(drawn, minlength=50)
+    assert len(counts) == 50 and abs(counts - 2000).max() < 300
+    assert (m.block_draws(7, 50, 42) == m.block_draws(7, 50, 42)).all() and (m.block_draws(8, 50, 42) != m.block_draws(7, 50, 42)).any()
+
+
+def test_bootstrap_with_one_dominant_score(spark):
+    rng = random.Random(1)
+    rows = [(i * 60 * S, 0.5 if rng.random() < 0.9 else rng.random(), 0.5, int(rng.random() < 0.3)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "ts_us long, candidate_score double, baseline_score double, label int")
+    one, many = (m.paired_block_bootstrap(df, resamples=40, chunks=c).first() for c in (1, 12))
+    assert all(abs(one[k] - many[k]) < 1e-12 for k in ("lower", "estimate", "upper"))

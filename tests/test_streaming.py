@@ -76,7 +76,7 @@ def test_read_model_keeps_the_first_write(spark):
         os.utime(f"{source}/{i}.json", (1_000_000 + i, 1_000_000 + i))  # a file source goes by modification time
     log = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).json(source)
     good, _ = src.parse_predictions(log)
-    query = sinks.to_read_model(good, f"{out}/t", schemas.PREDICTION, "event_id", f"{out}/c", trigger={"availableNow": True})
+    query = sinks.to_read_model(good, f"{out}/t", "event_id", ("source_offset", "score"), f"{out}/c", trigger={"availableNow": True})
     query.awaitTermination()
     rows = {r["event_id"]: r for r in spark.read.parquet(f"{out}/t").collect()}
     assert set(rows) == {"t:0:1", "t:0:2"} and rows["t:0:1"]["score"] == 0.5

@@ -1,10 +1,9 @@
 """Second-level order-book states from full-book anchors and level changes.
 
 An anchor replaces the whole book, so everything between two anchors is an
-independent run, folded in parallel with one group per (unit, anchor). The fold is
-the only Python here, because the best price after each change depends on all
-earlier changes of the run. Placing events in runs, cutting at gaps, numbering
-continuity segments and filling the seconds stay in Spark.
+independent run. Best prices under deletions come from the lifetimes of levels
+(`_fold`), not from a walk over the changes. Placing events in runs, cutting at
+gaps, numbering continuity segments and filling the seconds are windows too.
 
 A *unit* is one product and UTC day; units do not influence each other, and a
 product that dominates the data is simply more units.
@@ -12,10 +11,8 @@ product that dominates the data is simply more units.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +28,6 @@ CHUNK_US = 3_600 * MICROS
 GAP_STATUSES = ("gap", "excluded", "incomplete", "missing", "error")
 
 LEVELS = "array<struct<side:string,price:decimal(18,8),quantity:decimal(18,8)>>"
-_FOLD_SCHEMA = (
-    "product_id string, source_date string, at_us bigint, sequence_start bigint, sequence_end bigint, "
-    "best_bid decimal(18,8), bid_size decimal(18,8), best_ask decimal(18,8), ask_size decimal(18,8), "
-    "run_us bigint, segment_id bigint, start_us bigint, final_us bigint, incident string"
-)
 
 
 def unusable_window() -> Column:
@@ -121,68 +113,6 @@ def load_replay_rows(
     return kept, day_deltas, covered
 
 
-def _best(heap: list, side: dict, sign: int):
-    while heap:
-        price = heap[0] * sign
-        if price in side:
-            return price
-        heapq.heappop(heap)
-    return None
-
-
-def _fold_run(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Apply one run's changes in order; one row per second, or an incident that ends the run."""
-    bids: dict = {}
-    asks: dict = {}
-    bid_heap: list = []
-    ask_heap: list = []
-    states: dict[int, tuple] = {}
-    incident = None
-    last_sequence = None
-    ordered = pdf.sort_values(["at_us", "kind", "sequence_start", "sequence_end"], kind="mergesort")
-    for row in ordered.itertuples(index=False):
-        if row.kind == 1 and (row.sequence_start > row.sequence_end or row.sequence_start <= last_sequence):
-            incident = "sequence_regression"
-        for level in row.levels:
-            side, price, quantity = level["side"], level["price"], level["quantity"]
-            lowest = 0 if row.kind == 1 else 1e-12  # an anchor lists existing levels only
-            if side not in ("bid", "offer") or price is None or quantity is None or price <= 0 or quantity < lowest:
-                incident = incident or "invalid_change"
-                break
-            book, heap, sign = (bids, bid_heap, -1) if side == "bid" else (asks, ask_heap, 1)
-            if quantity == 0:
-                book.pop(price, None)
-            else:
-                if price not in book:
-                    heapq.heappush(heap, price * sign)
-                book[price] = quantity
-        bid, ask = _best(bid_heap, bids, -1), _best(ask_heap, asks, 1)
-        if incident is None:
-            if bid is None or ask is None:
-                incident = "empty_side"
-            elif bid >= ask:
-                incident = "crossed_book"
-            elif bid != row.best_bid or ask != row.best_ask:
-                incident = "bbo_mismatch"
-        if incident is not None:
-            states[row.at_us] = (row.sequence_start, row.sequence_end, None, None, None, None, incident)
-            break
-        last_sequence = row.sequence_end
-        states[row.at_us] = (row.sequence_start, row.sequence_end, bid, bids[bid], ask, asks[ask], None)
-    first = ordered.iloc[0]
-    return pd.DataFrame(
-        [
-            (first.product_id, first.source_date, at, *s[:6], first.run_us, first.segment_id,
-             first.start_us, first.final_us, s[6])
-            for at, s in states.items()
-        ],
-        columns=[
-            "product_id", "source_date", "at_us", "sequence_start", "sequence_end", "best_bid", "bid_size",
-            "best_ask", "ask_size", "run_us", "segment_id", "start_us", "final_us", "incident",
-        ],
-    )
-
-
 def _whole_seconds(at: Column) -> Column:
     return F.ceil(at / F.lit(MICROS)) * F.lit(MICROS)
 
@@ -300,10 +230,97 @@ def _timeline(anchors: DataFrame, deltas: DataFrame, metadata: DataFrame, days:
     )
 
 
+def _dyadic(low: Column, high: Column, bits: Column, item) -> Column:
+    """Array of item(k, j) for the blocks [j * 2**k, (j + 1) * 2**k) that `[low, high)` falls apart into, two a size at most."""
+
+    def of_size(k: Column) -> Column:
+        width = F.pow(F.lit(2), k).cast("bigint")
+        first, last = F.ceil(low / width), F.floor(high / width)
+        inside = first < last
+        return F.filter(
+            F.array(F.when(inside & (first % 2 == 1), item(k, first)), F.when(inside & (last % 2 == 1), item(k, last - 1))),
+            lambda block: block.isNotNull(),
+        )
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), bits), of_size))
+
+
 def _fold(timeline: DataFrame) -> DataFrame:
-    """States after every second that changed a book; incidents carry a code and no book."""
-    events = timeline.where(F.col("kind") != _GAP)
-    folded = events.drop("incident").groupBy(*UNIT, "run_us").applyInPandas(_fold_run, _FOLD_SCHEMA)
+    """States after every second that changed a book; incidents carry a code and no book.
+
+    No row is folded after another. A level's lifetime runs from one change of its price to the next; it is cut into
+    blocks of 2**k events, at most two of each size, and a block keeps the best level that lives throughout it. The best
+    level after an event is the best over the one block of each size that the event lies in. All steps are aggregates or
+    windows within a run, so one shuffle on the run serves them all.
+    """
+    run = [*UNIT, "run_us"]
+    fields = ["at_us", "kind", "sequence_start", "sequence_end", "best_bid", "best_ask", "segment_id", "start_us", "final_us"]
+    in_run = Window.partitionBy(*run)
+    in_order = in_run.orderBy("at_us", "kind", "sequence_start", "sequence_end")
+    lowest = F.when(F.col("kind") == _DELTA, F.lit(0)).otherwise(F.lit("1e-8").cast("decimal(18,8)"))  # an anchor lists existing levels only
+    sound = lambda level: F.coalesce(
+        level["side"].isin("bid", "offer") & (level["price"] > 0) & (level["quantity"] >= lowest), F.lit(False)
+    )
+    events = timeline.where(F.col("kind") != _GAP).drop("incident").withColumns(
+        {
+            "idx": F.row_number().over(in_order).cast("bigint") - 1,
+            "before": F.lag("sequence_end").over(in_order),
+            "n": F.count(F.lit(1)).over(in_run),
+            "levels": F.coalesce("levels", F.array().cast(LEVELS)),
+        }
+    )
+    regressed = (F.col("kind") == _DELTA) & (
+        (F.col("sequence_start") > F.col("sequence_end")) | (F.col("sequence_start") <= F.col("before"))
+    )
+    event = F.struct(
+        *fields, F.coalesce(regressed, F.lit(False)).alias("regressed"), (~F.forall("levels", sound)).alias("invalid")
+    )
+    level = lambda pos, side, price, quantity, ev: F.struct(
+        pos.alias("pos"), side.alias("side"), price.alias("price"), quantity.alias("quantity"), ev.alias("ev")
+    )
+    no_price, kind = F.lit(None).cast("decimal(18,8)"), "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in events.select(event.alias("e")).schema["e"].dataType) + ">"
+    changes = F.transform(F.filter("levels", sound), lambda x, i: level(i, x["side"], x["price"], x["quantity"], F.lit(None).cast(kind)))
+    itself = F.array(level(F.lit(-1), F.lit(None).cast("string"), no_price, no_price, event))
+    rows = events.select(*run, "idx", "n", F.explode(F.concat(changes, itself)).alias("c")).select(*run, "idx", "n", "c.*")
+    of_level = Window.partitionBy(*run, "side", "price").orderBy("idx", "pos")
+    rows = rows.withColumn("until", F.coalesce(F.lead("idx").over(of_level), F.col("n")))
+
+    bits = F.ceil(F.log2(F.col("n").cast("double"))).cast("int")
+    block = lambda k, j, bid, ask, ev: F.struct(k.alias("k"), j.cast("bigint").alias("j"), bid.alias("bid"), ask.alias("ask"), ev.alias("ev"))
+    best = "struct<price:decimal(18,8),quantity:decimal(18,8)>"
+    none, no_event = F.lit(None).cast(best), F.lit(None).cast(kind)
+    own = lambda sign: F.struct((sign * F.col("price")).cast("decimal(18,8)").alias("price"), "quantity")
+    bid, ask = F.when(F.col("side") == "bid", own(F.lit(1))), F.when(F.col("side") == "offer", own(F.lit(-1)))
+    lifetimes = _dyadic(F.col("idx"), F.col("until"), bits, lambda k, j: block(k, j, bid, ask, no_event))
+    asked = F.transform(
+        F.sequence(F.lit(0), bits),
+        lambda k: block(k, F.floor(F.col("idx") / F.pow(F.lit(2), k)), none, none, F.when(k == 0, F.col("ev"))),
+    )
+    blocks = F.when(F.col("pos") < 0, asked).when(F.col("quantity") > 0, lifetimes)
+    rows = rows.select(*run, "idx", (F.col("pos") < 0).alias("asks"), F.explode(blocks).alias("b")).select(*run, "idx", "asks", "b.*")
+    same_block = Window.partitionBy(*run, "k", "j")
+    rows = rows.withColumns({"bid": F.max("bid").over(same_block), "ask": F.max("ask").over(same_block)}).where("asks")
+    states = rows.groupBy(*run, "idx").agg(F.max("bid").alias("bid"), F.max("ask").alias("ask"), F.max("ev").alias("ev"))
+    states = states.select(
+        *run, "idx", *[F.col(f"ev.{name}") for name in fields], "ev.regressed", "ev.invalid", F.col("bid.price").alias("bid"),
+        F.col("bid.quantity").alias("bid_size"), (-F.col("ask.price")).alias("ask"), F.col("ask.quantity").alias("ask_size"),
+    )
+    stated = F.col("bid").eqNullSafe(F.col("best_bid")) & F.col("ask").eqNullSafe(F.col("best_ask"))
+    states = states.withColumn(
+        "incident",
+        F.when(F.col("regressed"), "sequence_regression").when(F.col("invalid"), "invalid_change")
+        .when(F.col("bid").isNull() | F.col("ask").isNull(), "empty_side").when(F.col("bid") >= F.col("ask"), "crossed_book")
+        .when(~stated, "bbo_mismatch"),
+    )
+    # the first incident ends its run; of the events of a second the last one counts
+    failed = F.min(F.when(F.col("incident").isNotNull(), F.col("idx"))).over(in_run)
+    states = states.withColumn("failed", failed).where(F.col("failed").isNull() | (F.col("idx") <= F.col("failed")))
+    sound_book = lambda name, value: F.when(F.col("incident").isNull(), F.col(value)).cast("decimal(18,8)").alias(name)
+    last = F.struct(
+        "idx", "sequence_start", "sequence_end", sound_book("best_bid", "bid"), sound_book("bid_size", "bid_size"),
+        sound_book("best_ask", "ask"), sound_book("ask_size", "ask_size"), "segment_id", "start_us", "final_us", "incident",
+    )
+    folded = states.groupBy(*run, "at_us").agg(F.max_by(last, "idx").alias("s")).select(*run, "at_us", "s.*").drop("idx")
     early = timeline.where(F.col("incident").isNotNull()).select(
         *UNIT, "at_us", "incident", "start_us", "final_us", F.lit(0).cast("bigint").alias("segment_id")
     )

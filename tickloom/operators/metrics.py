@@ -251,6 +251,52 @@ def metric_bundle(
 ALERT_CHUNK_SECONDS = 3600
 
 
+#: Tables of neighbouring chunks that one task composes in a round.
+COMPOSED = 32
+
+
+def compose_tables(first: pd.DataFrame, then: pd.DataFrame, cooldown: int) -> pd.DataFrame:
+    """The transition table of two neighbouring chunks. Columns upto (rising), alerts, hits, last: a series unmuted at u takes
+    the first row with upto >= u, and no alert if there is none."""
+    i = np.searchsorted(then["upto"].to_numpy(), first["last"].to_numpy() + cooldown, side="left")
+    hit = i < len(then)
+    j = np.minimum(i, len(then) - 1)
+    out = first.copy()
+    for name in ("alerts", "hits"):
+        out[name] = first[name].to_numpy() + np.where(hit, then[name].to_numpy()[j], 0)
+    out["last"] = np.where(hit, then["last"].to_numpy()[j], first["last"].to_numpy())
+    # who finds nothing in the first chunk goes on to the second, unmuted at its start: chunks are no shorter than a mute
+    out = pd.concat([out, then.iloc[:1]], ignore_index=True)
+    change = np.ones(len(out), dtype=bool)
+    change[:-1] = (out[["alerts", "hits", "last"]].to_numpy()[1:] != out[["alerts", "hits", "last"]].to_numpy()[:-1]).any(axis=1)
+    return out[change]
+
+
+def _compose(tables: DataFrame, names: Sequence[str], prefix: str, cooldown: int) -> DataFrame:
+    """One row per series: what its composed tables give a series that starts unmuted."""
+    ends = tables.agg(F.min("__chunk").alias("low"), F.max("__chunk").alias("high")).first()
+    if ends["low"] is None:
+        return tables
+    schema = f"{prefix}__chunk bigint, upto bigint, alerts bigint, hits bigint, last bigint"
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = None
+        for _, table in pdf.sort_values(["__chunk", "upto"]).groupby("__chunk", sort=True):
+            out = table if out is None else compose_tables(out, table, cooldown)
+        out = out.assign(__chunk=out["__chunk"].iloc[0] // COMPOSED)
+        for name in names:
+            out[name] = pdf[name].iloc[0]
+        return out[[*names, "__chunk", "upto", "alerts", "hits", "last"]]
+
+    tables = tables.withColumn("__chunk", F.col("__chunk") - F.lit(ends["low"]))
+    span = ends["high"] - ends["low"]
+    while span > 0:
+        place = F.floor(F.col("__chunk") / F.lit(COMPOSED)).alias("__group")
+        tables = tables.groupBy(*names, place).applyInPandas(fold, schema)
+        span //= COMPOSED
+    return tables.groupBy(*names).agg(F.min_by("alerts", "upto").alias("alerts"), F.min_by("hits", "upto").alias("hits"))
+
+
 def event_metrics(
     df: DataFrame,
     threshold: float,
@@ -267,7 +313,12 @@ def event_metrics(
     Alerting is greedy and therefore sequential, but a time chunk only depends on
     its predecessor through the moment the mute ends. Every chunk is first reduced,
     in parallel, to a short table "if unmuted at t: so many alerts, so many hits,
-    last alert at u"; the tables are then chained per series.
+    last alert at u". Such tables are step functions and their composition is
+    associative, so neighbouring ones are composed in rounds of `COMPOSED` tables
+    until one is left per series: no task holds a series.
+
+    `order` breaks equal timestamps the way the series lists its rows; without it
+    the row with the smaller score, then label, comes first.
     """
     if cooldown_seconds < 0:
         raise ValueError(f"a cooldown of {cooldown_seconds} s is negative")
@@ -292,7 +343,7 @@ def event_metrics(
         names = [f.name for f in df.schema.fields if f.name in keys]
         # a position breaks equal timestamps the way the series lists its rows
         rows = candidates.select(
-            *names, F.col(ts).alias("__ts"), F.struct(*(order or [ts])).alias("__order"),
+            *names, F.col(ts).alias("__ts"), F.struct(*(order or [score, label])).alias("__order"),
             F.col(label).cast("bigint").alias("__y"),
         ).groupBy(*names, "__ts").agg(F.min_by("__y", "__order").alias("__y"))
         chunked = rows.withColumn("__chunk", F.floor(F.col("__ts") / F.lit(width)))
@@ -331,25 +382,8 @@ def event_metrics(
             reduce_chunk, f"{prefix}__chunk bigint, upto bigint, alerts bigint, hits bigint, last bigint"
         )
 
-        def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-            alerts = hits = 0
-            unmuted = None
-            pdf = pdf.sort_values(["__chunk", "upto"])
-            for _, table in pdf.groupby("__chunk", sort=True):
-                upto = table["upto"].to_numpy()
-                i = 0 if unmuted is None else int(np.searchsorted(upto, unmuted, side="left"))
-                if i == len(upto):
-                    continue
-                alerts += int(table["alerts"].iloc[i])
-                hits += int(table["hits"].iloc[i])
-                unmuted = int(table["last"].iloc[i]) + cooldown
-            out = pd.DataFrame({"alerts": [alerts], "true_positive_alerts": [hits]})
-            for name in reversed(names):
-                out.insert(0, name, pdf[name].iloc[0])
-            return out
-
-        alerts = tables.groupBy(*names).applyInPandas(
-            chain, f"{prefix}alerts bigint, true_positive_alerts bigint"
+        alerts = _compose(tables, names, prefix, cooldown).select(
+            *names, F.col("alerts"), F.col("hits").alias("true_positive_alerts")
         )
     joined = scan.join_null_safe(positives, alerts, list(keys))
     zero = F.lit(0).cast("bigint")
@@ -385,9 +419,9 @@ def paired_block_bootstrap(
 ) -> DataFrame:
     """Average-precision gain of the candidate under resampling of time blocks.
 
-    Rows shrink to counts per (score, block) once. Draws are a seeded stream of
-    block numbers that every task regenerates for itself, so no resample is ever
-    materialised: score ranges compute their share of each resample's average
+    Rows shrink to counts per (score, block) once. A draw is a function of (seed,
+    resample, position), which every task works out for itself, so no resample is
+    ever materialised: score ranges compute their share of each resample's average
     precision from the totals of the ranges above them. One output row: lower
     (2.5 %), estimate (mean), upper (97.5 %).
     """
@@ -399,6 +433,23 @@ def paired_block_bootstrap(
     return bounds.withColumn("estimate", estimate).select("lower", "estimate", "upper")
 
 
+#: Arithmetic of the draws: a prime whose products fit 63 bits, a stride between resamples, and constants of the rounds.
+DRAW_PRIME, DRAW_STRIDE, DRAW_ROUNDS = (1 << 31) - 1, 1_000_003, (739_982_445, 1_362_437, 2_025_326_587)
+
+
+def block_draws(resample: int, n_blocks: int, seed: int) -> np.ndarray:
+    """The block numbers that one resample draws, `n_blocks` of them with replacement.
+
+    Position and resample make one number; three rounds of x -> x**5 + c modulo a prime (a permutation) scatter it. Plain
+    arithmetic on 63-bit numbers, so SQL repeats it.
+    """
+    z = (np.arange(n_blocks, dtype=np.int64) + resample * DRAW_STRIDE + seed) % DRAW_PRIME
+    for c in DRAW_ROUNDS:
+        square = z * z % DRAW_PRIME
+        z = (square * square % DRAW_PRIME * z + c) % DRAW_PRIME
+    return z % n_blocks
+
+
 def bootstrap_deltas(
     df: DataFrame,
     candidate: str,
@@ -434,14 +485,14 @@ def bootstrap_deltas(
         F.count_if("positive").alias("tp"), F.count_if(~F.col("positive")).alias("fp")
     )
     counts = counts.join(numbered, "block").withColumn("n_blocks", n_blocks)
-    counts = scan.with_value_chunk(counts, long, "score", "chunk", chunks).select(
+    # every distinct score once: a score that most rows share must not draw the edges of the ranges to itself
+    counts = scan.with_value_chunk(counts, counts.select("score").distinct(), "score", "chunk", chunks).select(
         "side", "chunk", "score", "number", "n_blocks", "tp", "fp"
     )
 
     def draws(n_blocks: int) -> Iterator[np.ndarray]:
-        rng = np.random.default_rng(seed)
-        for _ in range(resamples):
-            yield np.bincount(rng.integers(0, n_blocks, size=n_blocks), minlength=n_blocks)
+        for resample in range(resamples):
+            yield np.bincount(block_draws(resample, n_blocks, seed), minlength=n_blocks)
 
     def totals(pdf: pd.DataFrame) -> pd.DataFrame:
         number = pdf["number"].to_numpy()

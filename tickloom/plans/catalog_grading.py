@@ -8,7 +8,7 @@ from tickloom.functions.exprs import event_time
 from tickloom.operators import grading as gr
 from tickloom.operators import metrics as mt
 from tickloom.operators import timeline as tl
-from tickloom.plans.inputs import GRADED, SCORED, ladder_sql, outcomes, predictions, r, registrar, rs, scored, text
+from tickloom.plans.inputs import GRADED, SCORED, SCORED_BOTH, ladder_sql, outcomes, predictions, r, registrar, rs, scored, text
 from tickloom.plans.lineage import stage
 
 QUERIES: dict = {}
@@ -510,7 +510,28 @@ def best_f1(spark, sf):
     return out.select("regime", "threshold", r("f1").alias("f1"))
 
 
-@query("block_bootstrap")
+def bootstrap_sql(width_us: int, resamples: int = 2000, seed: int = 42) -> str:
+    """Average-precision gains of resampled blocks, the draws by the operator's arithmetic."""
+    power = lambda z: f"({z} * {z} % {mt.DRAW_PRIME}) * ({z} * {z} % {mt.DRAW_PRIME}) % {mt.DRAW_PRIME} * {z}"
+    rounds = "".join(
+        f", z{i + 1} AS (SELECT r, n, ({power('z')} + {c}) % {mt.DRAW_PRIME} AS z FROM z{i})" for i, c in enumerate(mt.DRAW_ROUNDS)
+    )
+    return f"""bl AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS number, count(*) OVER () AS n FROM (SELECT DISTINCT ts_us // {width_us} AS block FROM s)),
+z0 AS (SELECT r, n, (p + r * {mt.DRAW_STRIDE} + {seed}) % {mt.DRAW_PRIME} AS z FROM range({resamples}) q(r), (SELECT number AS p, n FROM bl)){rounds},
+wt AS (SELECT r, z % n AS number, count(*) AS w FROM z{len(mt.DRAW_ROUNDS)} GROUP BY ALL),
+sd AS (SELECT 'c' AS side, ts_us // {width_us} AS block, score, label FROM s UNION ALL SELECT 'b', ts_us // {width_us}, baseline_score, label FROM s),
+ct AS (SELECT side, number, score, sum(label) AS tp, sum(1 - label) AS fp FROM sd JOIN bl USING (block) GROUP BY ALL),
+dr AS (SELECT r, side, score, sum(w * tp) AS tp, sum(w * fp) AS fp FROM wt JOIN ct USING (number) GROUP BY ALL),
+cu AS (SELECT *, sum(tp) OVER q AS ctp, sum(tp + fp) OVER q AS cn FROM dr WINDOW q AS (PARTITION BY r, side ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ga AS (SELECT r, side, CASE WHEN sum(tp) > 0 THEN sum(tp * ctp / greatest(cn, 1)::DOUBLE) / sum(tp) ELSE 0 END AS ap FROM cu GROUP BY ALL),
+de AS (SELECT r, sum(CASE WHEN side = 'c' THEN ap ELSE -ap END) AS delta FROM ga GROUP BY r)"""
+
+
+@query(
+    "block_bootstrap",
+    f"""WITH {SCORED_BOTH}, {bootstrap_sql(360 * 60_000_000)}
+SELECT {rs('quantile_cont(delta, 0.025)')} AS lower, {rs('avg(delta)')} AS estimate, {rs('quantile_cont(delta, 0.975)')} AS upper FROM de""",
+)
 def block_bootstrap(spark, sf):
     out = mt.paired_block_bootstrap(
         stage(scored(spark, sf)), "score", "baseline_score", block_minutes=360, chunks=8

@@ -8,7 +8,7 @@ from tickloom.functions.exprs import MICROS, normalize_ts, ts_micros
 from tickloom.operators import asof, book, drift, intervals as iv, profile as pf, quality as ql, search as se, splits as sp
 from tickloom.plans import models as ml
 from tickloom.plans.inputs import (
-    INTERVALS, SCORED, TICKS, codes, gaps, intervals, r, registrar, rs, scored, table, text, ticks,
+    BROKEN, INTERVALS, SCORED, TICKS, broken_intervals, codes, gaps, intervals, r, registrar, rs, scored, table, text, ticks,
 )
 from tickloom.plans.lineage import stage
 from tickloom.sources import manifest as mf
@@ -113,7 +113,7 @@ g1 AS (SELECT *, sum(CASE WHEN reach IS NULL OR gs > reach THEN 1 ELSE 0 END) OV
 mg AS (SELECT min(gs) AS gs, max(ge) AS ge FROM g1 GROUP BY isl)"""
 
 SUBTRACT = f"""{UNION},
-allm0 AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv WHERE k = 'click' OR event_id % 2 = 0),
+allm0 AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({BROKEN})),
 allm1 AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM allm0),
 base AS (SELECT min(s) AS s, max(e) AS e FROM allm1 GROUP BY isl),
 edges AS (SELECT s AS t, 1 AS b, 0 AS c FROM base UNION ALL SELECT e, -1, 0 FROM base
@@ -129,7 +129,7 @@ def interval_union(spark, sf):
 
 
 def pieces(spark, sf):
-    base = intervals(spark, sf).where("k = 'click' or event_id % 2 = 0").select("start", "end")
+    base = broken_intervals(spark, sf).select("start", "end")
     return iv.interval_subtract(base, gaps(spark, sf), chunk_us=CHUNK)
 
 
@@ -348,7 +348,7 @@ AUDIT_MIN = 20 * 86_400
 def audit(spark, sf):
     stamp = lambda c: F.timestamp_micros(c)
     span = lambda df: df.select(stamp("start").alias("start"), stamp("end").alias("end"))
-    base = intervals(spark, sf).where("k = 'click' or event_id % 2 = 0")
+    base = broken_intervals(spark, sf)
     rows = ticks(spark, sf)
     sold = rows.where("arrival % 3 <> 0").select(
         "arrival", F.col("ts").alias("event_time"),
@@ -702,11 +702,17 @@ def halves(spark, sf):
         "value", F.col("user_id").cast("double").alias("user_id"), (F.col("value") > 60).cast("int").alias("hit"),
         F.dayofmonth("ts").alias("d"),
     )
-    return rows.where("d <= 15"), rows.where("d > 15 and user_id % 3 <> 0")
+    # a third of the users change between the halves
+    later = rows.where("d > 15").withColumns({
+        "value": F.when(F.col("user_id") % 3 == 0, F.col("value") / 2).otherwise(F.col("value")),
+        "user_id": F.when(F.col("user_id") % 3 == 0, F.col("user_id") + 40).otherwise(F.col("user_id")),
+    })
+    return rows.where("d <= 15"), later.withColumn("hit", (F.col("value") > 60).cast("int"))
 
 
-HALVES = """h AS (SELECT value, user_id::DOUBLE AS user_id, CAST(value > 60 AS INT) AS hit, day(ts) <= 15 AS ref FROM events
-  WHERE day(ts) <= 15 OR user_id % 3 <> 0)"""
+HALVES = """h0 AS (SELECT day(ts) <= 15 AS ref, CASE WHEN day(ts) > 15 AND user_id % 3 = 0 THEN value / 2 ELSE value END AS value,
+  CASE WHEN day(ts) > 15 AND user_id % 3 = 0 THEN user_id + 40 ELSE user_id END::DOUBLE AS user_id FROM events),
+h AS (SELECT *, CAST(value > 60 AS INT) AS hit FROM h0)"""
 
 
 @query(

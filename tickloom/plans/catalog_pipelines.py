@@ -9,8 +9,8 @@ from tickloom.operators import drift, grading as gr, metrics as mt, profile as p
 from tickloom.operators import features as ft
 from tickloom.plans import pipelines
 from tickloom.plans.catalog_features import W, us
-from tickloom.plans.catalog_history import HALVES, SIDES, books, halves, trades
-from tickloom.plans.inputs import GRADED, codes, ladder_sql, outcomes, predictions, r, registrar, rs, scored, table
+from tickloom.plans.catalog_history import HALVES, SIDES, TRIALS, books, halves, trades, trials
+from tickloom.plans.inputs import GRADED, SCORED, codes, ladder_sql, outcomes, predictions, r, registrar, rs, scored, table
 from tickloom.plans.lineage import stage
 from tickloom.schemas import OUTCOME, PREDICTION
 from tickloom.sources import manifest as mf
@@ -326,17 +326,20 @@ def high_correlations(spark, sf):
 
 @query(
     "neural_eligibility",
-    """SELECT array_to_string(list_filter([CASE WHEN count(*) < 100000 THEN 'too_few_labelled_rows' END, 'too_few_tree_trials', 'no_plateau'], lambda x: x IS NOT NULL), ',') AS reasons FROM events""",
+    f"""WITH {SCORED}, {TRIALS},
+s1 AS (SELECT ap, row_number() OVER (ORDER BY trial_id) - 1 AS i, count(*) OVER () AS n FROM t WHERE stage = 'click' AND outcome = 'finished'),
+h1 AS (SELECT count(*) AS scored, coalesce(max(CASE WHEN i >= n // 2 THEN ap END) - max(CASE WHEN i < n // 2 THEN ap END) <= 0.001, FALSE) AS level FROM s1),
+p1 AS (SELECT min(positives) AS fewest FROM (SELECT sum(label) AS positives FROM s GROUP BY event_id % 2))
+SELECT array_to_string(list_filter([CASE WHEN (SELECT count(*) FROM s) < 100000 THEN 'too_few_labelled_rows' END,
+  CASE WHEN fewest < 100 THEN 'too_few_positives_in_a_fold' END, CASE WHEN scored < 10 THEN 'too_few_tree_trials' END,
+  CASE WHEN NOT (scored >= 10 AND level) THEN 'no_plateau' END], lambda x: x IS NOT NULL), ',') AS reasons FROM h1, p1""",
 )
 def neural_eligibility(spark, sf):
     rows = scored(spark, sf)
-    trials = table(spark, sf, "events").limit(0).select(
-        F.lit("trees").alias("stage"), F.lit("finished").alias("outcome"), F.lit(0.1).alias("aggregate_pr_auc"),
-        F.col("event_id").alias("trial_order"),
-    )
+    run = trials(spark, sf).withColumn("stage", F.when(F.col("stage") == "click", "trees").otherwise(F.col("stage")))
     positives = rows.groupBy((F.col("event_id") % 2).alias("fold")).agg(F.sum("label").alias("positives"))
     n = rows.agg(F.count(F.lit(1))).scalar()
-    return se.neural_eligibility(se.stage_gates(trials), positives, n, ["trees", "ablation"]).select(codes("reasons"))
+    return se.neural_eligibility(se.stage_gates(run), positives, n, ["trees", "ablation"]).select(codes("reasons"))
 
 
 @query("derive_evidence")

@@ -166,11 +166,12 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One outcome per event; every seventh belongs to a feature row that nobody scored."""
     events = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
     e = F.col("event_id")
     epoch = (F.dayofmonth("at") % 2).cast("int")
-    return events.where(e % 7 != 0).select(
-        e.cast("string").alias("feature_id"),
+    return events.select(
+        F.when(e % 7 != 0, e.cast("string")).otherwise(F.concat(F.lit("x"), e.cast("string"))).alias("feature_id"),
         epoch.alias("stream_epoch"),
         F.col("event_type").alias("product_id"),
         _iso(F.col("at")).alias("feature_ts"),
@@ -198,10 +199,10 @@ GRADED = """p AS (
          event_type AS product_id
   FROM events),
 o AS (
-  SELECT CAST(event_id AS VARCHAR) AS feature_id, ts AS feature_ts, value / 2e6 AS future_vol_60s,
+  SELECT CASE WHEN event_id % 7 <> 0 THEN '' ELSE 'x' END || CAST(event_id AS VARCHAR) AS feature_id, ts AS feature_ts, value / 2e6 AS future_vol_60s,
          CAST(value > 60 AS INT) AS vol_spike, 'boot:' || CAST(day(ts) % 2 AS VARCHAR) AS stream_id,
          ts + INTERVAL 60 SECOND AS written_at
-  FROM events WHERE event_id % 7 <> 0),
+  FROM events),
 j AS (
   SELECT p.*, o.future_vol_60s, o.vol_spike, o.written_at,
          CASE WHEN o.written_at IS NULL THEN 'unmatched' WHEN p.score IS NULL THEN 'excluded'
@@ -231,6 +232,11 @@ SCORED = """s AS (
          CAST(ts AS DATE) AS day
   FROM events)"""
 
+#: With the baseline's score.
+SCORED_BOTH = SCORED.replace(
+    " AS score,", " AS score, ((CAST(json_extract_string(props, '$.k') AS INT) + event_id) % 101) / 100.0::DOUBLE AS baseline_score,", 1
+)
+
 LADDER = """,
 ladder AS (
   SELECT {keys}score, sum(label) AS tp, sum(1 - label) AS fp FROM s GROUP BY {keys}score),
@@ -266,7 +272,16 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def broken_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same intervals, every second one that is not a click ending after a minute, so that their union has holes."""
+    whole = (F.col("k") == "click") | (F.col("event_id") % 2 == 0)
+    return intervals(spark, sf_dir).withColumn("end", F.when(whole, F.col("end")).otherwise(F.col("start") + 60_000_000))
+
+
 INTERVALS = """iv AS (
   SELECT event_type AS k, event_id, epoch_us(ts) AS s,
          epoch_us(ts) + (CAST(floor(value) AS BIGINT) + 1) * 60000000 AS e FROM events),
 gaps AS (SELECT epoch_us(ts) AS gs, epoch_us(ts) + 600000000 AS ge FROM events WHERE user_id % 10 = 3)"""
+
+#: `broken_intervals` in SQL, over `iv`.
+BROKEN = "SELECT s, CASE WHEN k = 'click' OR event_id % 2 = 0 THEN e ELSE s + 60000000 END AS e FROM iv"

@@ -79,21 +79,28 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
 
 
-def insert_or_ignore(
-    existing: DataFrame, batch: DataFrame, key: str, order: Sequence[str] = (), stamp: str | None = None
-) -> DataFrame:
-    """Rows of `batch` that are new: the first of each key in `order`, absent from `existing`, time normalised.
+def first_of_each(batch: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The first row of every key in `order`, its time normalised; rows without a key are left out.
 
-    `order` names the log position (partition and offset, say); it must tell the rows of a key apart, and is needed
-    as soon as a key can come twice. `stamp` names a column that receives one write time for the whole batch.
+    `order` names the log position (partition and offset, say); it must tell the rows of a key apart.
     """
+    if not order:
+        raise ValueError("the log position that decides between equal keys is needed")
     rows = batch.withColumn("feature_ts", normalize_ts("feature_ts")) if "feature_ts" in batch.columns else batch
-    kept = rows.where(F.col(key).isNotNull())
-    position = F.struct(*[F.col(c) for c in (order or rows.columns)])
-    # without an order the smallest row is kept: arbitrary, but the same whenever the batch is repeated
-    fresh = kept.groupBy(key).agg(F.min_by(F.struct(*rows.columns), position).alias("__first")).select("__first.*")
-    new = fresh.join(existing.select(key), key, "left_anti").select(*rows.columns)
-    if stamp and stamp not in new.columns:
-        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
-        new = new.withColumn(stamp, now)
-    return new
+    first = F.min_by(F.struct(*rows.columns), F.struct(*[F.col(c) for c in order])).alias("__first")
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(first).select("__first.*")
+
+
+def stamped(rows: DataFrame, stamp: str | None) -> DataFrame:
+    """With a column `stamp`, if it is named and missing: one write time for the whole batch."""
+    if not stamp or stamp in rows.columns:
+        return rows
+    return rows.withColumn(stamp, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"))
+
+
+def insert_or_ignore(
+    existing: DataFrame, batch: DataFrame, key: str, order: Sequence[str], stamp: str | None = None
+) -> DataFrame:
+    """Rows of `batch` that are new: the first of each key in `order`, absent from `existing`."""
+    fresh = first_of_each(batch, key, order)
+    return stamped(fresh.join(existing.select(key), key, "left_anti").select(*fresh.columns), stamp)

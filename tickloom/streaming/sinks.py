@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
-from tickloom.sources.tables import insert_or_ignore, read_or_empty
+from tickloom.sources.tables import first_of_each, stamped
+from tickloom.streaming.key_index import KeyIndex
 
 KEYS = {"features": "product_id", "outcomes": "feature_id", "predictions": "event_id"}
 MIRROR_LINES = 100
@@ -29,29 +29,28 @@ def to_log(df: DataFrame, kind: str, topic: str, servers: str, checkpoint: str)
     )
 
 
-def read_model_batch(path: str, schema: StructType, key: str, stamp: str | None = None, order: Sequence[str] = ()):
+def read_model_batch(path: str, key: str, order: Sequence[str], stamp: str | None = None, **index):
     """A batch handler that appends only keys the table does not hold yet; the first write in log `order` wins.
 
-    Each batch is its own folder, overwritten if the batch is repeated.
+    Each batch is its own folder, overwritten if the batch is repeated. Stored rows are never read: `KeyIndex` below
+    `path` tells which keys are there, from the buckets that the batch's keys fall in (`index`: its settings).
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        existing = read_or_empty(batch.sparkSession, path, schema)
-        if "batch" in existing.columns:
-            existing = existing.where(F.col("batch") != batch_id)
-        from_elsewhere = existing.where(~F.input_file_name().contains(f"/batch={batch_id}/"))
-        new = insert_or_ignore(from_elsewhere, batch, key, order, stamp)
-        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        known = KeyIndex(batch.sparkSession, f"{path.rstrip('/')}/_keys", **index)
+        new = known.unseen(first_of_each(batch, key, order), key, batch_id)
+        stamped(new, stamp).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        known.add(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={batch_id}"), key, batch_id)
 
     return handle
 
 
 def to_read_model(
-    stream: DataFrame, path: str, schema: StructType, key: str, checkpoint: str, stamp: str | None = None,
-    trigger: dict | None = None, order: Sequence[str] = (),
+    stream: DataFrame, path: str, key: str, order: Sequence[str], checkpoint: str, stamp: str | None = None,
+    trigger: dict | None = None, **index,
 ) -> StreamingQuery:
     """Project a stream into a keyed table; `order` is the log position that decides between equal keys. A rebuild is a new checkpoint read from the start."""
-    writer = stream.writeStream.foreachBatch(read_model_batch(path, schema, key, stamp, order))
+    writer = stream.writeStream.foreachBatch(read_model_batch(path, key, order, stamp, **index))
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
