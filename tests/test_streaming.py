@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from test_features import make_ticks
@@ -9,6 +10,7 @@ from test_features import make_ticks
 from tickloom import schemas
 from tickloom.operators import features as ft
 from tickloom.operators.identity import with_identity
+from tickloom.plans import lineage
 from tickloom.sources import tables
 from tickloom.sources import ticks as src
 from tickloom.streaming import joins, sinks
@@ -44,6 +46,7 @@ def test_stream_equals_batch(spark):
     ticks, _ = src.split_ticks(raw)
     spec = ft.core_v1()
     stream = FeatureStream(state, "boot", spec)
+    staged = set(lineage.staged())
     query = stream.start(ticks, f"{state}/features", f"{state}/outcomes", f"{state}/checkpoint", {"availableNow": True})
     query.awaitTermination()
 
@@ -61,6 +64,9 @@ def test_stream_equals_batch(spark):
     expected = {r["feature_id"]: r["future_vol_60s"] for r in wanted if r["future_vol_60s"] is not None}
     assert set(labels) == set(expected) and len(expected) > 30
     assert all(abs(labels[k] - v) < 1e-9 for k, v in expected.items())
+    assert set(lineage.staged()) == staged  # triggers leave no staged table
+    with pytest.raises(FileNotFoundError, match="position"):
+        stream.process(batch, 9)  # state that is gone is an error, not a fresh start
     drained = {r["feature_id"] for r in stream.drain(spark, 2).collect()}
     complete = ft.rolling_features(whole, spec, keys=("product_id", "stream_epoch"), drain_tail=True, labelled_only=True)
     last = complete.where("stream_epoch = 1").select("feature_id").collect()

@@ -71,12 +71,14 @@ def hourly_manifest(df: DataFrame, time: str, keys: Sequence[str] = ("kind", "pr
     return grid.join(counts, [*keys, "date", "hour"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """A table that may not have been written yet."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def first_of_each(batch: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -22,8 +22,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tickloom.functions.exprs import micros
 from tickloom.operators import features as ft
 from tickloom.operators.identity import DEDUPE_KEY, drop_redelivered, with_epoch, with_log_return
-from tickloom.plans.lineage import stage
-from tickloom.sources.tables import read_or_empty
+from tickloom.plans.lineage import scope, stage
+from tickloom.sources.tables import exists, read_or_empty
 
 TICK_COLUMNS = (
     "product_id string, timestamp string, ts_us bigint, arrival bigint, price double, best_bid double, "
@@ -63,6 +63,10 @@ class FeatureStream:
     def process(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
         """Feature rows of the batch and outcome events it completes; also advances the state."""
         spark = batch.sparkSession
+        if batch_id > 0:  # only the first batch starts from nothing
+            missing = [name for name in ("tail", "position") if not exists(spark, self._path(name, batch_id - 1))]
+            if missing:
+                raise FileNotFoundError(f"state of batch {batch_id - 1} is gone: {', '.join(missing)}")
         tail = read_or_empty(spark, self._path("tail", batch_id - 1), f"{TICK_COLUMNS}, {IDENTITY_COLUMNS}")
         position = read_or_empty(spark, self._path("position", batch_id - 1), POSITION_COLUMNS)
         names = [field.split()[0] for field in TICK_COLUMNS.split(", ")]
@@ -150,9 +154,10 @@ class FeatureStream:
         """Run on a streaming frame of typed ticks, writing both outputs once per batch."""
 
         def handle(batch: DataFrame, batch_id: int) -> None:
-            features, outcomes = self.process(batch, batch_id)
-            features.write.mode("overwrite").parquet(f"{features_path}/batch={batch_id}")
-            outcomes.write.mode("overwrite").parquet(f"{outcomes_path}/batch={batch_id}")
+            with scope(batch.sparkSession):  # what a trigger stages goes when its outputs are written
+                features, outcomes = self.process(batch, batch_id)
+                features.write.mode("overwrite").parquet(f"{features_path}/batch={batch_id}")
+                outcomes.write.mode("overwrite").parquet(f"{outcomes_path}/batch={batch_id}")
 
         writer = ticks.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
