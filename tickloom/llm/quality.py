@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.select import hashed_sample
 from tickloom.llm.common import slices
 from tickloom.llm.words import words
 from tickloom.plans.lineage import stage
@@ -138,7 +139,9 @@ def assess(
     site = lambda d: d.withColumns({"_host": F.coalesce(host, F.lit("")), "_path": F.coalesce(path, F.lit(""))})
     stats = stage(site(docs).select(F.col(id_col).alias("_id"), "_host", "_path", text_statistics(F.col(text).cast("string")).alias("_x")))
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label) >= 0.5).cast("double").alias("_y"))
-    taken = stats.join(marks, "_id").select("_x", "_y", F.xxhash64("_id", "_x").alias("_o")).orderBy("_o").limit(sample).toPandas()
+    # the sample is chosen among the labelled ids, so no statistics beyond it are gathered; the limit holds for repeated ids
+    some = stats.join(hashed_sample(marks, F.col("_id"), sample), "_id")
+    taken = some.select("_x", "_y", F.xxhash64("_id", "_x").alias("_o")).orderBy("_o").limit(sample).toPandas()
     x = np.array(taken["_x"].tolist()).reshape(len(taken), -1) if len(taken) else np.zeros((0, len(NAMES)))
     model = Model.fit(x, taken["_y"].to_numpy(float))
 
