@@ -14,14 +14,17 @@ returned; repeated rows give repeated results; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.select import hashed_sample
 from tickloom.llm import spans
 from tickloom.llm.boost import Trees
 from tickloom.llm.common import slices
@@ -29,10 +32,12 @@ from tickloom.llm.common import slices
 KINDS = list(spans.PERSONAL)
 #: Documents whose candidates the trees are fitted on, at most.
 SAMPLE_DOCS = 4000
+#: Characters of a sampled text that the trees see, at most.
+SAMPLE_CHARS = 20_000
 #: Precision that each kind's threshold keeps on held-out candidates.
 PRECISION = 0.98
 
-MAY_HOLD = re.compile(r"[@0-9]|\b(?:at|AT)\b")
+MAY_HOLD = re.compile(r"[@0-9]|\bat\b", re.I)
 #: Forms that the generators propose.
 SPELLED_EMAIL = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\[at\]|\(at\)|\{at\}|\x20at\x20)\x20?"
@@ -103,11 +108,12 @@ def _altered(kind: str, held: str, rng: np.random.Generator) -> Iterator[tuple[s
         yield re.sub("[^0-9]", pick("/", "."), held.lstrip("+"))[:10], 0.0
 
 
-def examples(texts: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled candidates of some texts."""
+def examples(texts: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labelled candidates of some texts, and the number of each one's text."""
     rng = np.random.default_rng(seed)
-    x, y = [], []
-    for text in texts:
+    x, y, doc = [], [], []
+    for i, text in enumerate(texts):
+        doc += [i - 1] * (len(y) - len(doc))
         base = base_spans(text)
         for kind, a, b in base:
             x.append(features(kind, text, a, b))
@@ -121,18 +127,25 @@ def examples(texts: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
                 if (kind == "card" and not row[5]) or (kind == "ip" and not row[6]) or (kind == "email" and not row[10]):
                     x.append(row)
                     y.append(0.0)
-    return np.array(x).reshape(len(y), -1 if y else 0), np.array(y)
+    doc += [len(texts) - 1] * (len(y) - len(doc))
+    return np.array(x).reshape(len(y), -1 if y else 0), np.array(y), np.array(doc, np.int64)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> tuple[Trees, float] | None:
-    """Trees and threshold from at most `sample` documents that hold an @ or a digit, chosen by hash of the id."""
+    """Trees and threshold from at most `sample` documents that hold an @ or a digit, chosen by hash of the id.
+
+    Of a longer text the trees see a window of SAMPLE_CHARS at a place chosen by hash. Every fourth document is held out for
+    calibration and threshold, so rewritten copies of a finding stay on its side. With under 40 candidates, or of one kind of
+    label only, there is no model: the base patterns decide alone.
+    """
     held = docs.where(F.col(text).rlike("[@0-9]")).select(F.col(text).alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
-    # only the lowest hashes are kept while reading; a text over 20 000 characters gives no better examples
-    texts = [r["t"] for r in held.where(F.length("t") <= 20_000).orderBy("h", F.xxhash64("t")).limit(sample).collect()]
-    x, y = examples(texts)
-    if len(y) < 40 or y.min() == y.max():
+    at = F.pmod("h", F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)).cast("long") + 1).cast("int")
+    window = hashed_sample(held, F.col("h"), sample).select("h", F.substring(F.col("t"), at + 1, F.lit(SAMPLE_CHARS)).alias("t"))
+    texts = [r["t"] for r in window.orderBy("h", F.xxhash64("t")).limit(sample).collect()]
+    x, y, doc = examples(texts)
+    part = doc % 4 == 3
+    if len(y) < 40 or any(not side.any() or y[side].min() == y[side].max() for side in (part, ~part)):
         return None
-    part = np.arange(len(y)) % 4 == 3
     trees = Trees().fit(x[~part], y[~part])
     trees.calibrate(x[part], y[part])
     return trees, trees.threshold(x[part], y[part], PRECISION)
@@ -148,7 +161,8 @@ def select(text: str, model: tuple[Trees, float] | None) -> list[tuple[str, int,
         return out
     taken = sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in taken]
-    near = lambda a, b: bool(taken) and _overlaps(taken, starts, a, b)
+    reach = list(accumulate((b for _, b in taken), max))
+    near = lambda a, b: (i := bisect_left(starts, b)) > 0 and reach[i - 1] > a
     more = [p for p in proposals(text) if not near(p[1], p[2])]
     if more:
         score = model[0].predict(np.array([features(k, text, a, b) for k, a, b in more]))
@@ -161,13 +175,6 @@ def select(text: str, model: tuple[Trees, float] | None) -> list[tuple[str, int,
     return out
 
 
-def _overlaps(taken: list[tuple[int, int]], starts: list[int], a: int, b: int) -> bool:
-    import bisect
-
-    i = bisect.bisect_left(starts, b)
-    return any(e > a for _, e in taken[max(0, i - 8) : i])
-
-
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: tuple[Trees, float] | None = None) -> DataFrame:
     """One row per document: its id and FOUND_SCHEMA."""
     kind = docs.schema[id_col].dataType.simpleString()
