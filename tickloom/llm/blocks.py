@@ -18,7 +18,7 @@ BREAKS = frozenset(
     "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
-UNSEEN = frozenset("script style noscript template title textarea select svg iframe object math button".split())
+UNSEEN = frozenset("script style noscript template title textarea select svg iframe button".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: What a start tag ends if it is still open, and the element the search for it stops at.
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd", ("dl",)), "dt": ("dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("td", ("tr", "table"))}
@@ -99,7 +99,16 @@ def leaf_blocks(page: str) -> list[Block]:
         if name in UNSEEN:
             if not (m[3] or m[6] or "").endswith("/") or name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+                if name in RAW:
+                    at = end.end() if end else size
+                    continue
+                # without its own end it ends with the element around it, or hides nothing if that is not closed either
+                around = open_tags[-1] if open_tags else None
+                shut = re.compile(rf"</{re.escape(around)}\b[^>]*>", re.I).search(page, at, end.start() if end else size) if around else None
+                if shut:
+                    at = shut.start()
+                elif end:
+                    at = end.end()
             continue
         if name in BREAKS:
             flush()

@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.select import hashed_sample
 from tickloom.llm.blocks import Block, leaf_blocks
 from tickloom.llm.common import slices
 from tickloom.llm.words import words
 
-#: Pages that the network is trained on, at most; longer ones are left to the others.
-SAMPLE_PAGES, SAMPLE_CHARS = 240, 60_000
+#: Pages that the network is trained on, and their characters in sum, at most.
+SAMPLE_PAGES, SAMPLE_CHARS = 240, 240 * 60_000
 PATH, WORD, MEASURES = 96, 32, 7
 HIDDEN, EPOCHS, BATCH, STEP = 16, 8, 16, 0.02
 #: Block places that are labelled at once.
@@ -231,8 +232,14 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(pages: DataFrame, id_col: str = "page_id", text: str = "html", sample: int = SAMPLE_PAGES) -> Network | None:
     """The network, trained on at most `sample` pages that have an article, chosen by hash of the id."""
-    held = pages.where(F.col(text).rlike("(?i)<(article|main)[\\s>]") & (F.length(text) <= SAMPLE_CHARS))
-    rows = held.select(F.col(text).alias("t"), F.xxhash64(id_col).alias("h")).orderBy("h", F.xxhash64("t")).limit(sample).collect()
+    held = pages.where(F.col(text).rlike("(?i)<(article|main)[\\s>]")).select(F.col(text).alias("t"), F.xxhash64(id_col).alias("h"))
+    sizes = hashed_sample(held, F.col("h"), sample).select("h", F.xxhash64("t").alias("x"), F.length("t").cast("long").alias("n"))
+    first = sizes.orderBy("h", "x").limit(sample).toPandas()
+    first = first[first["n"].cumsum() <= SAMPLE_CHARS]
+    if not len(first):
+        return None
+    wanted = pages.sparkSession.createDataFrame(first[["h", "x"]].drop_duplicates(), "h long, x long")
+    rows = held.withColumn("x", F.xxhash64("t")).join(F.broadcast(wanted), ["h", "x"]).dropDuplicates(["h", "x"]).orderBy("h", "x").collect()
     parsed = [(b, y) for r in rows if (b := leaf_blocks(r["t"])) and (y := weak_labels(b)) is not None and y.any()]
     if not parsed:
         return None
