@@ -5,7 +5,7 @@ repeats its neighbour once, and compressed with every dictionary in blocks, so t
 language from itself; the sizes are summed. A narrow margin leads to a second look at a higher level, whose sizes are
 added. The winner's margin over the next is the score; if it stays narrow, the row is marked as rejected.
 
-Dictionaries come from at most SAMPLE_TEXTS texts a language, the first by hash of the id, cut to SAMPLE_CHARS each.
+Dictionaries come from at most SAMPLE_TEXTS texts a language, the first by hash of the id, SAMPLE_CHARS of each from a place chosen by hash.
 Defined cases: text that is null or has no letter is `und` with score 0; without any learned language all are `und`;
 with one language the score is 1; ties go to the language with more learned texts, then to the one that sorts first; repeated rows give repeated results.
 """
@@ -37,15 +37,19 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def plain(text: str) -> bytes:
     """The words that are compressed."""
-    found = _WORD.findall(text.lower())
+    # a word character that is no letter (superscripts, fractions) is left out
+    found = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in _WORD.findall(text.lower())]
+    found = [w for w in found if w]
     return " ".join([w for w, before in zip(found, [None, *found], strict=False) if w != before]).encode("utf-8", "surrogatepass")
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
     """Dictionary content of each language in `docs`, the most frequent language first."""
     held = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(F.trim(text)) > 0)).select(
-        F.col(lang).alias("l"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(F.col(id_col)).alias("h")
+        F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(id_col)).alias("h")
     )
+    start = F.pmod("h", F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)).cast("long") + 1).cast("int") + 1
+    held = held.withColumn("t", F.substring(F.col("t"), start, F.lit(SAMPLE_CHARS)))
     # the rank limit is applied in every task before rows are shuffled
     first = held.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("r") <= texts)
     found: dict[str, list[tuple[int, str]]] = {}
