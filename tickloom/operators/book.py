@@ -230,21 +230,6 @@ def _timeline(anchors: DataFrame, deltas: DataFrame, metadata: DataFrame, days:
     )
 
 
-def _dyadic(low: Column, high: Column, bits: Column, item) -> Column:
-    """Array of item(k, j) for the blocks [j * 2**k, (j + 1) * 2**k) that `[low, high)` falls apart into, two a size at most."""
-
-    def of_size(k: Column) -> Column:
-        width = F.pow(F.lit(2), k).cast("bigint")
-        first, last = F.ceil(low / width), F.floor(high / width)
-        inside = first < last
-        return F.filter(
-            F.array(F.when(inside & (first % 2 == 1), item(k, first)), F.when(inside & (last % 2 == 1), item(k, last - 1))),
-            lambda block: block.isNotNull(),
-        )
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), bits), of_size))
-
-
 def _fold(timeline: DataFrame) -> DataFrame:
     """States after every second that changed a book; incidents carry a code and no book.
 
@@ -253,7 +238,7 @@ def _fold(timeline: DataFrame) -> DataFrame:
     level after an event is the best over the one block of each size that the event lies in. All steps are aggregates or
     windows within a run, so one shuffle on the run serves them all.
     """
-    run = [*UNIT, "run_us"]
+    run = ["run_us", *UNIT]  # the number first: sorts compare it before the texts
     fields = ["at_us", "kind", "sequence_start", "sequence_end", "best_bid", "best_ask", "segment_id", "start_us", "final_us"]
     in_run = Window.partitionBy(*run)
     in_order = in_run.orderBy("at_us", "kind", "sequence_start", "sequence_end")
@@ -282,23 +267,29 @@ def _fold(timeline: DataFrame) -> DataFrame:
     changes = F.transform(F.filter("levels", sound), lambda x, i: level(i, x["side"], x["price"], x["quantity"], F.lit(None).cast(kind)))
     itself = F.array(level(F.lit(-1), F.lit(None).cast("string"), no_price, no_price, event))
     rows = events.select(*run, "idx", "n", F.explode(F.concat(changes, itself)).alias("c")).select(*run, "idx", "n", "c.*")
-    of_level = Window.partitionBy(*run, "side", "price").orderBy("idx", "pos")
+    of_level = Window.partitionBy("price", "side", *run).orderBy("idx", "pos")
     rows = rows.withColumn("until", F.coalesce(F.lead("idx").over(of_level), F.col("n")))
 
-    bits = F.ceil(F.log2(F.col("n").cast("double"))).cast("int")
-    block = lambda k, j, bid, ask, ev: F.struct(k.alias("k"), j.cast("bigint").alias("j"), bid.alias("bid"), ask.alias("ask"), ev.alias("ev"))
-    best = "struct<price:decimal(18,8),quantity:decimal(18,8)>"
-    none, no_event = F.lit(None).cast(best), F.lit(None).cast(kind)
+    # a level asks for the odd block at either end of its lifetime in every size; an event for the block it lies in
+    is_event, bits = F.col("pos") < 0, F.ceil(F.log2(F.col("n").cast("double"))).cast("int")
+    step = F.explode(F.sequence(F.lit(0), F.when(is_event, bits).otherwise(2 * bits + 1)))
+    rows = rows.where(is_event | ((F.col("quantity") > 0) & (F.col("idx") < F.col("until")))).withColumn("step", step)
+    k = F.when(is_event, F.col("step")).otherwise(F.floor(F.col("step") / 2)).cast("int")
+    rows = rows.withColumn("k", k)
+    width = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("k"))
+    first = F.call_function("shiftright", F.col("idx") + width - 1, F.col("k"))
+    last = F.call_function("shiftright", F.col("until"), F.col("k"))
+    left = (F.col("step") % 2 == 0) & (first % 2 == 1)
+    right = (F.col("step") % 2 == 1) & (last % 2 == 1)
+    mine = F.call_function("shiftright", F.col("idx"), F.col("k"))
+    rows = rows.where(is_event | ((first < last) & (left | right)))
     own = lambda sign: F.struct((sign * F.col("price")).cast("decimal(18,8)").alias("price"), "quantity")
-    bid, ask = F.when(F.col("side") == "bid", own(F.lit(1))), F.when(F.col("side") == "offer", own(F.lit(-1)))
-    lifetimes = _dyadic(F.col("idx"), F.col("until"), bits, lambda k, j: block(k, j, bid, ask, no_event))
-    asked = F.transform(
-        F.sequence(F.lit(0), bits),
-        lambda k: block(k, F.floor(F.col("idx") / F.pow(F.lit(2), k)), none, none, F.when(k == 0, F.col("ev"))),
-    )
-    blocks = F.when(F.col("pos") < 0, asked).when(F.col("quantity") > 0, lifetimes)
-    rows = rows.select(*run, "idx", (F.col("pos") < 0).alias("asks"), F.explode(blocks).alias("b")).select(*run, "idx", "asks", "b.*")
-    same_block = Window.partitionBy(*run, "k", "j")
+    rows = rows.select(
+        *run, "idx", "k", F.when(is_event, mine).when(left, first).otherwise(last - 1).alias("j"), is_event.alias("asks"),
+        F.when(F.col("side") == "bid", own(F.lit(1))).alias("bid"), F.when(F.col("side") == "offer", own(F.lit(-1))).alias("ask"),
+        F.when(F.col("k") == 0, F.col("ev")).alias("ev"),
+    )
+    same_block = Window.partitionBy("j", "k", *run)
     rows = rows.withColumns({"bid": F.max("bid").over(same_block), "ask": F.max("ask").over(same_block)}).where("asks")
     states = rows.groupBy(*run, "idx").agg(F.max("bid").alias("bid"), F.max("ask").alias("ask"), F.max("ev").alias("ev"))
     states = states.select(
