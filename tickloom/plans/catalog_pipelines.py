@@ -162,8 +162,9 @@ def model_rows(spark, sf):
     "verify_manifest",
     """WITH e AS (SELECT event_id, sha256(CAST(event_id AS VARCHAR)) AS d FROM events)
 SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 6 = 0 THEN 'source_mismatch' END, CASE WHEN event_id % 5 = 0 THEN 'hour_out_of_range' END,
-  CASE WHEN event_id % 7 = 0 THEN 'digest_mismatch' END, CASE WHEN event_id % 4 = 0 THEN 'receipt_disagrees' END], lambda x: x IS NOT NULL), ',') AS problems
-FROM e""",
+  CASE WHEN event_id % 7 = 0 THEN 'digest_mismatch' END, CASE WHEN event_id % 4 = 0 THEN 'receipt_disagrees' END,
+  CASE WHEN event_id % 8 = 3 THEN 'file_missing' END, CASE WHEN event_id % 8 <> 3 AND event_id % 9 = 0 THEN 'checksum_mismatch' END],
+  lambda x: x IS NOT NULL), ',') AS problems FROM e""",
 )
 def verify_manifest(spark, sf):
     e = F.col("event_id")
@@ -180,7 +181,32 @@ def verify_manifest(spark, sf):
         "verified_receipt",
         F.struct((e % 4 != 0).alias("success"), F.col("remote_path").alias("remote_path"), F.col("sha256").alias("sha256")),
     )
-    return mf.verify_entries(entries, "P", {"trades": "feed"}).select("event_id", codes("problems"))
+    found = entries.where("event_id % 8 <> 3").select(
+        "remote_path", F.when(e % 9 == 0, F.sha2(F.lit("y"), 256)).otherwise(F.col("sha256")).alias("sha256"), "event_id"
+    )
+    # paths of foreign content are shared; bytes are found by path and entry here
+    stored = found.withColumn("remote_path", F.concat("remote_path", F.lit("#"), e.cast("string"))).drop("event_id")
+    named = entries.withColumn("stored_path", F.concat("remote_path", F.lit("#"), e.cast("string")))
+    out = mf.verify_entries(named, "P", {"trades": "feed"}, stored, stored_as="stored_path")
+    return out.select("event_id", codes("problems"))
+
+
+def merkle_sql(name: str, rows: str, depth: int) -> str:
+    """Digest tree over the JSON texts that `rows` selects as j; the root is `<name>_0`."""
+    levels = [f"""{name}_h AS (SELECT h, h || ':' || count(*) AS leaf FROM (SELECT sha256(j) AS h FROM ({rows})) GROUP BY h),
+{name}_{depth} AS (SELECT left(h, {depth}) AS p, sha256(string_agg(leaf, ',' ORDER BY leaf)) AS g FROM {name}_h GROUP BY 1)"""]
+    for d in range(depth - 1, -1, -1):
+        levels.append(f"{name}_{d} AS (SELECT left(p, {d}) AS p, sha256(string_agg(g, ',' ORDER BY p)) AS g FROM {name}_{d + 1} GROUP BY 1)")
+    return ",\n".join(levels)
+
+
+@query(
+    "content_digest",
+    f"""WITH {merkle_sql('m', "SELECT CAST(to_json({'event_id': event_id, 'event_type': event_type, 'user_id': user_id}) AS VARCHAR) AS j FROM events", 3)}
+SELECT 0 AS level, '' AS prefix, g AS digest FROM m_0 UNION ALL SELECT 1, p, g FROM m_1 UNION ALL SELECT 2, p, g FROM m_2 UNION ALL SELECT 3, p, g FROM m_3""",
+)
+def content_digest(spark, sf):
+    return mf.merkle_levels(table(spark, sf, "events"), ["event_id", "event_type", "user_id"], depth=3)
 
 
 @query(
@@ -215,14 +241,33 @@ def inventory_sets(spark, sf):
 
 @query(
     "raw_manifest",
-    """SELECT count(DISTINCT event_type) AS kinds, sum(CAST(floor(value) AS BIGINT))::BIGINT AS rows, 30 * 86400 - 1000 AS missing_seconds FROM events""",
+    f"""WITH {merkle_sql('c', """SELECT CAST(to_json({'day_end_epoch': d + 86400, 'day_start_epoch': d, 'product_id': event_type,
+  'source_date': strftime(to_timestamp(d) AT TIME ZONE 'UTC', '%Y-%m-%d')}) AS VARCHAR) AS j FROM (SELECT DISTINCT event_type, epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP)) // 1000000 AS d FROM events)""", 1)}
+SELECT count(DISTINCT event_type) AS kinds, sum(CAST(floor(value) AS BIGINT))::BIGINT AS rows, 30 * 86400 - 1000 AS missing_seconds,
+       count(*) AS n_partitions, count(*) FILTER (WHERE user_id % 9 = 0) AS n_sequence_incidents,
+       (SELECT count(*) FROM c_h) AS n_trade_day_completions, (SELECT g FROM c_0) AS trade_day_completions_root,
+       count(*) - count(DISTINCT user_id * 10 + strlen(event_type)) >= 0 AS ok,
+       (SELECT string_agg(event_type || '=' || d, ',' ORDER BY event_type) FROM (SELECT event_type, sum(user_id % 3) AS d FROM events GROUP BY 1)) AS duplicates FROM events""",
 )
 def raw_manifest(spark, sf):
-    parts = table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.floor("value").alias("rows"))
-    row = mf.raw_manifest(parts, 1000, 30)
+    events = table(spark, sf, "events")
+    parts = events.select(
+        F.col("event_type").alias("kind"), F.floor("value").alias("rows"), F.col("event_id").cast("string").alias("remote_path"),
+        F.sha2(F.col("event_id").cast("string"), 256).alias("sha256"),
+    )
+    doubled = events.select(F.col("event_type").alias("kind"), (F.col("user_id") % 3).alias("duplicates"))
+    incidents = events.where("user_id % 9 = 0").select("event_id", F.lit("sequence_regression").alias("incident"))
+    day = F.unix_seconds(F.to_date("ts").cast("timestamp"))
+    done = events.select(
+        F.col("event_type").alias("product_id"), F.to_date("ts").alias("source_date"), day.alias("day_start_epoch"), (day + 86_400).alias("day_end_epoch")
+    ).distinct()
+    row = mf.raw_manifest(parts, 1000, 30, doubled, incidents, events.where("user_id % 10 = 3").select("event_id"), done)
+    pairs = F.transform("duplicate_counts", lambda k: F.concat_ws("=", k["kind"], k["duplicates"].cast("string")))
     return row.select(
         F.size("kinds").cast("bigint").alias("kinds"),
         F.aggregate("kinds", F.lit(0).cast("bigint"), lambda a, k: a + k["rows"]).alias("rows"), "missing_seconds",
+        "n_partitions", "n_sequence_incidents", "n_trade_day_completions", "trade_day_completions_root",
+        (F.length("partitions_root") == 64).alias("ok"), F.array_join(pairs, ",").alias("duplicates"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,21 +48,50 @@ def materialize_segmented_features(
 
 
 def write_feature_sets(outputs: dict[str, DataFrame], root: str) -> DataFrame:
-    """Write the feature sets once (existing ones are an error); their rows and content digests."""
+    """Publish the feature sets under the digest of their content: (feature_set_id, rows, content_sha256, path, reused).
+
+    A set is written to a hidden folder, digested, moved to `part-<digest>` and marked. Only marked folders count (see
+    `published_feature_sets`), so a write that is killed leaves nothing visible. The same content again reuses what is
+    there after its digest has been checked; content that no longer has its digest is an error.
+    """
     wanted = set(ft.FEATURE_SETS)
     if set(outputs) != wanted:
         raise ValueError(f"want outputs for {sorted(wanted)}, not {sorted(outputs)}")
-    written = None
+    rows = []
     for name, df in outputs.items():
-        path = f"{root}/features/feature_set={name}"
-        df.write.mode("errorifexists").parquet(path)
-        stored = df.sparkSession.read.parquet(path)
-        row = stored.agg(
-            F.lit(name).alias("feature_set_id"), F.count(F.lit(1)).alias("rows"),
-            manifest.content_digest(stored.columns).alias("content_sha256"), F.lit(path).alias("path"),
-        )
-        written = row if written is None else written.unionByName(row)
-    return written
+        spark, folder = df.sparkSession, f"{root.rstrip('/')}/features/feature_set={name}"
+        draft = f"{folder}/_draft-{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(draft)
+            written = spark.read.schema(df.schema).parquet(draft)
+            digest = manifest.merkle_root(written).first()["digest"]
+            path = f"{folder}/part-{digest}"
+            reused = tables.exists(spark, f"{path}/_published")
+            if reused:
+                found = manifest.merkle_root(spark.read.schema(df.schema).parquet(path)).first()["digest"]
+                if found != digest:
+                    raise ValueError(f"{path} does not hold what its digest says")
+            else:
+                tables.remove(spark, path)  # left by a write that ended before its mark
+                tables.move(spark, draft, path)
+                spark.createDataFrame([(digest,)], "value string").coalesce(1).write.text(f"{path}/_published")
+            rows.append((name, written_rows(spark, path, df.schema), digest, path, reused))
+        finally:
+            tables.remove(spark, draft)
+    return spark.createDataFrame(rows, "feature_set_id string, rows bigint, content_sha256 string, path string, reused boolean")
+
+
+def written_rows(spark: SparkSession, path: str, schema) -> int:
+    return spark.read.schema(schema).parquet(path).count()
+
+
+def published_feature_sets(spark: SparkSession, root: str) -> list[str]:
+    """Paths of the published outputs, sorted."""
+    out = []
+    for name in ft.FEATURE_SETS:
+        folder = f"{root.rstrip('/')}/features/feature_set={name}"
+        out += [p for p in tables.folders(spark, folder) if p.rsplit("/", 1)[1].startswith("part-") and tables.exists(spark, f"{p}/_published")]
+    return sorted(out)
 
 
 def materialize_history(spark: SparkSession, root: str, feature_set_id: str, days: Sequence[str] | None = None, **options) -> DataFrame:

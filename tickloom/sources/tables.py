@@ -76,6 +76,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _place(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target, fs = _place(spark, path)
+    fs.delete(target, True)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    target, fs = _place(spark, old)
+    if not fs.rename(target, _place(spark, new)[0]):
+        raise OSError(f"{old} could not become {new}")
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders directly below `path`."""
+    target, fs = _place(spark, path)
+    return [f"{path}/{s.getPath().getName()}" for s in fs.listStatus(target) if s.isDirectory()] if fs.exists(target) else []
+
+
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """A table that may not have been written yet."""
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
