@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scan
 from tickloom.functions.exprs import MICROS, ColumnLike, col, is_finite, micros, ratio
+from tickloom.plans.lineage import stage
 
 SERIES_KEYS = ("model_variant", "model_version", "run_id")
 
@@ -611,3 +612,42 @@ def retrain_triggers(
             ("average_precision_below_floor", F.col("average_precision") < ap_floor),
         ),
     ).withColumn("retrain", F.size("reasons") > 0)
+
+
+def rolling_triggers(
+    recent: DataFrame, reference: DataFrame, score: str = "score", label: str = "label", day: str = "day", days: int = 7,
+    js_limit: float = 0.15, ap_floor: float = 0.30,
+) -> DataFrame:
+    """Reasons to retrain after each observed day, judged on the `days` days that end with it: (day, n, average_precision,
+    js_distance, reasons, retrain).
+
+    A day's state is its ladder: positives and negatives per distinct score. States of several days add up, so every window
+    is a sum of small tables; rows are read once. `reference` gives the label's usual distribution.
+    """
+    positive = F.coalesce(F.col(label).cast("int"), F.lit(0)) != 0
+    state = stage(
+        recent.where(F.col(day).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(day).cast("date").alias("__day"), F.col(score).cast("double").alias("score"))
+        .agg(F.count_if(positive).alias("tp"), F.count_if(~positive).alias("fp"))
+    )
+    ends = state.select(F.col("__day").alias("day")).distinct()
+    spread = state.withColumn("day", F.explode(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda k: F.date_add("__day", k))))
+    steps = scan.value_ladder(
+        spread.join(ends, "day"), "score", {"tp": F.col("tp"), "fp": F.col("fp")}, ["day"], descending=True
+    )
+    gained = F.col("tp") * F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
+    windows = steps.groupBy("day").agg(
+        F.sum(F.col("tp") + F.col("fp")).alias("n"), F.sum("tp").alias("__tp"),
+        F.try_divide(F.sum(gained), F.sum("tp")).alias("average_precision"),
+    )
+    usual = reference.agg(F.avg(positive.cast("double")).alias("p")).scalar()
+    p, q = F.coalesce("__p", F.lit(0.0)), F.col("__tp") / F.col("n")
+    part = lambda x, y: F.when(x > 0, x * F.ln(2 * x / (x + y))).otherwise(0.0)
+    divergence = (part(p, q) + part(q, p) + part(1 - p, 1 - q) + part(1 - q, 1 - p)) / 2
+    judged = windows.withColumn("__p", usual).withColumn("js_distance", F.sqrt(F.greatest(divergence, F.lit(0.0))))
+    from tickloom.functions.exprs import reasons
+
+    found = reasons(
+        ("target_drift", F.col("js_distance") > js_limit), ("average_precision_below_floor", F.col("average_precision") < ap_floor)
+    )
+    out = judged.withColumn("reasons", found).withColumn("retrain", F.size("reasons") > 0)
+    return out.select("day", "n", "average_precision", "js_distance", "reasons", "retrain")

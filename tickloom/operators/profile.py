@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import combinations
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,21 +153,43 @@ def autocorrelation(
     return pairs.groupBy("lag_seconds").agg(*row)
 
 
+def _gram(columns: Sequence[str], shift: Sequence[float]):
+    """Per task the sums of every column pair, over rows where both are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - np.array(shift)
+            known = np.stack([~np.asarray(c.is_null()) for c in batch.columns], axis=1).astype(float)
+            x = np.where(known > 0, x, 0.0)
+            parts = np.stack([known.T @ known, x.T @ known, known.T @ x, (x * x).T @ known, known.T @ (x * x), x.T @ x])
+            total = parts if total is None else total + parts
+        if total is not None:
+            i, j = np.triu_indices(len(columns), 1)
+            arrays = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(t[i, j]) for t in total)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    return run
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair, one pass, nulls dropped per pair."""
-    named = list(combinations(columns, 2))
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    number = lambda a: F.col(a).cast("double")
-    row = df.agg(
-        *[
-            F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"),
-                F.corr(F.when(both(a, b), number(a)), F.when(both(a, b), number(b))).alias("r"),
-            ).alias(f"p{i}")
-            for i, (a, b) in enumerate(named)
-        ]
+    """Pearson correlation of every column pair, nulls dropped per pair; null where one of the two does not vary.
+
+    One pass builds the blocked product of the columns with themselves, six sums a pair, by matrix products inside tasks; tasks
+    send pairs, not rows. Columns are shifted near their mean first, so that nothing cancels.
+    """
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    centre = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c))
+    shift = numbers.agg(*[F.coalesce(centre(c), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    sums = numbers.mapInArrow(_gram(columns, list(shift)), "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    pair = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.col("n")
+    vary = (n * F.col("xx") - F.col("x") * F.col("x")) * (n * F.col("yy") - F.col("y") * F.col("y"))
+    name = lambda at: F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(at) + 1)
+    return pair.select(
+        name("i").alias("a"), name("j").alias("b"),
+        F.try_divide(n * F.col("xy") - F.col("x") * F.col("y"), F.sqrt(F.when(vary > 0, vary).when(F.isnan(vary), vary))).alias("r"),
     )
-    return row.select(F.explode(F.array(*[f"p{i}" for i in range(len(named))])).alias("p")).select("p.*")
 
 
 def high_correlations(pairs: DataFrame, limit: float = 0.85) -> DataFrame:

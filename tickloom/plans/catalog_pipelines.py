@@ -356,6 +356,28 @@ def retrain_triggers(spark, sf):
     return out.select(codes("reasons"), "retrain")
 
 
+@query(
+    "rolling_triggers",
+    f"""WITH {SCORED},
+e AS (SELECT DISTINCT day AS de FROM s),
+w AS (SELECT de, score, sum(label) AS tp, sum(1 - label) AS fp FROM s JOIN e ON s.day <= de AND s.day > de - INTERVAL 7 DAY GROUP BY ALL),
+c AS (SELECT *, sum(tp) OVER q AS ctp, sum(tp + fp) OVER q AS cn FROM w WINDOW q AS (PARTITION BY de ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT de, sum(tp + fp)::BIGINT AS n, sum(tp * ctp / cn::DOUBLE) / sum(tp) AS ap, sum(tp) / sum(tp + fp)::DOUBLE AS q,
+             (SELECT avg(label) FROM s) AS p FROM c GROUP BY de),
+j AS (SELECT *, sqrt(greatest((p * ln(2 * p / (p + q)) + q * ln(2 * q / (p + q)) + (1 - p) * ln(2 * (1 - p) / (2 - p - q)) + (1 - q) * ln(2 * (1 - q) / (2 - p - q))) / 2, 0)) AS js FROM a)
+SELECT CAST(de AS VARCHAR) AS day, n, {rs('ap')} AS average_precision, {rs('js')} AS js_distance,
+       array_to_string(list_filter([CASE WHEN js > 0.005 THEN 'target_drift' END, CASE WHEN ap < 0.62 THEN 'average_precision_below_floor' END], lambda x: x IS NOT NULL), ',') AS reasons,
+       js > 0.005 OR ap < 0.62 AS retrain FROM j""",
+)
+def rolling_triggers(spark, sf):
+    rows = scored(spark, sf)
+    out = mt.rolling_triggers(rows, rows, js_limit=0.005, ap_floor=0.62)
+    return out.select(
+        F.col("day").cast("string").alias("day"), "n", r("average_precision").alias("average_precision"), r("js_distance").alias("js_distance"),
+        codes("reasons"), "retrain",
+    )
+
+
 @query(
     "high_correlations",
     """WITH q AS (SELECT value AS x, value * 2 + user_id AS y, CAST(event_id % 7 AS DOUBLE) AS w FROM events),
