@@ -193,6 +193,14 @@ def with_value_chunk(
     return ranged.withColumn(name, F.coalesce(below, F.lit(0))).drop("__edges")
 
 
+def order_chunk(df: DataFrame, column: str, width: int | None = None, name: str = "__chunk") -> DataFrame:
+    """Add the chunk of an ordered scan over `column`: ranges that hold equally many rows, however dense the rows lie in
+    places (a quantile sketch of bounded size), or, with `width`, slices of the column of that width."""
+    if width is not None:
+        return df.withColumn(name, F.floor(F.col(column) / F.lit(width)))
+    return with_value_chunk(df, df, column, name)
+
+
 def value_ladder(
     df: DataFrame,
     value: str,

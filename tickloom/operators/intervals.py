@@ -57,8 +57,9 @@ def interval_subtract(
     start: str = "start",
     end: str = "end",
     chunk_us: int = CHUNK_US,
+    merged: bool = False,
 ) -> DataFrame:
-    """The parts of `base` no cut covers, by a sweep over the boundaries of both."""
+    """The parts of `base` no cut covers, by a sweep over the boundaries of both. `merged`: the cuts are disjoint already."""
 
     def edges(df: DataFrame, name: str) -> DataFrame:
         other = "__cut" if name == "__base" else "__base"
@@ -71,7 +72,7 @@ def interval_subtract(
         )
 
     merged_base = interval_union(base, keys, start, end, chunk_us)
-    merged_cuts = interval_union(cuts, keys, start, end, chunk_us)
+    merged_cuts = cuts if merged else interval_union(cuts, keys, start, end, chunk_us)
     moves = (
         edges(merged_base, "__base")
         .unionByName(edges(merged_cuts, "__cut"))
@@ -118,11 +119,13 @@ def flag_overlap(
     gap_end: str = "end",
     name: str = "overlaps",
     chunk_us: int = CHUNK_US,
+    merged: bool = False,
 ) -> DataFrame:
-    """Add whether some gap satisfies `row.start < gap.end and gap.start < row.end`."""
-    merged = interval_union(gaps.select(*keys, gap_start, gap_end), keys, gap_start, gap_end, chunk_us)
+    """Add whether some gap satisfies `row.start < gap.end and gap.start < row.end`. `merged`: the gaps are disjoint already."""
+    if not merged:
+        gaps = interval_union(gaps.select(*keys, gap_start, gap_end), keys, gap_start, gap_end, chunk_us)
     matched = scan.asof_backward(
-        rows, merged, keys, row_end, gap_start, {"__gap_end": F.col(gap_end)}, chunk_us, allow_exact=False
+        rows, gaps, keys, row_end, gap_start, {"__gap_end": F.col(gap_end)}, chunk_us, allow_exact=False
     )
     return matched.withColumn(name, F.coalesce(F.col("__gap_end") > col(row_start), F.lit(False))).drop(
         "__gap_end"

@@ -18,6 +18,7 @@ from tickloom.operators.intervals import (
     covered_seconds,
     flag_overlap,
     interval_subtract,
+    interval_union,
     split_by_day,
 )
 from tickloom.plans.lineage import stage
@@ -265,11 +266,11 @@ def trade_codes(trades: DataFrame, arrival: str = "arrival") -> DataFrame:
     )
 
 
-def join_codes(ticks: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Failure codes of trades joined to books, against gaps and exclusions (microseconds)."""
+def join_codes(ticks: DataFrame, cuts: DataFrame, merged: bool = False) -> DataFrame:
+    """Failure codes of trades joined to books, against gaps and exclusions (microseconds; `merged`: disjoint already)."""
     seen, at = ts_micros("book_observed_through"), ts_micros("timestamp")
     rows = ticks.withColumns({"__seen": seen, "__at": at})
-    crossing = flag_overlap(rows.where(F.col("__seen").isNotNull()), cuts, (), "__seen", "__at", name="__crosses")
+    crossing = flag_overlap(rows.where(F.col("__seen").isNotNull()), cuts, (), "__seen", "__at", name="__crosses", merged=merged)
     other = (
         F.col("segment_id").isNotNull() & F.col("book_segment_id").isNotNull()
         & (F.col("segment_id") != F.col("book_segment_id"))
@@ -319,8 +320,8 @@ def audit_dataset(
         for df in raw.values()
     ]
     base, gap, cut = (stage(_well_formed(df)) for df in raw.values())
-    blocked = gap.unionByName(cut)
-    valid = interval_subtract(base, blocked)
+    blocked = interval_union(gap.unionByName(cut))  # merged once, for all that ask
+    valid = interval_subtract(base, blocked, merged=True)
 
     if partitions is not None:
         problems = partition_evidence(partitions)
@@ -330,10 +331,10 @@ def audit_dataset(
     if trades is not None:
         failures.append(trade_codes(trades, arrival))
     if joined_ticks is not None:
-        failures.append(join_codes(joined_ticks, blocked))
+        failures.append(join_codes(joined_ticks, blocked, merged=True))
     if label_windows is not None:
         windows = _interval_micros(label_windows)
-        crossing = flag_overlap(_well_formed(windows), blocked, name="__crosses")
+        crossing = flag_overlap(_well_formed(windows), blocked, name="__crosses", merged=True)
         failures.append(_codes(crossing, ("label_window_crosses_excluded_interval", F.col("__crosses"))))
         broken = F.col("start").isNull() | F.col("end").isNull() | (F.col("start") >= F.col("end"))
         failures.append(_codes(windows, ("malformed_label_window", broken)))

@@ -351,7 +351,7 @@ SELECT event_id FROM b WHERE must OR (budget > 0 AND ceil(fi / step) < budget AN
 def thin_series(spark, sf):
     rows = joined(spark, sf).withColumn("ts_us", F.unix_micros(event_time("feature_ts")))
     keep = (F.coalesce(F.col("vol_spike"), F.lit(0)) != 0) & (F.col("score") > 0.9)
-    return gr.thin_rows(rows, keep, max_points=1500, chunk_us=5 * 86_400_000_000).select("event_id")
+    return gr.thin_rows(rows, keep, max_points=1500).select("event_id")
 
 
 CLASSED = f"""{GRADED},
