@@ -8,6 +8,7 @@ shuffle, and every curve metric is a plain aggregate over the ladder.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -256,23 +257,29 @@ ALERT_CHUNK_SECONDS = 3600
 COMPOSED = 32
 
 
-def compose_tables(first: pd.DataFrame, then: pd.DataFrame, cooldown: int) -> pd.DataFrame:
+def compose_tables(first: np.ndarray, then: np.ndarray, cooldown: int) -> np.ndarray:
     """The transition table of two neighbouring chunks. Columns upto (rising), alerts, hits, last: a series unmuted at u takes
     the first row with upto >= u, and no alert if there is none."""
-    i = np.searchsorted(then["upto"].to_numpy(), first["last"].to_numpy() + cooldown, side="left")
-    hit = i < len(then)
-    j = np.minimum(i, len(then) - 1)
+    i = np.searchsorted(then[:, 0], first[:, 3] + cooldown, side="left")
+    hit, j = i < len(then), np.minimum(i, len(then) - 1)
     out = first.copy()
-    for name in ("alerts", "hits"):
-        out[name] = first[name].to_numpy() + np.where(hit, then[name].to_numpy()[j], 0)
-    out["last"] = np.where(hit, then["last"].to_numpy()[j], first["last"].to_numpy())
+    out[:, 1:3] += np.where(hit[:, None], then[j, 1:3], 0)
+    out[:, 3] = np.where(hit, then[j, 3], first[:, 3])
     # who finds nothing in the first chunk goes on to the second, unmuted at its start: chunks are no shorter than a mute
-    out = pd.concat([out, then.iloc[:1]], ignore_index=True)
+    out = np.concatenate([out, then[:1]])
     change = np.ones(len(out), dtype=bool)
-    change[:-1] = (out[["alerts", "hits", "last"]].to_numpy()[1:] != out[["alerts", "hits", "last"]].to_numpy()[:-1]).any(axis=1)
+    change[:-1] = (out[1:, 1:] != out[:-1, 1:]).any(axis=1)
     return out[change]
 
 
+def _table(rows: np.ndarray, chunk: int, of: pd.DataFrame, names: Sequence[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["upto", "alerts", "hits", "last"])
+    out.insert(0, "__chunk", chunk)
+    for name in reversed(names):
+        out.insert(0, name, of[name].iloc[0])
+    return out
+
+
 def _compose(tables: DataFrame, names: Sequence[str], prefix: str, cooldown: int) -> DataFrame:
     """One row per series: what its composed tables give a series that starts unmuted."""
     ends = tables.agg(F.min("__chunk").alias("low"), F.max("__chunk").alias("high")).first()
@@ -281,13 +288,10 @@ def _compose(tables: DataFrame, names: Sequence[str], prefix: str, cooldown: int
     schema = f"{prefix}__chunk bigint, upto bigint, alerts bigint, hits bigint, last bigint"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = None
-        for _, table in pdf.sort_values(["__chunk", "upto"]).groupby("__chunk", sort=True):
-            out = table if out is None else compose_tables(out, table, cooldown)
-        out = out.assign(__chunk=out["__chunk"].iloc[0] // COMPOSED)
-        for name in names:
-            out[name] = pdf[name].iloc[0]
-        return out[[*names, "__chunk", "upto", "alerts", "hits", "last"]]
+        pdf = pdf.sort_values(["__chunk", "upto"])
+        chunk, rows = pdf["__chunk"].to_numpy(), pdf[["upto", "alerts", "hits", "last"]].to_numpy()
+        pieces = np.split(rows, np.flatnonzero(np.diff(chunk)) + 1)
+        return _table(reduce(lambda a, b: compose_tables(a, b, cooldown), pieces), int(chunk[0]) // COMPOSED, pdf, names)
 
     tables = tables.withColumn("__chunk", F.col("__chunk") - F.lit(ends["low"]))
     span = ends["high"] - ends["low"]
@@ -313,7 +317,7 @@ def event_metrics(
 
     Alerting is greedy and therefore sequential, but a time chunk only depends on
     its predecessor through the moment the mute ends. Every chunk is first reduced,
-    in parallel, to a short table "if unmuted at t: so many alerts, so many hits,
+    a few neighbouring ones a task, to a short table "if unmuted at t: so many alerts, so many hits,
     last alert at u". Such tables are step functions and their composition is
     associative, so neighbouring ones are composed in rounds of `COMPOSED` tables
     until one is left per series: no task holds a series.
@@ -349,12 +353,8 @@ def event_metrics(
         ).groupBy(*names, "__ts").agg(F.min_by("__y", "__order").alias("__y"))
         chunked = rows.withColumn("__chunk", F.floor(F.col("__ts") / F.lit(width)))
 
-        def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("__ts")
-            at = pdf["__ts"].to_numpy()
-            hit = pdf["__y"].to_numpy()
+        def reduce_chunk(at: np.ndarray, hit: np.ndarray, chunk: int) -> np.ndarray:
             follow = np.searchsorted(at, at + cooldown, side="left")
-            chunk = int(pdf["__chunk"].iloc[0])
             n_starts = int(np.searchsorted(at, chunk * width + cooldown, side="left")) + 1
             start = np.arange(min(n_starts, len(at)))
             current, alive = start.copy(), np.ones(len(start), dtype=bool)
@@ -371,17 +371,18 @@ def event_metrics(
             change[:-1] = (
                 (alerts[1:] != alerts[:-1]) | (hits[1:] != hits[:-1]) | (last[1:] != last[:-1])
             )
-            out = pd.DataFrame(
-                {"__chunk": chunk, "upto": at[start][change], "alerts": alerts[change],
-                 "hits": hits[change], "last": last[change]}
-            )
-            for name in reversed(names):
-                out.insert(0, name, pdf[name].iloc[0])
-            return out
+            return np.stack([at[start], alerts, hits, last], axis=1)[change]
 
-        tables = chunked.groupBy(*names, "__chunk").applyInPandas(
-            reduce_chunk, f"{prefix}__chunk bigint, upto bigint, alerts bigint, hits bigint, last bigint"
-        )
+        def reduce_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("__ts")
+            at, hit, chunk = (pdf[c].to_numpy(np.int64) for c in ("__ts", "__y", "__chunk"))
+            edges = np.flatnonzero(np.diff(chunk)) + 1
+            pieces = zip(np.split(at, edges), np.split(hit, edges), chunk[np.append(0, edges)], strict=True)
+            table = reduce(lambda a, b: compose_tables(a, b, cooldown), (reduce_chunk(t, y, int(c)) for t, y, c in pieces))
+            return _table(table, int(chunk[0]) // COMPOSED, pdf, names)
+
+        grouped = chunked.groupBy(*names, F.floor(F.col("__chunk") / F.lit(COMPOSED)).alias("__group"))
+        tables = grouped.applyInPandas(reduce_chunks, f"{prefix}__chunk bigint, upto bigint, alerts bigint, hits bigint, last bigint")
 
         alerts = _compose(tables, names, prefix, cooldown).select(
             *names, F.col("alerts"), F.col("hits").alias("true_positive_alerts")
