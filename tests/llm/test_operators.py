@@ -333,6 +333,32 @@ def test_jaccard_join_is_exact(spark, k, threshold):
     assert got == brute_links(data, k, float(threshold))
 
 
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 60, 400, 3000):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for out in (0, n // 12, n // 3):
+            b = np.concatenate([a[out:], rng.integers(0, 2**63, out // 2, dtype=np.uint64)])
+            x, y = ngram_join._sketch(a), ngram_join._sketch(b)
+            assert len(x) == len(ngram_join.BITS)
+            assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_jaccard_join_of_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(60)]
+    data = []
+    for i in range(300):
+        w = list(base)
+        for at in rng.choice(60, rng.integers(1, 4), replace=False):
+            w[at] = f"n{i}_{at}" if i % 2 else f"m{rng.integers(0, 3)}"
+        data.append((i, " ".join(w)))
+    data += [(i, data[i % 7][1]) for i in range(280, 310)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((str(a), b, str(c)) for a, b, c in rows(ngram_join.join(docs.repartition(3), k=4, threshold="0.85")))
+    assert got == brute_links(data, 4, 0.85)
+
+
 def test_jaccard_join_on_odd_input(spark, edge_docs, no_docs):
     got = rows(ngram_join.join(edge_docs))
     assert len(got) == edge_docs.count()

@@ -15,8 +15,8 @@ from tickloom.plans.lineage import stage, unstage
 SLICE_BYTES = 1 << 20
 
 
-#: Rows that pass between the JVM and Python at once: texts may be long, and both sides hold a batch.
-ARROW_ROWS = 1_000
+#: Rows and bytes that pass between the JVM and Python at once: texts may be long, and both sides hold a batch.
+ARROW_ROWS, ARROW_BYTES = 1_000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -24,6 +24,9 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
         spark.conf.set(name, str(ARROW_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,9 +8,14 @@ by bounded counting inside tasks: every task reports the shingles that repeat in
 most COMMON of them go to the tasks.
 
 Links are wanted only as far as they join components. Candidates are verified in rounds: first every group against one
-pivot of each prefix shingle, then against other pivots, then all pairs that still lie in different components. Two units that verified links already
-connect are not compared again, so a large group of near copies costs one comparison a member, not one a pair, and
-no link between components is lost.
+pivot of each prefix shingle, then against another pivot, then the pairs that still lie in different components. Two
+units that verified links already connect are not compared again, so a large group of near copies costs one comparison
+a member, not one a pair, and no link between components is lost.
+
+Every unit carries a parity sketch: SKETCH bits, each the parity of the number of its shingles that fall on it. Two sets
+that differ in d shingles differ in at most d bits, so more differing bits than the threshold leaves room for rule a
+pair out for certain. The last round tests this inside its join, so that pairs which cannot link are never rows, and
+the earlier ones before any text moves; what passes is still verified on whole texts.
 
 Defined cases: a text with fewer words than a shingle is one shingle of the whole sequence; null, empty or blank text has
 an empty set and links with nothing; repeated rows are one unit; a null id never is a component's name unless all of
@@ -37,12 +42,15 @@ COMMON = 1 << 19
 #: Reported occurrences from which a shingle counts as common.
 LEAST_COMMON = 4
 #: Shingles that a task counts at once.
-COUNTED = 1 << 21
+COUNTED = 1 << 20
 #: Rounds in which every prefix shingle has another pivot.
-ROUNDS = 3
+ROUNDS = 2
+#: Bits of a unit's parity sketch, and the columns that hold them.
+SKETCH = 256
+BITS = [f"s{i}" for i in range(SKETCH // 64)]
 
 UNITS = "kind string, doc_id long, n long, hi long, lo long"
-PREFIX = "hi long, lo long, n long, rare int, prefix array<long>"
+PREFIX = "hi long, lo long, n long, rare int, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS)
 
 
 def _signature(found: np.ndarray) -> tuple[int, int]:
@@ -52,6 +60,12 @@ def _signature(found: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def _sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of the set's values by place, as signed 64-bit words."""
+    place = (mix(found + np.uint64(0xD6E8FEB86659FD93)) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Rows `d` with size and signature of each document, rows `s` with shingles that repeat: doc_id holds the value, n the count."""
     held: list[np.ndarray] = []
@@ -103,12 +117,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, share: Fraction, common
                     order, rare = np.concatenate([found[~last], found[last]]), int(n - last.sum())
                 else:
                     order, rare = found, n
-                out.append((*_signature(found), n, min(rare, m), order[:m].view(np.int64)))
+                out.append((*_signature(found), n, min(rare, m), order[:m].view(np.int64), _sketch(found)))
             if out:
-                hi, lo, n, rare, prefix = zip(*out, strict=True)
+                hi, lo, n, rare, prefix, sketch = zip(*out, strict=True)
+                plain = [pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64()), pa.array(rare, pa.int32())]
+                words_of = np.stack(sketch).T
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64()), pa.array(rare, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["hi", "lo", "n", "rare", "prefix"],
+                    [*plain, pa.array(prefix, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(w)) for w in words_of)],
+                    names=["hi", "lo", "n", "rare", "prefix", *BITS],
                 )
 
 
@@ -135,22 +151,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
 
     # groups: one prefix and size; units: distinct sets
     prefixes = stage(kept.select("text").mapInArrow(partial(_prefixes, k=k, share=share, common=common), PREFIX).withColumn("head", F.xxhash64("prefix", "n")))
-    heads = prefixes.select("hi", "lo", "n", "head").distinct()
+    heads = prefixes.select("hi", "lo", "n", "head", *BITS).distinct()
     least = rows.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc_id"))
+    repeated = stage(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id", F.lit(True).alias("twice")))
     units = stage(least.join(heads, ["hi", "lo", "n"]).withColumn("unit", F.monotonically_increasing_id()))
-    named = units.groupBy("head", "n").agg(F.min("unit").alias("grp"), F.count(F.lit(1)).alias("g"))
+    named = stage(units.groupBy("head", "n").agg(F.min("unit").alias("grp"), F.count(F.lit(1)).alias("g")))
     groups = prefixes.groupBy("head", "n").agg(F.first("prefix").alias("prefix"), F.first("rare").alias("rare")).join(named, ["head", "n"])
-    places = groups.select("grp", "n", "g", "rare", F.posexplode("prefix").alias("at", "shingle"))
+    # what moves for every prefix shingle is three numbers; sizes are looked up for those that meet another
+    held = F.posexplode("prefix").alias("at", "shingle")
+    places = groups.select("grp", (F.col("g") > 1).alias("many"), "rare", held)
     # a rare shingle's few rows meet in one sort; a common one's are counted first, and its join can be split
-    lead = F.struct("n", "grp")
     w = Window.partitionBy("shingle")
+    meets = (F.col("c") > 1) | F.col("many")
     one = places.where("at < rare").select(
-        "shingle", "grp", "n", "at", F.sum("g").over(w).alias("c"), F.min(lead).over(w)["grp"].alias("pivot")
+        "shingle", "grp", "at", "many", F.count(F.lit(1)).over(w).alias("c"), F.min("grp").over(w).alias("pivot")
     )
     often = places.where("at >= rare")
-    counts = often.groupBy("shingle").agg(F.sum("g").alias("c"), F.min(lead)["grp"].alias("pivot"))
-    often = often.select("shingle", "grp", "n", "at").join(counts, "shingle")
-    postings = stage(one.where("c > 1").unionByName(often.where("c > 1")).drop("c"))
+    counts = often.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("grp").alias("pivot"))
+    often = often.select("shingle", "grp", "at", "many").join(counts, "shingle")
+    sizes = named.select("grp", "n")
+    postings = stage(one.where(meets).unionByName(often.where(meets)).drop("c", "many").join(sizes, "grp"))
     belongs = stage(units.select("unit", "head", "n").join(named, ["head", "n"]).where("g > 1").select("unit", "grp"))
     unstage(prefixes)
 
@@ -161,19 +181,35 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
         (F.lit(1) + F.least(F.col(f"{a}.n") - F.col(f"{a}.at") - 1, F.col(f"{b}.n") - F.col(f"{b}.at") - 1)) * (num + den)
         >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * num
     )
+    differ = lambda a, b: sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITS), F.lit(0))
+    # sets of n1 and n2 values with overlap o differ in n1 + n2 - 2 o; o (num + den) >= num (n1 + n2)
+    close = lambda a, b: (
+        (F.col(f"{a}.n") + F.col(f"{b}.n") - differ(a, b)) * (num + den) >= 2 * num * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    )
+    shape = F.struct("n", *BITS)
+
+    def sieved(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of units that sizes and sketches do not rule out."""
+        at_a = units.select(F.col("unit").alias("a"), shape.alias("x"))
+        at_b = units.select(F.col("unit").alias("b"), shape.alias("y"))
+        return pairs.join(at_a, "a").join(at_b, "b").where(able("x", "y") & close("x", "y")).select("a", "b")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of units that link, checked on whole texts."""
         used = pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct()
-        reps = stage(units.join(used, "unit").select("unit", "doc_id", "hi", "lo", "n"))
+        reps = units.join(used, "unit").join(repeated, "doc_id", "left")
+        reps = stage(reps.select("unit", "doc_id", "hi", "lo", "n", F.coalesce("twice", F.col("doc_id").isNull()).alias("twice")))
         # the least id of a unit leads to one of its texts; the signature tells it from other rows with the same id
         near = kept.where(may_hold(kept, "doc_id", reps.select("doc_id")))
-        found = near.join(reps, near.doc_id.eqNullSafe(reps.doc_id)).select("unit", "hi", "lo", "n", "text")
-        checked = stage(found.mapInArrow(partial(_same_set, k=k), "unit long, text string").dropDuplicates(["unit"]))
+        found = near.join(reps, near.doc_id.eqNullSafe(reps.doc_id)).select("unit", "hi", "lo", "n", "text", "twice")
+        same = stage(found.mapInArrow(partial(_same_set, k=k), "unit long, text string, twice boolean"))
+        # only a unit whose id is not unique can be found more than once
+        checked = same.where("NOT twice").unionByName(same.where("twice").dropDuplicates(["unit"]))
         both = pairs.join(checked.select(F.col("unit").alias("a"), F.col("text").alias("left_text")), "a").join(
             checked.select(F.col("unit").alias("b"), F.col("text").alias("right_text")), "b"
         ).select("a", "b", "left_text", "right_text")
         out = stage(both.mapInArrow(partial(_linked, k=k, share=share), "a long, b long"))
-        unstage(reps, checked)
+        unstage(reps, same)
         return out
 
     # members of one group against the group's first unit, groups against the pivot of each of their shingles
@@ -181,7 +217,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
     pivots = postings.where("grp = pivot").select("shingle", F.struct("n", "at").alias("x"))
     near = postings.where("grp <> pivot").select("shingle", "grp", "pivot", F.struct("n", "at").alias("y")).join(pivots, "shingle")
     first = near.where(able("x", "y") & room("x", "y")).select(F.col("pivot").alias("a"), F.col("grp").alias("b"))
-    tried = stage(_ordered(first.unionByName(inside)).distinct())
+    tried = stage(sieved(_ordered(first.unionByName(inside)).distinct()))
     links = verified(tried)
     labels = stage(components(links)).withColumnRenamed("node", "unit")
 
@@ -206,7 +242,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
         met = left.select("shingle", F.struct("unit", "comp", "n", "at").alias("y")).join(pivots, "shingle")
         met = met.where((F.col("x.comp") != F.col("y.comp")) & able("x", "y") & room("x", "y"))
         pairs = _ordered(met.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b"))).distinct()
-        pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = stage(sieved(pairs.join(tried, ["a", "b"], "left_anti")))
         unstage(left)
         found = verified(pairs)
         tried, links, old = stage(tried.unionByName(pairs)), stage(links.unionByName(found)), (tried, links, labels, pairs, found)
@@ -214,14 +250,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
         unstage(*old)
 
     # what is left: unit pairs of a shared shingle that lie in different components and have not been compared
-    left = still_open()
+    last = still_open()
+    left = last.join(units.select("unit", *BITS), "unit")
     rest = left.alias("x").join(left.alias("y"), "shingle").where(
-        (F.col("x.unit") < F.col("y.unit")) & (F.col("x.comp") != F.col("y.comp")) & able("x", "y") & room("x", "y")
+        (F.col("x.unit") < F.col("y.unit")) & (F.col("x.comp") != F.col("y.comp")) & able("x", "y") & room("x", "y") & close("x", "y")
     )
     rest = rest.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b")).distinct()
     more = verified(stage(rest.join(tried, ["a", "b"], "left_anti")))
     labels = stage(components(links.unionByName(more))).withColumnRenamed("node", "unit")
-    unstage(postings, left, many, tried, belongs)
+    unstage(postings, last, many, tried, belongs, repeated)
 
     named = units.join(labels, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -243,7 +280,7 @@ def _same_set(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 (hi.as_py(), lo.as_py(), n.as_py()) == (*_signature(s), len(s))
                 for s, hi, lo, n in zip(sets, part.column(1), part.column(2), part.column(3), strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(4)], names=["unit", "text"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), part.column(5)], names=["unit", "text", "twice"]).filter(pa.array(good, pa.bool_()))
 
 
 def _common(signed: DataFrame) -> np.ndarray:
