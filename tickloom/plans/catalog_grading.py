@@ -405,6 +405,56 @@ def point_flags(spark, sf):
     )
 
 
+#: Range of the assembled timelines; it holds every event, and 31 days make buckets of 3600 seconds.
+MONTH = ("2024-01-01", "2024-02-01")
+MONTH_BUCKET = 3600
+
+IN_MONTH = f"""{CLASSED},
+r AS (SELECT * FROM c WHERE feature_ts >= TIMESTAMP '{MONTH[0]}' AND feature_ts < TIMESTAMP '{MONTH[1]}')"""
+
+
+def month_timeline(spark, sf, resolution):
+    start, end = (F.lit(day).cast("timestamp") for day in MONTH)
+    anchor = predictions(spark, sf).agg(F.max(event_time("feature_ts"))).scalar()
+    points, bucketed, used = tl.timeline(
+        joined(spark, sf), start, end, anchor, 31 * 86_400, resolution, horizon_seconds=3 * 86_400
+    )
+    return tl.point_flags(points).withColumn("bucketed", F.lit(bucketed)).withColumn("used", F.lit(used).cast("long"))
+
+
+@query(
+    "timeline_raw",
+    f"""WITH {IN_MONTH} SELECT epoch_us(feature_ts) AS feature_us, feature_id, market_price, score, tau, class,
+        class IN ('correct_call', 'false_alarm') AS predicted, class IN ('correct_call', 'missed_spike') AS confirmed_spike,
+        class = 'false_alarm' AS is_false_alarm, class = 'missed_spike' AS is_missed_spike, class = 'pending' AS is_pending,
+        class = 'unavailable' AS is_unavailable, false AS bucketed, NULL::BIGINT AS used FROM r""",
+)
+def timeline_raw(spark, sf):
+    out = month_timeline(spark, sf, None)
+    return out.withColumn("feature_us", F.unix_micros(event_time("feature_ts"))).drop("feature_ts", "api_ts")
+
+
+@query(
+    "timeline_auto",
+    f"""WITH {IN_MONTH},
+b AS (SELECT *, CAST(floor((epoch_us(feature_ts) - epoch_us(TIMESTAMP '{MONTH[0]}')) / {MONTH_BUCKET * 1_000_000}) AS BIGINT) AS bucket FROM r),
+n AS (SELECT bucket, arg_max(market_price, feature_ts) AS market_price, max(score) AS score,
+       max(CASE WHEN score = ms AND feature_ts = mt THEN tau END) AS tau,
+       count(*) FILTER (WHERE class = 'correct_call') AS correct_call, count(*) FILTER (WHERE class = 'false_alarm') AS false_alarm,
+       count(*) FILTER (WHERE class = 'missed_spike') AS missed_spike, count(*) FILTER (WHERE class = 'correct_quiet') AS correct_quiet,
+       count(*) FILTER (WHERE class = 'pending') AS pending, count(*) FILTER (WHERE class = 'unavailable') AS unavailable
+  FROM (SELECT *, min(CASE WHEN score = ms THEN feature_ts END) OVER (PARTITION BY bucket) AS mt
+        FROM (SELECT *, max(score) OVER (PARTITION BY bucket) AS ms FROM b)) GROUP BY bucket)
+SELECT epoch_us(TIMESTAMP '{MONTH[0]}') + bucket * {MONTH_BUCKET * 1_000_000} AS feature_us, *,
+       correct_call + false_alarm > 0 AS predicted, correct_call + missed_spike > 0 AS confirmed_spike, false_alarm > 0 AS is_false_alarm,
+       missed_spike > 0 AS is_missed_spike, pending > 0 AS is_pending, unavailable > 0 AS is_unavailable,
+       true AS bucketed, {MONTH_BUCKET}::BIGINT AS used FROM n""",
+)
+def timeline_auto(spark, sf):
+    out = month_timeline(spark, sf, "auto")
+    return out.withColumn("feature_us", F.unix_micros("feature_ts")).drop("feature_ts")
+
+
 # -- metrics ------------------------------------------------------------------
 
 EPS = 2.220446049250313e-16
