@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tickloom.operators import profile
 
@@ -30,3 +31,22 @@ def test_nothing_and_nulls(spark):
     assert profile.correlations(df, ["a", "b"]).collect() == []
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
     assert [r["r"] for r in profile.correlations(df, ["a", "b"]).collect()] == [None]
+
+
+def test_rollup_latencies_are_exact_in_large_windows(spark):
+    n, minute = 40_000, 60_000_000
+    latency = F.pmod(F.col("id") * 7_919, F.lit(n)) + 0.25  # every rank once
+    log = spark.range(n).select(
+        F.when(F.col("id") % 4 == 0, None).otherwise(F.lit("a")).alias("variant"), F.timestamp_micros(F.col("id") % minute).alias("ts"),
+        F.when(F.col("id") % 8 != 1, latency).alias("latency_ms"), F.lit(True).alias("ok"), F.lit(0).alias("lag"), F.lit(-1.0).alias("zscore"),
+    )
+    log = log.unionByName(log.limit(1).select(F.lit("none").alias("variant"), "ts", F.lit(None).cast("double").alias("latency_ms"), "ok", "lag", "zscore"))
+    out = profile.service_rollup(log, window="2 minutes", slide="1 minute").collect()
+    assert len(out) == 6
+    for key, held in (("a", [i for i in range(n) if i % 4 and i % 8 != 1]), (None, range(0, n, 4))):
+        values = sorted(i * 7_919 % n + 0.25 for i in held)
+        for row in (r for r in out if r["variant"] == key):
+            for name, share in (("latency_p50_ms", 0.5), ("latency_p95_ms", 0.95)):
+                assert row[name] == values[-(-int(share * 100) * len(values) // 100) - 1]
+            assert row["request_rate"] * 300 == sum(1 for i in range(n) if (i % 4 > 0) == (key == "a"))
+    assert [(r["latency_p50_ms"], r["latency_p95_ms"], r["mean_abs_zscore"]) for r in out if r["variant"] == "none"] == [(None, None, 1.0)] * 2

@@ -253,19 +253,30 @@ def service_rollup(
 ) -> DataFrame:
     """Request rate, error ratio, latency and lag of a request log over sliding windows.
 
-    `log` has `latency_ms`, `ok` (boolean), `lag` and `zscore` columns.
+    `log` has `latency_ms`, `ok` (boolean), `lag` and `zscore` columns. Latencies are the ceil(p * n)-th values: exact
+    ones, from the distributed ladder of each window. A stream cannot be sorted, so there they come from a sketch of
+    bounded size (exact up to 10 000 requests a window).
     """
-    return log.groupBy(F.window(ts, window, slide).alias("w"), *keys).agg(
+    shares = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95}
+    names = ["window_start", *keys, "request_rate", "error_ratio", *shares, "max_lag", "mean_abs_zscore"]
+    plain = [
         (F.count(F.lit(1)) / F.lit(window_seconds)).alias("request_rate"),
         (
             F.count_if(~F.col("ok")) / F.greatest(F.count(F.lit(1)).cast("double"), F.lit(0.001))
         ).alias("error_ratio"),
-        F.percentile_approx("latency_ms", 0.5).alias("latency_p50_ms"),
-        F.percentile_approx("latency_ms", 0.95).alias("latency_p95_ms"),
         F.max("lag").alias("max_lag"),
         F.avg(F.abs("zscore")).alias("mean_abs_zscore"),
-    ).select(F.col("w.start").alias("window_start"), *keys, "request_rate", "error_ratio", "latency_p50_ms",
-             "latency_p95_ms", "max_lag", "mean_abs_zscore")
+    ]
+    if log.isStreaming:
+        sketches = [F.percentile_approx("latency_ms", share).alias(name) for name, share in shares.items()]
+        out = log.groupBy(F.window(ts, window, slide).alias("w"), *keys).agg(*plain, *sketches)
+        return out.withColumn("window_start", F.col("w.start")).select(*names)
+    placed = log.withColumn("window_start", F.window(ts, window, slide)["start"])
+    unit = ["window_start", *keys]
+    exact = scan.exact_quantiles(placed.select(*unit, "latency_ms"), "latency_ms", shares, unit, nearest_rank=True)
+    # exact_quantiles works on doubles
+    exact = exact.withColumns({name: F.col(name).cast(log.schema["latency_ms"].dataType) for name in shares})
+    return scan.join_null_safe(placed.groupBy(*unit).agg(*plain), exact, unit).select(*names)
 
 
 def slo_status(
