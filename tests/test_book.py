@@ -161,3 +161,32 @@ def test_rows_for_a_day(spark):
     assert sorted(r["source_sequence_num"] for r in kept.collect()) == [3, 11, 12]
     assert [r["source_sequence_num_start"] for r in day_deltas.collect()] == [10]
     assert covered.count() == 1
+
+
+def test_a_dense_run_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(book, "LEAST_ROWS", 100, raising=False)
+    monkeypatch.setattr(book, "PIECE", 5, raising=False)
+    rng = random.Random(3)
+    bids, asks = {D("90"): D("1")}, {D("110"): D("1")}
+    deltas, want, second = [], {}, 1
+    for seq in range(101, 1301):
+        second += rng.choice((0, 0, 1, 2))
+        side, held, price = rng.choice((("bid", bids, D(90 - rng.randrange(9))), ("offer", asks, D(110 + rng.randrange(9)))))
+        quantity = D(0) if rng.random() < 0.4 and (set(held) - {price}) else D(rng.randrange(1, 9))
+        held.pop(price, None)
+        if quantity:
+            held[price] = quantity
+        deltas.append(delta(second, seq, [(side, price, quantity)], (max(bids), min(asks))))
+        want[second] = (max(bids), bids[max(bids)], min(asks), asks[min(asks)])
+    days = spark.createDataFrame(
+        [("P", "2026-04-24", at(0), at(second))], "product_id string, source_date string, day_start timestamp, day_end timestamp"
+    )
+    start = anchor(0, 100, {D("90"): D("1")}, {D("110"): D("1")})
+    out = book.replay_events(
+        unit(spark, [start], schemas.ANCHOR), unit(spark, deltas, schemas.DELTA), unit(spark, [], schemas.REPLAY_METADATA), days
+    ).withColumn("task", F.spark_partition_id()).collect()
+    base = int(DAY.timestamp())
+    got = {r["at_us"] // 1_000_000 - base: (r["best_bid"], r["bid_size"], r["best_ask"], r["ask_size"]) for r in out}
+    assert got.pop(0) == (D("90"), D("1"), D("110"), D("1"))
+    assert got == want and {r["incident"] for r in out} == {None}
+    assert len({r["task"] for r in out}) > 1  # one run, yet not one task

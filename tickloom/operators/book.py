@@ -2,11 +2,13 @@
 
 An anchor replaces the whole book, so everything between two anchors is an
 independent run. Best prices under deletions come from the lifetimes of levels
-(`_fold`), not from a walk over the changes. Placing events in runs, cutting at
-gaps, numbering continuity segments and filling the seconds are windows too.
+(`_fold`), not from a walk over the changes. Runs, gaps and continuity segments
+follow from the anchors and gaps alone; changes look them up.
 
-A *unit* is one product and UTC day; units do not influence each other, and a
-product that dominates the data is simply more units.
+A *unit* is one product and UTC day; units do not influence each other. Neither
+a unit nor a run is ever held by one task: changes are dealt by time slices,
+levels by their pieces and events by short blocks, so that a task's rows are
+bounded however dense a day is.
 """
 
 from __future__ import annotations
@@ -23,6 +25,12 @@ from tickloom.plans.lineage import stage
 
 UNIT = ("product_id", "source_date")
 CHUNK_US = 3_600 * MICROS
+#: Changes are numbered in slices of this length.
+SLICE_US = 300 * MICROS
+#: Rows dealt to one task, at most and (where that leaves fewer tasks than the session shuffles into) at least.
+TASK_ROWS, LEAST_ROWS = 100_000, 5_000
+#: A level's changes are scanned in pieces of 2**PIECE events, books are looked up in blocks of 2**BLOCK events.
+PIECE, BLOCK = 12, 3
 
 # fixed values: what marks a metadata window as unusable
 GAP_STATUSES = ("gap", "excluded", "incomplete", "missing", "error")
@@ -120,11 +128,17 @@ def _whole_seconds(at: Column) -> Column:
 _ANCHOR, _DELTA, _GAP = 0, 1, -1
 
 
+def _dealt(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """Deal by `columns` to as many tasks as `rows` need; sizes in bytes would not tell, as rows multiply after it."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(max(min(usual, -(-rows // LEAST_ROWS)), -(-rows // TASK_ROWS), 1), *columns)
+
+
 def _timeline(anchors: DataFrame, deltas: DataFrame, metadata: DataFrame, days: DataFrame) -> DataFrame:
     """All events of each unit on one timeline, placed in runs and segments.
 
-    One shuffle on the unit, which is at most one product-day; every column below
-    is a running aggregate over the same sort.
+    Anchors and gaps are placed by running aggregates over a unit's marks. What a change takes from them never falls
+    in time, so it is the greatest value of the marks up to it: those of its time slice and of the slices before.
     """
     unit = list(UNIT)
     entries = lambda book, side: F.transform(
@@ -163,10 +177,10 @@ def _timeline(anchors: DataFrame, deltas: DataFrame, metadata: DataFrame, days:
         *unit, F.col("start_us").alias("at_us"), F.lit(_GAP).alias("kind"), nothing.alias("sequence_start"),
         nothing.alias("sequence_end"), *no_book, nothing.alias("until_us"),
     )
-    rows = anchor_rows.unionByName(delta_rows).unionByName(gap_rows).unionByName(bounds).join(span, unit)
+    rows = anchor_rows.unionByName(gap_rows).unionByName(bounds).join(span, unit)
 
     whole = Window.partitionBy(*unit)
-    is_anchor, is_delta, is_gap = (F.col("kind") == k for k in (_ANCHOR, _DELTA, _GAP))
+    is_anchor, is_gap = (F.col("kind") == k for k in (_ANCHOR, _GAP))
     rows = rows.withColumns(
         {
             "open_us": F.max(F.when(is_anchor & (F.col("at_us") <= F.col("start_us")), F.col("at_us"))).over(whole),
@@ -193,7 +207,6 @@ def _timeline(anchors: DataFrame, deltas: DataFrame, metadata: DataFrame, days:
     )
     useful = F.col("incident").isNotNull() | (
         (is_anchor & (F.col("at_us") >= open_us) & (F.col("at_us") <= final_us))
-        | (is_delta & (F.col("at_us") > open_us) & (F.col("at_us") <= final_us))
         | (is_gap & (F.col("until_us") > F.col("at_us")))
     )
     rows = rows.where(F.coalesce(useful, F.lit(False)))
@@ -221,77 +234,138 @@ def _timeline(anchors: DataFrame, deltas: DataFrame, metadata: DataFrame, days:
         F.col("previous_run_us").isNull() | (F.col("gap_us") > F.col("previous_run_us"))
     )
     rows = rows.withColumn("segment_id", F.sum(F.when(opens, 1).otherwise(0)).over(so_far).cast("bigint"))
-    applies = is_delta & outside & F.col("run_us").isNotNull() & (
-        F.col("gap_us").isNull() | (F.col("gap_us") < F.col("run_us"))
-    )
-    return rows.where(F.col("placed") | applies | is_gap).select(
+    fields = [
         *unit, "at_us", "kind", "sequence_start", "sequence_end", "best_bid", "best_ask", "levels", "run_us",
         "segment_id", "incident", "start_us", "final_us",
-    )
+    ]
+    marks = stage(rows)
+    placed = marks.where(F.col("placed") | is_gap).select(*fields)
+
+    state = ["open_us", "gap_us", "covered_us", "run_us", "segment_id", "start_us", "final_us"]
+    seen = marks.select(*unit, "at_us", F.lit(_GAP).alias("kind"), *state)
+    timed = delta_rows.drop("until_us").unionByName(seen, allowMissingColumns=True).withColumn(
+        "slice", F.floor(F.col("at_us") / F.lit(SLICE_US))
+    )
+    slices = timed.groupBy(*unit, "slice").agg(F.count(F.lit(1)).alias("n"), *[F.max(name).alias(name) for name in state])
+    slices = stage(slices)
+    total = slices.agg(F.sum("n")).first()[0] or 0
+    before = Window.partitionBy(*unit).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    # written, as the window's partitions by unit would draw the rows of the join to them
+    carried = stage(slices.select(*unit, "slice", *[F.max(name).over(before).alias(f"__{name}") for name in state]))
+    up_to = (
+        Window.partitionBy(*unit, "slice").orderBy("at_us", "kind")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    timed = _dealt(timed, total, *unit, "slice").join(carried, [*unit, "slice"])
+    timed = timed.withColumns({name: F.greatest(F.max(name).over(up_to), F.col(f"__{name}")) for name in state})
+    applies = (
+        (F.col("kind") == _DELTA) & (F.col("at_us") > open_us) & (F.col("at_us") <= final_us) & outside
+        & F.col("run_us").isNotNull() & (F.col("gap_us").isNull() | (F.col("gap_us") < F.col("run_us")))
+    )
+    applied = timed.where(applies).withColumn("incident", F.lit(None).cast("string"))
+    return placed.unionByName(applied.select(*fields))
 
 
 def _fold(timeline: DataFrame) -> DataFrame:
     """States after every second that changed a book; incidents carry a code and no book.
 
-    No row is folded after another. A level's lifetime runs from one change of its price to the next; it is cut into
-    blocks of 2**k events, at most two of each size, and a block keeps the best level that lives throughout it. The best
-    level after an event is the best over the one block of each size that the event lies in. All steps are aggregates or
-    windows within a run, so one shuffle on the run serves them all.
+    No row is folded after another. Events are numbered within their run. A level's lifetime runs from one change of its
+    price to the next; its ends lie in one or two blocks of 2**BLOCK events and tell every event there, and the whole
+    blocks between them are cut into spans of 2**k blocks, at most two of each size. A block asks the one span of each
+    size that it lies in. The best level after an event is the best of both.
     """
     run = ["run_us", *UNIT]  # the number first: sorts compare it before the texts
     fields = ["at_us", "kind", "sequence_start", "sequence_end", "best_bid", "best_ask", "segment_id", "start_us", "final_us"]
-    in_run = Window.partitionBy(*run)
-    in_order = in_run.orderBy("at_us", "kind", "sequence_start", "sequence_end")
+    order = ["at_us", "kind", "sequence_start", "sequence_end"]
     lowest = F.when(F.col("kind") == _DELTA, F.lit(0)).otherwise(F.lit("1e-8").cast("decimal(18,8)"))  # an anchor lists existing levels only
     sound = lambda level: F.coalesce(
         level["side"].isin("bid", "offer") & (level["price"] > 0) & (level["quantity"] >= lowest), F.lit(False)
     )
     events = timeline.where(F.col("kind") != _GAP).drop("incident").withColumns(
+        {"slice": F.floor(F.col("at_us") / F.lit(SLICE_US)), "levels": F.coalesce("levels", F.array().cast(LEVELS))}
+    )
+    total = timeline.count()
+    place = [*run, "slice"]
+    parts = _dealt(events.select(*place, *order), total, *place).groupBy(*place).agg(
+        F.count(F.lit(1)).alias("c"), F.max_by("sequence_end", F.struct(*order)).alias("tail")
+    )
+    in_run = Window.partitionBy(*run)
+    by_slice = in_run.orderBy("slice")
+    carried = stage(
+        parts.select(
+            *place, F.coalesce(F.sum("c").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
+            F.lag("tail").over(by_slice).alias("carry"), F.sum("c").over(in_run).alias("n"),
+        )
+    )
+    within = Window.partitionBy(*place).orderBy(*order)
+    events = _dealt(events, total, *place).join(carried, place).withColumn("at", F.row_number().over(within).cast("bigint") - 1)
+    events = events.withColumns(
         {
-            "idx": F.row_number().over(in_order).cast("bigint") - 1,
-            "before": F.lag("sequence_end").over(in_order),
-            "n": F.count(F.lit(1)).over(in_run),
-            "levels": F.coalesce("levels", F.array().cast(LEVELS)),
+            "idx": F.col("offset") + F.col("at"),
+            "before": F.when(F.col("at") == 0, F.col("carry")).otherwise(F.lag("sequence_end").over(within)),
         }
     )
     regressed = (F.col("kind") == _DELTA) & (
         (F.col("sequence_start") > F.col("sequence_end")) | (F.col("sequence_start") <= F.col("before"))
     )
-    event = F.struct(
-        *fields, F.coalesce(regressed, F.lit(False)).alias("regressed"), (~F.forall("levels", sound)).alias("invalid")
-    )
-    level = lambda pos, side, price, quantity, ev: F.struct(
-        pos.alias("pos"), side.alias("side"), price.alias("price"), quantity.alias("quantity"), ev.alias("ev")
-    )
-    no_price, kind = F.lit(None).cast("decimal(18,8)"), "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in events.select(event.alias("e")).schema["e"].dataType) + ">"
-    changes = F.transform(F.filter("levels", sound), lambda x, i: level(i, x["side"], x["price"], x["quantity"], F.lit(None).cast(kind)))
-    itself = F.array(level(F.lit(-1), F.lit(None).cast("string"), no_price, no_price, event))
-    rows = events.select(*run, "idx", "n", F.explode(F.concat(changes, itself)).alias("c")).select(*run, "idx", "n", "c.*")
-    of_level = Window.partitionBy("price", "side", *run).orderBy("idx", "pos")
-    rows = rows.withColumn("until", F.coalesce(F.lead("idx").over(of_level), F.col("n")))
-
-    # a level asks for the odd block at either end of its lifetime in every size; an event for the block it lies in
-    is_event, bits = F.col("pos") < 0, F.ceil(F.log2(F.col("n").cast("double"))).cast("int")
-    step = F.explode(F.sequence(F.lit(0), F.when(is_event, bits).otherwise(2 * bits + 1)))
-    rows = rows.where(is_event | ((F.col("quantity") > 0) & (F.col("idx") < F.col("until")))).withColumn("step", step)
-    k = F.when(is_event, F.col("step")).otherwise(F.floor(F.col("step") / 2)).cast("int")
-    rows = rows.withColumn("k", k)
-    width = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("k"))
-    first = F.call_function("shiftright", F.col("idx") + width - 1, F.col("k"))
-    last = F.call_function("shiftright", F.col("until"), F.col("k"))
-    left = (F.col("step") % 2 == 0) & (first % 2 == 1)
-    right = (F.col("step") % 2 == 1) & (last % 2 == 1)
-    mine = F.call_function("shiftright", F.col("idx"), F.col("k"))
-    rows = rows.where(is_event | ((first < last) & (left | right)))
+    events = stage(
+        events.select(
+            *run, "idx", "n", *fields, F.coalesce(regressed, F.lit(False)).alias("regressed"),
+            (~F.forall("levels", sound)).alias("invalid"), F.filter("levels", sound).alias("levels"),
+        )
+    )
+
+    # lifetimes of levels, each level scanned in pieces
+    shift = lambda value, bits: F.call_function("shiftright", value, bits if isinstance(bits, Column) else F.lit(bits))
+    up = lambda value, bits: F.call_function("shiftleft", value, bits if isinstance(bits, Column) else F.lit(bits))
+    changed = events.agg(F.sum(F.size("levels"))).first()[0] or 0
+    changes = events.select(*run, "idx", "n", F.posexplode("levels").alias("pos", "x")).select(*run, "idx", "n", "pos", "x.*")
+    piece = ["price", "side", *run, "piece"]
+    changes = changes.withColumn("piece", shift(F.col("idx"), PIECE))
+    heads = changes.groupBy(*piece).agg(F.min("idx").alias("head"))
+    of_level = Window.partitionBy("price", "side", *run).orderBy("piece")
+    heads = stage(heads.select(*piece, F.lead("head").over(of_level).alias("following")))
+    changes = _dealt(changes, changed, *piece).join(heads, piece)
+    after = F.lead("idx").over(Window.partitionBy(*piece).orderBy("idx", "pos"))
     own = lambda sign: F.struct((sign * F.col("price")).cast("decimal(18,8)").alias("price"), "quantity")
-    rows = rows.select(
-        *run, "idx", "k", F.when(is_event, mine).when(left, first).otherwise(last - 1).alias("j"), is_event.alias("asks"),
-        F.when(F.col("side") == "bid", own(F.lit(1))).alias("bid"), F.when(F.col("side") == "offer", own(F.lit(-1))).alias("ask"),
-        F.when(F.col("k") == 0, F.col("ev")).alias("ev"),
-    )
-    same_block = Window.partitionBy("j", "k", *run)
-    rows = rows.withColumns({"bid": F.max("bid").over(same_block), "ask": F.max("ask").over(same_block)}).where("asks")
-    states = rows.groupBy(*run, "idx").agg(F.max("bid").alias("bid"), F.max("ask").alias("ask"), F.max("ev").alias("ev"))
+    lives = changes.withColumn("until", F.coalesce(after, F.col("following"), F.col("n")))
+    lives = stage(
+        lives.where((F.col("quantity") > 0) & (F.col("idx") < F.col("until"))).select(
+            *run, "n", "idx", "until", F.when(F.col("side") == "bid", own(F.lit(1))).alias("bid"),
+            F.when(F.col("side") == "offer", own(F.lit(-1))).alias("ask"),
+        )
+    )
+    head, tail = shift(F.col("idx"), BLOCK), shift(F.col("until"), BLOCK)
+    part = lambda block, low, high: F.struct(block.alias("block"), low.alias("low"), high.alias("high"))
+    ends = F.when(head == tail, F.array(part(head, F.col("idx"), F.col("until")))).otherwise(
+        F.array(part(head, F.col("idx"), up(head + 1, BLOCK)), part(tail, up(tail, BLOCK), F.col("until")))
+    )
+    short = lives.select(*run, F.explode(ends).alias("p"), "bid", "ask").select(*run, "p.*", "bid", "ask").where("low < high")
+
+    # whole blocks of a lifetime: the odd span at either end in every size; a block asks for the span it lies in
+    bits = F.ceil(F.log2((shift(F.col("n"), BLOCK) + 1).cast("double"))).cast("int")
+    wide = lives.select(*run, "n", (head + 1).alias("low"), tail.alias("high"), "bid", "ask").where("low < high")
+    wide = wide.withColumn("step", F.explode(F.sequence(F.lit(0), 2 * bits + 1))).withColumn("k", F.floor(F.col("step") / 2).cast("int"))
+    k = F.col("k")
+    first, last = shift(F.col("low") + up(F.lit(1).cast("bigint"), k) - 1, k), shift(F.col("high"), k)
+    left, right = (F.col("step") % 2 == 0) & (first % 2 == 1), (F.col("step") % 2 == 1) & (last % 2 == 1)
+    wide = wide.where((first < last) & (left | right)).withColumn("j", F.when(left, first).otherwise(last - 1))
+    wide = wide.groupBy(*run, "k", "j").agg(F.max("bid").alias("bid"), F.max("ask").alias("ask"))
+    blocks = events.where(F.col("idx") % (1 << BLOCK) == 0).select(*run, shift(F.col("idx"), BLOCK).alias("block"), bits.alias("bits"))
+    asked = blocks.select(*run, "block", F.explode(F.sequence(F.lit(0), F.col("bits"))).alias("k")).withColumn("j", shift(F.col("block"), F.col("k")))
+    through = _dealt(asked, 2 * total, *run, "k", "j").join(wide, [*run, "k", "j"])
+    through = through.select(
+        *run, "block", up(F.col("block"), BLOCK).alias("low"), up(F.col("block") + 1, BLOCK).alias("high"), "bid", "ask"
+    )
+
+    event = F.struct(*fields, "regressed", "invalid")
+    itself = events.select(
+        *run, shift(F.col("idx"), BLOCK).alias("block"), F.col("idx").alias("low"), (F.col("idx") + 1).alias("high"), event.alias("ev")
+    )
+    rows = _dealt(short.unionByName(through).unionByName(itself, allowMissingColumns=True), 2 * (total + changed), *run, "block")
+    rows = rows.withColumn("idx", F.explode(F.sequence(F.col("low"), F.col("high") - 1)))
+    states = rows.groupBy(*run, "block", "idx").agg(F.max("bid").alias("bid"), F.max("ask").alias("ask"), F.max("ev").alias("ev"))
+    states = states.where(F.col("ev").isNotNull())
     states = states.select(
         *run, "idx", *[F.col(f"ev.{name}") for name in fields], "ev.regressed", "ev.invalid", F.col("bid.price").alias("bid"),
         F.col("bid.quantity").alias("bid_size"), (-F.col("ask.price")).alias("ask"), F.col("ask.quantity").alias("ask_size"),
@@ -304,14 +378,15 @@ def _fold(timeline: DataFrame) -> DataFrame:
         .when(~stated, "bbo_mismatch"),
     )
     # the first incident ends its run; of the events of a second the last one counts
-    failed = F.min(F.when(F.col("incident").isNotNull(), F.col("idx"))).over(in_run)
-    states = states.withColumn("failed", failed).where(F.col("failed").isNull() | (F.col("idx") <= F.col("failed")))
+    states = stage(states)
+    failed = states.where(F.col("incident").isNotNull()).groupBy(*run).agg(F.min("idx").alias("failed"))
+    states = states.join(failed, run, "left").where(F.col("failed").isNull() | (F.col("idx") <= F.col("failed")))
     sound_book = lambda name, value: F.when(F.col("incident").isNull(), F.col(value)).cast("decimal(18,8)").alias(name)
     last = F.struct(
         "idx", "sequence_start", "sequence_end", sound_book("best_bid", "bid"), sound_book("bid_size", "bid_size"),
         sound_book("best_ask", "ask"), sound_book("ask_size", "ask_size"), "segment_id", "start_us", "final_us", "incident",
     )
-    folded = states.groupBy(*run, "at_us").agg(F.max_by(last, "idx").alias("s")).select(*run, "at_us", "s.*").drop("idx")
+    folded = _dealt(states, total, *run, "at_us").groupBy(*run, "at_us").agg(F.max_by(last, "idx").alias("s")).select(*run, "at_us", "s.*").drop("idx")
     early = timeline.where(F.col("incident").isNotNull()).select(
         *UNIT, "at_us", "incident", "start_us", "final_us", F.lit(0).cast("bigint").alias("segment_id")
     )
