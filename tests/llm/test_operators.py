@@ -359,6 +359,32 @@ def test_jaccard_join_of_a_large_group_of_near_copies(spark):
     assert got == brute_links(data, 4, 0.85)
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_near_copies_that_fail_to_link_are_not_compared_in_pairs(spark, monkeypatch, with_base):
+    rng = np.random.default_rng(21)
+    base = [f"b{i}" for i in range(150)]
+    texts = [list(base)] * with_base
+    for i in range(500):
+        w = list(base)
+        for at in rng.choice(150, 1 + i % 6, replace=False):  # from three words on, most copies link with nothing
+            w[at] = f"n{i}_{at}" if i % 5 else f"m{at % 7}"
+        texts.append(w[: 150 - (i % 4) * 5] + ([f"tail{i % 9} of a few words"] if i % 3 == 0 else []))
+    data = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    staged, stage = [], ngram_join.stage
+
+    def counted(df):
+        out = stage(df)
+        staged.append(out.count() if out.columns == ["a", "b"] else 0)
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = sorted((str(a), b, str(c)) for a, b, c in rows(ngram_join.join(docs, k=4, threshold="0.85")))
+    assert got == brute_links(data, 4, 0.85)
+    assert 100 < len({c for _, _, c in got}) < 450
+    assert sum(staged) < 40 * len(data), staged
+
+
 def test_jaccard_join_on_odd_input(spark, edge_docs, no_docs):
     got = rows(ngram_join.join(edge_docs))
     assert len(got) == edge_docs.count()

@@ -8,7 +8,7 @@ by bounded counting inside tasks: every task reports the shingles that repeat in
 most COMMON of them go to the tasks.
 
 Links are wanted only as far as they join components. Candidates are verified in rounds: first every group against one
-pivot of each prefix shingle, then against another pivot, then the pairs that still lie in different components. Two
+pivot of each prefix shingle, then the pairs that still lie in different components. Two
 units that verified links already connect are not compared again, so a large group of near copies costs one comparison
 a member, not one a pair, and no link between components is lost.
 
@@ -17,6 +17,12 @@ that differ in d shingles differ in at most d bits, so more differing bits than
 pair out for certain. The last round tests this inside its join, so that pairs which cannot link are never rows, and
 the earlier ones before any text moves; what passes is still verified on whole texts.
 
+Large groups that stay open (near copies that mostly just fail to link) are bundled around a core, the shingles that
+most members hold. A member is what it adds to and lacks of the core, d shingles. Two members whose d are small enough
+link for certain, and all such pairs are connected by those with the smallest d; any other two link only if their
+additions and lacks have enough in common, so they are joined by prefixes of these, additions first, in place of
+shingles of the core that all members share. Pairs of different bundles, or of none, meet by shingles as before.
+
 Defined cases: a text with fewer words than a shingle is one shingle of the whole sequence; null, empty or blank text has
 an empty set and links with nothing; repeated rows are one unit; a null id never is a component's name unless all of
 the component's ids are null; ties do not arise. Other columns are ignored.
@@ -43,8 +49,8 @@ COMMON = 1 << 19
 LEAST_COMMON = 4
 #: Shingles that a task counts at once.
 COUNTED = 1 << 20
-#: Rounds in which every prefix shingle has another pivot.
-ROUNDS = 2
+#: Units of a shingle, and members of a bundle, from which bundles are made; below, all pairs are few.
+LARGE = 16
 #: Bits of a unit's parity sketch, and the columns that hold them.
 SKETCH = 256
 BITS = [f"s{i}" for i in range(SKETCH // 64)]
@@ -194,9 +200,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
         at_b = units.select(F.col("unit").alias("b"), shape.alias("y"))
         return pairs.join(at_a, "a").join(at_b, "b").where(able("x", "y") & close("x", "y")).select("a", "b")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of units that link, checked on whole texts."""
-        used = pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct()
+    def texts(used: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """(unit, text) of the units `used`, and the tables staged for it."""
         reps = units.join(used, "unit").join(repeated, "doc_id", "left")
         reps = stage(reps.select("unit", "doc_id", "hi", "lo", "n", F.coalesce("twice", F.col("doc_id").isNull()).alias("twice")))
         # the least id of a unit leads to one of its texts; the signature tells it from other rows with the same id
@@ -205,11 +210,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
         same = stage(found.mapInArrow(partial(_same_set, k=k), "unit long, text string, twice boolean"))
         # only a unit whose id is not unique can be found more than once
         checked = same.where("NOT twice").unionByName(same.where("twice").dropDuplicates(["unit"]))
+        return checked.select("unit", "text"), [reps, same]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of units that link, checked on whole texts."""
+        checked, held = texts(pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct())
         both = pairs.join(checked.select(F.col("unit").alias("a"), F.col("text").alias("left_text")), "a").join(
             checked.select(F.col("unit").alias("b"), F.col("text").alias("right_text")), "b"
         ).select("a", "b", "left_text", "right_text")
         out = stage(both.mapInArrow(partial(_linked, k=k, share=share), "a long, b long"))
-        unstage(reps, same)
+        unstage(*held)
         return out
 
     # members of one group against the group's first unit, groups against the pivot of each of their shingles
@@ -233,30 +243,49 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
         unstage(placed)
         return out
 
-    # every shingle of a group of near copies has another pivot, so a member meets many: pairs stay linear in postings
-    for turn in range(1, ROUNDS):
-        left = still_open()
-        pivots = left.groupBy("shingle").agg(
-            F.min_by(F.struct("unit", "comp", "n", "at"), F.xxhash64("unit", "shingle", F.lit(turn))).alias("x")
-        )
-        met = left.select("shingle", F.struct("unit", "comp", "n", "at").alias("y")).join(pivots, "shingle")
-        met = met.where((F.col("x.comp") != F.col("y.comp")) & able("x", "y") & room("x", "y"))
-        pairs = _ordered(met.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b"))).distinct()
-        pairs = stage(sieved(pairs.join(tried, ["a", "b"], "left_anti")))
-        unstage(left)
-        found = verified(pairs)
-        tried, links, old = stage(tried.unionByName(pairs)), stage(links.unionByName(found)), (tried, links, labels, pairs, found)
-        labels = stage(components(links)).withColumnRenamed("node", "unit")
-        unstage(*old)
-
     # what is left: unit pairs of a shared shingle that lie in different components and have not been compared
     last = still_open()
-    left = last.join(units.select("unit", *BITS), "unit")
-    rest = left.alias("x").join(left.alias("y"), "shingle").where(
-        (F.col("x.unit") < F.col("y.unit")) & (F.col("x.comp") != F.col("y.comp")) & able("x", "y") & room("x", "y") & close("x", "y")
+    shapes = units.select("unit", *BITS)
+    bundles = stage(_bundles(last))
+    tables, inner, closed, of = [bundles], None, None, bundles
+    if not bundles.isEmpty():
+        checked, held = texts(bundles.select("unit"))
+        sets = stage(checked.mapInArrow(partial(_sets, k=k), "unit long, n long, held array<long>"))
+        unstage(*held)
+        deltas = stage(_deltas(bundles.join(sets, "unit"), share))
+        of = stage(deltas.select("unit", "bundle"))
+        best = stage(deltas.groupBy("bundle").agg(F.min(F.struct("short", "unit")).alias("m")))
+        # distances to the core add up: with the best member, and so with each other, these link for certain
+        sure = deltas.join(best, "bundle").where((F.col("unit") != F.col("m.unit")) & (F.col("short") + F.col("m.short") <= 0))
+        links, old = stage(links.unionByName(sure.select(F.col("m.unit").alias("a"), F.col("unit").alias("b")))), (links, labels)
+        labels = stage(components(links)).withColumnRenamed("node", "unit")
+        unstage(*old)
+        placed = deltas.join(labels, "unit", "left").withColumn("comp", F.coalesce("component", "unit")).join(best, "bundle")
+        # a shared value at place `at`, the first one, leaves d - at at most; two members need 2 (num + den) of it >= short + short
+        some = placed.select("bundle", "unit", "comp", "n", "short", "d", "m", F.posexplode("delta").alias("at", "value"))
+        some = some.withColumn("most", 2 * (num + den) * (F.col("d") - F.col("at"))).where(F.col("most") >= F.col("short") + F.col("m.short"))
+        spread = some.groupBy("bundle", "value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        some = some.join(spread.select("bundle", "value"), ["bundle", "value"]).join(shapes, "unit")
+        some = stage(some.select("bundle", "value", "unit", "comp", "n", "short", "most", *BITS))
+        inner = some.alias("x").join(some.alias("y"), ["bundle", "value"]).where(
+            (F.col("x.unit") < F.col("y.unit")) & (F.col("x.comp") != F.col("y.comp")) & able("x", "y")
+            & (F.least("x.most", "y.most") >= F.col("x.short") + F.col("y.short")) & close("x", "y")
+        ).select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b"))
+        # a large shingle that only members of one bundle hold is settled
+        own = last.select("shingle", "unit").join(of, "unit", "left").withColumn("bundle", F.coalesce("bundle", -1 - F.col("unit")))
+        own = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("bundle").alias("low"), F.max("bundle").alias("high"))
+        closed = stage(own.where((F.col("c") >= LARGE) & (F.col("low") == F.col("high"))).select("shingle"))
+        tables += [sets, deltas, of, best, some, closed]
+    left = last if closed is None else last.join(closed, "shingle", "left_anti")
+    left = left.join(shapes.join(of, "unit", "left").withColumn("bundle", F.coalesce("bundle", -1 - F.col("unit"))), "unit")
+    across = left.alias("x").join(left.alias("y"), "shingle").where(
+        (F.col("x.unit") < F.col("y.unit")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.bundle") != F.col("y.bundle"))
+        & able("x", "y") & room("x", "y") & close("x", "y")
     )
-    rest = rest.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b")).distinct()
-    more = verified(stage(rest.join(tried, ["a", "b"], "left_anti")))
+    across = across.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b"))
+    rest = stage((across if inner is None else across.unionByName(inner)).distinct().join(tried, ["a", "b"], "left_anti"))
+    unstage(*tables)
+    more = verified(rest)
     labels = stage(components(links.unionByName(more))).withColumnRenamed("node", "unit")
     unstage(postings, last, many, tried, belongs, repeated)
 
@@ -272,6 +301,43 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _bundles(left: DataFrame) -> DataFrame:
+    """(unit, bundle) of open postings (shingle, unit): most units of a large group name the same one. Steers cost only."""
+    wide = left.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LARGE)
+    crowd = left.select("shingle", "unit").join(wide.select("shingle"), "shingle")
+    # who has the most prefix shingles in common with others adds least of its own
+    weight = crowd.groupBy("unit").agg(F.count(F.lit(1)).alias("w"))
+    heads = crowd.join(weight, "unit").groupBy("shingle").agg(F.max(F.struct("w", "unit")).alias("head"))
+    votes = crowd.join(heads, "shingle").groupBy("unit", F.col("head.unit").alias("bundle")).agg(F.count(F.lit(1)).alias("c"))
+    named = votes.groupBy("unit").agg(F.max(F.struct("c", "bundle")).alias("v")).select("unit", "v.bundle")
+    large = named.groupBy("bundle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LARGE)
+    return named.join(large.select("bundle"), "bundle").select("unit", "bundle")
+
+
+def _deltas(members: DataFrame, share: Fraction) -> DataFrame:
+    """Members (unit, bundle, n, held) as what they add to and lack of their bundle's core: `delta`, d values.
+
+    Two sets that differ in d1 + d2 - 2 o values (o: shared values of the deltas) link if 2 o (num + den) >= short1 + short2.
+    Sets far from the core are left out.
+    """
+    size = members.groupBy("bundle").agg(F.count(F.lit(1)).alias("c"))
+    held = members.select("bundle", F.explode("held").alias("value")).groupBy("bundle", "value").agg(F.count(F.lit(1)).alias("m"))
+    core = held.join(size, "bundle").where("2 * m > c").groupBy("bundle").agg(F.collect_list("value").alias("core"))
+    added, lacking = F.array_sort(F.array_except("held", "core")), F.array_sort(F.array_except("core", "held"))
+    out = members.join(core, "bundle").withColumn("delta", F.concat(added, lacking)).withColumn("d", F.size("delta").cast("long"))
+    num, den = share.numerator, share.denominator
+    short = F.col("d") * (num + den) - F.col("n") * (den - num)
+    return out.where(3 * F.col("d") <= F.col("n") + F.size("core")).select("unit", "bundle", "n", "delta", "d", short.alias("short"))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets = [s.view(np.int64) for s in shingle_sets(words(part.column(1)), k)]
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(sets, pa.list_(pa.int64()))], names=["unit", "n", "held"])
+
+
 def _same_set(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
