@@ -54,8 +54,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         docs = lineage.stage(docs.withColumn(key, F.monotonically_increasing_id()))
     found = ngram_join.join(docs, id_col=key, k=5, threshold="0.8")
     gone = lineage.stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)))
-    maybe = may_hold(docs, key, gone)
-    kept = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, key, "left_anti"))
+    kept = may_hold(docs, key, gone, "left_anti").unionByName(may_hold(docs, key, gone).join(gone, key, "left_anti"))
     return kept.select(columns)
 
 

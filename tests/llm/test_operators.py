@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import blocks, boost, decontaminate, extract, forest, language, ngram_join, pieces, pii, quality, secrets, spans, warc, words
+from tickloom.llm import blocks, boost, common, decontaminate, extract, forest, language, ngram_join, pieces, pii, quality, secrets, spans, warc, words
 from tickloom.llm.common import components, slices
 
 
@@ -385,6 +385,15 @@ def test_near_copies_that_fail_to_link_are_not_compared_in_pairs(spark, monkeypa
     assert sum(staged) < 40 * len(data), staged
 
 
+def test_bitmaps_lose_no_key(spark):
+    docs = spark.range(5000).select(F.when(F.col("id") != 7, F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+    keys = docs.where("doc_id % 3 = 0 OR doc_id IS NULL").select("doc_id")
+    some, none = common.may_hold(docs, "doc_id", keys), common.may_hold(docs, "doc_id", keys, "left_anti")
+    wanted = {r[0] for r in keys.collect()}
+    assert wanted <= {r[0] for r in some.collect()} and some.count() + none.count() == 5000 and some.count() < 2500
+    assert "Python" not in some._jdf.queryExecution().toString()
+
+
 def test_jaccard_join_on_odd_input(spark, edge_docs, no_docs):
     got = rows(ngram_join.join(edge_docs))
     assert len(got) == edge_docs.count()

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.plans.lineage import stage, unstage
@@ -96,22 +96,17 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).distinct()
 
 
-def may_hold(df: DataFrame, column: str, keys: DataFrame, most_bits: int = 1 << 26) -> Column:
-    """Condition on `df`: `column` may be among `keys` (one column of that name). A bitmap of at most 8 MB, so a later
-    equi-join moves fewer rows: no row with a key fails it, some others pass, null always does."""
+def may_hold(df: DataFrame, column: str, keys: DataFrame, how: str = "left_semi", most_bits: int = 1 << 26) -> DataFrame:
+    """Rows of `df` whose `column` may be among `keys` (one column of that name); `left_anti`: the rows whose is surely not.
+
+    A bitmap of at most 8 MB is broadcast in words, so a later equi-join moves fewer rows: every row with a key may hold
+    it, some others may too; null is a value like others. It runs without Python, beside which a task may need its own.
+    """
     n = max(1, keys.count())
     bits = min(most_bits, 1 << max(10, (16 * n - 1).bit_length()))
     place = F.pmod(F.xxhash64(column), F.lit(bits))
-    words = keys.select(place.alias("p")).groupBy((F.col("p") / 64).cast("long").alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v")
+    words = keys.select(place.alias("p")).groupBy((F.col("p") / 64).cast("long").alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_bits")
     )
-    found = words.toPandas()
-    bitmap = np.zeros(bits // 64, np.int64)
-    bitmap[found["w"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64)
-    held = df.sparkSession.sparkContext.broadcast(bitmap)
-
-    def there(places: pa.Array) -> pa.Array:
-        at = places.to_numpy(zero_copy_only=False)
-        return pa.array((held.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-    return F.col(column).isNull() | F.arrow_udf(there, "boolean")(place)
+    there = (F.shiftright(place, 6) == F.col("_word")) & (F.getbit(F.col("_bits"), (place % 64).cast("int")) == 1)
+    return df.join(F.broadcast(words), there, how)

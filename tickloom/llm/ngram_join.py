@@ -51,6 +51,8 @@ LEAST_COMMON = 4
 COUNTED = 1 << 20
 #: Units of a shingle, and members of a bundle, from which bundles are made; below, all pairs are few.
 LARGE = 16
+#: Bytes of text that a task turns into shingles at once.
+SLICE = 1 << 18
 #: Bits of a unit's parity sketch, and the columns that hold them.
 SKETCH = 256
 BITS = [f"s{i}" for i in range(SKETCH // 64)]
@@ -85,7 +87,7 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         return _batch("s", value[often].view(np.int64), count[often], None, None) if often.any() else None
 
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             sets = shingle_sets(words(part.column(1)), k)
             signs = np.array([_signature(s) for s in sets], np.int64).reshape(-1, 2)
             yield _batch("d", part.column(0), np.array([len(s) for s in sets]), signs[:, 0], signs[:, 1])
@@ -110,7 +112,7 @@ def _batch(kind: str, first, n, hi, lo) -> pa.RecordBatch:
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, share: Fraction, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             out = []
             for found in shingle_sets(words(part.column(0)), k):
                 n = len(found)
@@ -137,7 +139,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, share: Fraction, common
 def _linked(batches: Iterator[pa.RecordBatch], k: int, share: Fraction) -> Iterator[pa.RecordBatch]:
     """Verify pairs on whole texts: intersection / union >= share, in integers."""
     for batch in batches:
-        for part in slices(batch, "left_text", 1 << 19):
+        for part in slices(batch, "left_text", SLICE):
             a, b = shingle_sets(words(part.column(2)), k), shingle_sets(words(part.column(3)), k)
             good = []
             for x, y in zip(a, b, strict=True):
@@ -205,7 +207,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
         reps = units.join(used, "unit").join(repeated, "doc_id", "left")
         reps = stage(reps.select("unit", "doc_id", "hi", "lo", "n", F.coalesce("twice", F.col("doc_id").isNull()).alias("twice")))
         # the least id of a unit leads to one of its texts; the signature tells it from other rows with the same id
-        near = kept.where(may_hold(kept, "doc_id", reps.select("doc_id")))
+        near = may_hold(kept, "doc_id", reps.select("doc_id"))
         found = near.join(reps, near.doc_id.eqNullSafe(reps.doc_id)).select("unit", "hi", "lo", "n", "text", "twice")
         same = stage(found.mapInArrow(partial(_same_set, k=k), "unit long, text string, twice boolean"))
         # only a unit whose id is not unique can be found more than once
@@ -332,7 +334,7 @@ def _deltas(members: DataFrame, share: Fraction) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             sets = [s.view(np.int64) for s in shingle_sets(words(part.column(1)), k)]
             n = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(sets, pa.list_(pa.int64()))], names=["unit", "n", "held"])
@@ -340,7 +342,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 def _same_set(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             sets = shingle_sets(words(part.column(4)), k)
             good = [
                 (hi.as_py(), lo.as_py(), n.as_py()) == (*_signature(s), len(s))
