@@ -30,13 +30,13 @@ the component's ids are null; ties do not arise. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import components, may_hold, slices
@@ -248,7 +248,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
     # what is left: unit pairs of a shared shingle that lie in different components and have not been compared
     last = still_open()
     shapes = units.select("unit", *BITS)
-    bundles = stage(_bundles(last))
+    # sketches that differ in few bits tell who is near the head before any text moves
+    alike = lambda a, b: differ(a, b) * 8 <= 3 * SKETCH
+    bundles = stage(_bundles(last, shapes, alike))
     tables, inner, closed, of = [bundles], None, None, bundles
     if not bundles.isEmpty():
         checked, held = texts(bundles.select("unit"))
@@ -303,16 +305,23 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _bundles(left: DataFrame) -> DataFrame:
-    """(unit, bundle) of open postings (shingle, unit): most units of a large group name the same one. Steers cost only."""
+def _bundles(left: DataFrame, shapes: DataFrame, alike: Callable[[str, str], Column]) -> DataFrame:
+    """(unit, bundle) of open postings (shingle, unit, comp): most units of a large group name the same head.
+
+    Units unlike their head and bundles of one component are left out. This steers cost only.
+    """
     wide = left.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LARGE)
-    crowd = left.select("shingle", "unit").join(wide.select("shingle"), "shingle")
+    crowd = left.select("shingle", "unit", "comp").join(wide.select("shingle"), "shingle")
     # who has the most prefix shingles in common with others adds least of its own
     weight = crowd.groupBy("unit").agg(F.count(F.lit(1)).alias("w"))
     heads = crowd.join(weight, "unit").groupBy("shingle").agg(F.max(F.struct("w", "unit")).alias("head"))
-    votes = crowd.join(heads, "shingle").groupBy("unit", F.col("head.unit").alias("bundle")).agg(F.count(F.lit(1)).alias("c"))
-    named = votes.groupBy("unit").agg(F.max(F.struct("c", "bundle")).alias("v")).select("unit", "v.bundle")
-    large = named.groupBy("bundle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LARGE)
+    votes = crowd.join(heads, "shingle").groupBy("unit", "comp", F.col("head.unit").alias("bundle")).agg(F.count(F.lit(1)).alias("c"))
+    named = votes.groupBy("unit", "comp").agg(F.max(F.struct("c", "bundle")).alias("v")).select("unit", "comp", "v.bundle")
+    x, y = shapes.alias("x"), shapes.alias("y")
+    named = named.join(x, named.unit == F.col("x.unit")).join(y, F.col("bundle") == F.col("y.unit")).where(alike("x", "y"))
+    named = stage(named.select(F.col("x.unit").alias("unit"), "comp", "bundle"))
+    large = named.groupBy("bundle").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    large = large.where((F.col("c") >= LARGE) & (F.col("low") < F.col("high")))
     return named.join(large.select("bundle"), "bundle").select("unit", "bundle")
 
 
